@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.assemble import attach_rounds, overall_cluster_id, unnest_profiles
 from wattloom.operators.cluster import (
+    Fit,
     Round,
     assign_rounds,
     hierarchical_kmeans,
@@ -76,14 +77,16 @@ def meter_series(readings: DataFrame, config: ProfileConfig = ProfileConfig()) -
 
 
 def fit_rounds(
-    features: DataFrame, config: ProfileConfig = ProfileConfig(), method: str = "mllib"
+    features: DataFrame, config: ProfileConfig = ProfileConfig(), method: str | Fit = "mllib"
 ) -> list[Round]:
     """Cluster the features over several rounds.
 
     ``mllib`` scales best and stops on centroid movement; ``lloyd`` stops on the fraction
-    of reassigned points.
+    of reassigned points. A function from points to centroids may be given instead.
     """
-    if method == "mllib":
+    if callable(method):
+        fit = method
+    elif method == "mllib":
         def fit(points):
             return kmeans_mllib(points, config.k, seed=config.seed, max_iter=config.max_iter)
     elif method == "lloyd":
@@ -96,12 +99,12 @@ def fit_rounds(
                 min_frac_reassigned=config.min_frac_reassigned,
             )
     else:
-        raise ValueError("method must be 'mllib' or 'lloyd'")
+        raise ValueError("method must be 'mllib', 'lloyd' or a function")
     return hierarchical_kmeans(features, fit, config.k, config.rounds)
 
 
 def profile_load(
-    readings: DataFrame, config: ProfileConfig = ProfileConfig(), method: str = "mllib"
+    readings: DataFrame, config: ProfileConfig = ProfileConfig(), method: str | Fit = "mllib"
 ) -> dict[str, DataFrame]:
     """Run the whole job and return its tables by name.
 
