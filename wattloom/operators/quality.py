@@ -7,7 +7,7 @@ stitched together at the slot edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.storage import materialise
@@ -19,7 +19,7 @@ HEAVIEST = 2000
 #: Over how many artificial keys the readings of such meters are spread.
 SPREAD = 1 << 20
 
-_REGULAR = F.col("diff_ct") == 1
+_REGULAR = "diff_ct = 1"
 
 
 def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
@@ -152,8 +152,8 @@ def complete_meters(
     the most frequent start and end among such meters (earliest span on ties).
     """
     summary = meter_summary(readings, interval_seconds)
-    usable = (
-        _REGULAR & (F.col("ct_tslocal") == expected_readings) & F.col("building_num").isNotNull()
+    usable = F.expr(
+        f"{_REGULAR} AND ct_tslocal = {expected_readings} AND building_num IS NOT NULL"
     )
     if not require_common_span:
         return summary.withColumn("usable", usable)
@@ -211,14 +211,14 @@ def completeness_histogram(clean: DataFrame) -> DataFrame:
     return per_meter.groupBy("ct_ts").agg(F.count("*").alias("ct_buildings")).orderBy("ct_ts")
 
 
-def _readings_of(readings: DataFrame, meters: DataFrame, accepted: Column) -> DataFrame:
+def _readings_of(readings: DataFrame, meters: DataFrame, accepted: str) -> DataFrame:
     """Readings of accepted meters when an accepted meter itself may be huge.
 
     The verdict on the heaviest meters is broadcast (at most ``HEAVIEST`` rows): rejected
     ones stop at the scan, accepted ones are known to stay and get keys that no meter has,
     which spreads them over all partitions. The others are matched by meter as usual.
     """
-    known = meters.where(F.col("building_num").isNotNull()).withColumn("accepted", accepted)
+    known = meters.where(F.col("building_num").isNotNull()).withColumn("accepted", F.expr(accepted))
     heavy = (
         known.orderBy(F.desc("n_rows"), "building_num")
         .limit(HEAVIEST)
