@@ -1,0 +1,52 @@
+import cmath
+import math
+import random
+
+import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
+
+from wattloom.functions.spectrum import pgram
+
+
+def by_definition(x, taper=0.0):
+    n = len(x)
+    m = math.floor(n * taper)
+    w = [1.0] * n
+    for j in range(1, m + 1):
+        w[j - 1] = w[n - j] = 0.5 * (1 - math.cos(math.pi * (2 * j - 1) / (2 * m)))
+    scale = n * (1 - 5 / 8 * 2 * taper)
+    return [
+        abs(sum(w[t] * x[t] * cmath.exp(-2j * math.pi * k * t / n) for t in range(n))) ** 2 / scale
+        for k in range(1, n // 2 + 1)
+    ]
+
+
+@pytest.mark.parametrize("taper", [0.0, 0.1, 0.5])
+def test_mixed_lengths_and_missing_series(spark, taper):
+    rng = random.Random(7)
+    data = [(i, [rng.gauss(0, 1) for _ in range(n)]) for i, n in enumerate([8, 5, 8, 1, 288, 31, 2])]
+    data.append((99, None))
+    df = spark.createDataFrame(data, "id int, x array<double>").coalesce(1)
+    got = {r.id: r.p for r in df.select("id", pgram(F.col("x"), taper).alias("p")).collect()}
+    assert got.pop(99) is None
+    for i, x in data[:-1]:
+        assert got[i] == pytest.approx(by_definition(x, taper), rel=1e-9, abs=1e-12)
+
+
+def test_sine_is_one_line(spark):
+    x = [math.sin(2 * math.pi * 5 * t / 288) for t in range(288)]
+    p = spark.createDataFrame([(x,)], "x array<double>").select(pgram(F.col("x"))).collect()[0][0]
+    assert p[4] == pytest.approx(288 / 4)
+    assert max(v for k, v in enumerate(p) if k != 4) < 1e-20
+
+
+def test_gap_inside_a_series_is_an_error(spark):
+    df = spark.createDataFrame([([1.0, None, 2.0],)], "x array<double>")
+    with pytest.raises(PythonException, match="missing values"):
+        df.select(pgram(F.col("x"))).collect()
+
+
+def test_taper_range(spark):
+    with pytest.raises(ValueError):
+        pgram(F.col("x"), 0.6)

@@ -22,12 +22,15 @@ SPREAD = 1 << 20
 _REGULAR = "diff_ct = 1"
 
 
-def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
-    """One row per meter: readings, gaps of exactly one interval, span and usage range.
+def meter_summary(
+    readings: DataFrame, interval_seconds: int = 60, usage_range: bool = False
+) -> DataFrame:
+    """One row per meter: number of readings, gaps of exactly one interval, and span.
 
     ``diff_ct = ct_tslocal - ct_deltatime_60sec`` is 1 if and only if every reading
     but the first follows its predecessor by exactly ``interval_seconds``. A repeated
     instant is a gap of 0 and makes a meter irregular; a lone reading passes.
+    ``usage_range`` adds ``min_usage`` and ``max_usage``; without it usage is not read.
 
     Skew: a slot spans ``1440 * interval_seconds`` seconds, so it has at most that many
     distinct instants. They are deduplicated before the shuffle, which makes the size
@@ -35,15 +38,12 @@ def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
     """
     span = 1440 * interval_seconds
     slot = F.expr(f"(tslocal - pmod(tslocal, {span})) div {span}")
-    instants = (
-        readings.groupBy("building_num", slot.alias("slot"))
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count("tslocal").alias("n"),
-            F.sort_array(F.collect_set("tslocal")).alias("ts"),
-            F.min("usagekw").alias("min_usage"),
-            F.max("usagekw").alias("max_usage"),
-        )
+    ranges = {"min_usage": F.min, "max_usage": F.max} if usage_range else {}
+    instants = readings.groupBy("building_num", slot.alias("slot")).agg(
+        F.count("*").alias("n_rows"),
+        F.count("tslocal").alias("n"),
+        F.sort_array(F.collect_set("tslocal")).alias("ts"),
+        *[pick("usagekw").alias(name) for name, pick in ranges.items()],
     )
     inside = F.filter("ts", lambda t, i: (i > 0) & (t - F.get("ts", i - 1) == interval_seconds))
     per_slot = instants.select(
@@ -54,21 +54,22 @@ def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
         F.size(inside).cast("long").alias("n_regular"),
         F.get("ts", F.lit(0)).alias("first_ts"),
         F.try_element_at("ts", F.lit(-1)).alias("last_ts"),
-        "min_usage",
-        "max_usage",
+        *ranges,
     )
     # Every slot hands its last instant to the slot behind it. A predecessor one interval
     # back can only be in the same or the previous slot, so no ordering is needed.
+    none, no_usage = F.lit(None).cast("long"), F.lit(None).cast("double")
     own = F.struct(
-        "slot", "n_rows", "n", "n_regular", "first_ts",
-        F.lit(None).cast("long").alias("previous_ts"), "min_usage", "max_usage",
+        "slot", "n_rows", "n", "n_regular", "first_ts", none.alias("previous_ts"), *ranges
     )
     handed_on = F.struct(
-        (F.col("slot") + 1).alias("slot"), F.lit(0).cast("long").alias("n_rows"),
-        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_regular"),
-        F.lit(None).cast("long").alias("first_ts"), F.col("last_ts").alias("previous_ts"),
-        F.lit(None).cast("double").alias("min_usage"), F.lit(None).cast("double").alias("max_usage"),
+        (F.col("slot") + 1).alias("slot"),
+        *[F.lit(0).cast("long").alias(name) for name in ("n_rows", "n", "n_regular")],
+        none.alias("first_ts"),
+        F.col("last_ts").alias("previous_ts"),
+        *[no_usage.alias(name) for name in ranges],
     )
+    usage = [pick(name).alias(name) for name, pick in ranges.items()]
     stitched = (
         per_slot.select("building_num", F.inline(F.array(own, handed_on)))
         .groupBy("building_num", "slot")
@@ -78,8 +79,7 @@ def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
             F.sum("n_regular").alias("n_regular"),
             F.max("first_ts").alias("first_ts"),
             F.max("previous_ts").alias("previous_ts"),
-            F.min("min_usage").alias("min_usage"),
-            F.max("max_usage").alias("max_usage"),
+            *usage,
         )
     )
     across = F.when(F.col("first_ts") - F.col("previous_ts") == interval_seconds, 1).otherwise(0)
@@ -91,8 +91,7 @@ def meter_summary(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
             F.min("first_ts").alias("ts_start"),
             F.max("previous_ts").alias("ts_end"),
             F.sum("n_rows").alias("n_rows"),
-            F.min("min_usage").alias("min_usage"),
-            F.max("max_usage").alias("max_usage"),
+            *usage,
         )
         .withColumn("diff_ct", F.col("ct_tslocal") - F.col("ct_deltatime_60sec"))
     )
@@ -145,13 +144,14 @@ def complete_meters(
     interval_seconds: int = 60,
     expected_readings: int = 1440,
     require_common_span: bool = False,
+    usage_range: bool = False,
 ) -> DataFrame:
     """``meter_summary`` with a column ``usable``: regular and with the expected readings.
 
     By default only the number of readings counts. ``require_common_span`` also asks for
     the most frequent start and end among such meters (earliest span on ties).
     """
-    summary = meter_summary(readings, interval_seconds)
+    summary = meter_summary(readings, interval_seconds, usage_range)
     usable = F.expr(
         f"{_REGULAR} AND ct_tslocal = {expected_readings} AND building_num IS NOT NULL"
     )

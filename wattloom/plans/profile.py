@@ -38,7 +38,11 @@ def meter_series(readings: DataFrame, config: ProfileConfig = ProfileConfig()) -
     """
     summary = materialise(
         complete_meters(
-            readings, config.interval_seconds, config.expected_readings, config.require_common_span
+            readings,
+            config.interval_seconds,
+            config.expected_readings,
+            config.require_common_span,
+            usage_range=True,
         ),
         "meters",
     )
