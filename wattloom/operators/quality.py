@@ -39,7 +39,7 @@ def meter_summary(
     span = 1440 * interval_seconds
     slot = F.expr(f"(tslocal - pmod(tslocal, {span})) div {span}")
     ranges = {"min_usage": F.min, "max_usage": F.max} if usage_range else {}
-    instants = readings.groupBy("building_num", slot.alias("slot")).agg(
+    instants = readings.withColumn("slot", slot).groupBy("building_num", "slot").agg(
         F.count("*").alias("n_rows"),
         F.count("tslocal").alias("n"),
         F.sort_array(F.collect_set("tslocal")).alias("ts"),
