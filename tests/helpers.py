@@ -19,6 +19,19 @@ def gap_counts(readings, interval=60):
     return out
 
 
+def raster_readings(seed, n=3000):
+    """Long series on one raster each, with holes, copies and edges of blocks and slots."""
+    rng = random.Random(seed)
+    out = []
+    for meter, start in enumerate([-90_000, -3_600, 0, 17, 86_400 - 600, 1301702400 + 3_559]):
+        t = start
+        for _ in range(n):
+            out.append((meter, t, rng.random()))
+            t += 60 * rng.choice([1] * 30 + [0, 2, 59, 60, 61])
+    rng.shuffle(out)
+    return out
+
+
 def random_readings(seed, meters=6, n=300):
     rng = random.Random(seed)
     out = []

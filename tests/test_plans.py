@@ -35,7 +35,9 @@ def test_gap_check_reads_two_columns_and_never_orders_a_meter(readings):
     assert "ReadSchema: struct<building_num:int,tslocal:bigint>" in scan
     assert not operators(df, "Window") and not operators(df, "Join")
     shuffles = operators(df, "Exchange")
-    assert len(shuffles) == 3 and "slot" in shuffles[-1]  # slots, edges, meters
+    assert len(shuffles) == 4  # masks, slots, edges of slots, meters
+    assert "slot" in shuffles[1] and "slot" in shuffles[2] and "block" in shuffles[3]
+    assert "HashAggregate" in scan and "collect_set" not in scan
 
 
 def test_heaviest_meters_are_found_by_a_bounded_top_list(readings):

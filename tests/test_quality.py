@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import gap_counts, minute_series, random_readings, rows
+from tests.helpers import gap_counts, minute_series, random_readings, raster_readings, rows
 from wattloom.operators import quality
 
 
@@ -15,6 +15,12 @@ def test_interval_check_equals_definition(make_readings, seed):
     assert check(make_readings(data)) == gap_counts(data)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_interval_check_on_a_raster(make_readings, seed):
+    data = raster_readings(seed)
+    assert check(make_readings(data)) == gap_counts(data)
+
+
 @pytest.mark.parametrize("interval", [1, 900])
 def test_other_intervals(make_readings, interval):
     data = minute_series(1, 3000, step=interval) + minute_series(2, 5, step=interval + 1)
@@ -115,6 +121,6 @@ def test_spans_and_counts(make_readings):
 def test_summary_is_independent_of_partitioning(make_readings):
     data = random_readings(5)
     df = make_readings(data)
-    one = rows(quality.meter_summary(df.coalesce(1)))
-    many = rows(quality.meter_summary(df.repartition(13, F.rand(1))))
+    one = rows(quality.meter_summary(df.coalesce(1), usage_range=True))
+    many = rows(quality.meter_summary(df.repartition(13, F.rand(1)), usage_range=True))
     assert one == many

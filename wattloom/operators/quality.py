@@ -32,30 +32,17 @@ def meter_summary(
     instant is a gap of 0 and makes a meter irregular; a lone reading passes.
     ``usage_range`` adds ``min_usage`` and ``max_usage``; without it usage is not read.
 
-    Skew: a slot spans ``1440 * interval_seconds`` seconds, so it has at most that many
-    distinct instants. They are deduplicated before the shuffle, which makes the size
-    of a group independent of how many readings a meter has or how often one repeats.
+    How: 60 intervals form a block, 24 blocks a slot. Within a block the instants with the
+    same remainder modulo the interval are one 64-bit mask, so readings shrink by up to 60
+    in a plain hash aggregate before the first shuffle, and repeated instants collapse there.
+    A slot is then at most 24 masks for a meter that keeps to its raster.
+
+    Skew: no group depends on how many readings a meter has or how often one repeats; a slot
+    holds at most ``1440 * interval_seconds`` distinct instants.
     """
-    span = 1440 * interval_seconds
-    slot = F.expr(f"(tslocal - pmod(tslocal, {span})) div {span}")
     ranges = {"min_usage": F.min, "max_usage": F.max} if usage_range else {}
-    instants = readings.withColumn("slot", slot).groupBy("building_num", "slot").agg(
-        F.count("*").alias("n_rows"),
-        F.count("tslocal").alias("n"),
-        F.sort_array(F.collect_set("tslocal")).alias("ts"),
-        *[pick("usagekw").alias(name) for name, pick in ranges.items()],
-    )
-    inside = F.filter("ts", lambda t, i: (i > 0) & (t - F.get("ts", i - 1) == interval_seconds))
-    per_slot = instants.select(
-        "building_num",
-        "slot",
-        "n_rows",
-        "n",
-        F.size(inside).cast("long").alias("n_regular"),
-        F.get("ts", F.lit(0)).alias("first_ts"),
-        F.try_element_at("ts", F.lit(-1)).alias("last_ts"),
-        *ranges,
-    )
+    usage = [pick(name).alias(name) for name, pick in ranges.items()]
+    per_slot = _slots(readings, interval_seconds, ranges)
     # Every slot hands its last instant to the slot behind it. A predecessor one interval
     # back can only be in the same or the previous slot, so no ordering is needed.
     none, no_usage = F.lit(None).cast("long"), F.lit(None).cast("double")
@@ -63,13 +50,12 @@ def meter_summary(
         "slot", "n_rows", "n", "n_regular", "first_ts", none.alias("previous_ts"), *ranges
     )
     handed_on = F.struct(
-        (F.col("slot") + 1).alias("slot"),
+        (F.col("slot") + 1440 * interval_seconds).alias("slot"),
         *[F.lit(0).cast("long").alias(name) for name in ("n_rows", "n", "n_regular")],
         none.alias("first_ts"),
         F.col("last_ts").alias("previous_ts"),
         *[no_usage.alias(name) for name in ranges],
     )
-    usage = [pick(name).alias(name) for name, pick in ranges.items()]
     stitched = (
         per_slot.select("building_num", F.inline(F.array(own, handed_on)))
         .groupBy("building_num", "slot")
@@ -97,6 +83,69 @@ def meter_summary(
     )
 
 
+def _slots(readings: DataFrame, interval: int, ranges: dict) -> DataFrame:
+    """Per meter and slot: readings, first and last instant, regular gaps inside the slot."""
+    block, slot = 60 * interval, 1440 * interval
+    placed = readings.withColumns(
+        {
+            "slot": F.expr(f"tslocal - pmod(tslocal, {slot})"),
+            "block": F.expr(f"tslocal - pmod(tslocal, {block})"),
+            "remainder": F.expr(f"pmod(tslocal, {interval})"),
+            "bit": F.expr(f"shiftleft(1L, cast(pmod(tslocal, {block}) div {interval} AS int))"),
+        }
+    )
+    masks = placed.groupBy("building_num", "slot", "block", "remainder").agg(
+        F.count("*").alias("n_rows"),
+        F.count("tslocal").alias("n"),
+        F.bit_or("bit").alias("mask"),
+        F.min("tslocal").alias("first_ts"),
+        F.max("tslocal").alias("last_ts"),
+        *[pick("usagekw").alias(name) for name, pick in ranges.items()],
+    )
+    part = F.struct("block", "remainder", "mask", "first_ts")
+    slots = masks.groupBy("building_num", "slot").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n").alias("n"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("remainder").alias("low"),
+        F.max("remainder").alias("high"),
+        F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), part))).alias("parts"),
+        *[pick(name).alias(name) for name, pick in ranges.items()],
+    )
+    # On one raster, neighbouring bits are regular gaps: inside a mask, and from the last bit
+    # of a block to the first bit of the next one.
+    on_raster = F.expr(
+        f"""aggregate(parts, 0L, (n, p) -> n + bit_count(p.mask & shiftleft(p.mask, 1)))
+            + size(filter(parts, (p, i) -> i > 0 AND p.block - get(parts, i - 1).block = {block}
+                AND (p.mask & 1L) <> 0L AND (get(parts, i - 1).mask & {1 << 59}L) <> 0L))"""
+    )
+    # Otherwise the masks are spelled out again as instants.
+    instants = F.expr(
+        f"""sort_array(flatten(transform(parts, p ->
+              if(bit_count(p.mask) = 1, array(p.first_ts),
+                 transform(filter(sequence(0, 59), b -> (shiftright(p.mask, b) & 1L) <> 0L),
+                           b -> p.block + b * {interval} + p.remainder)))))"""
+    )
+    off_raster = F.filter("instants", lambda t, i: (i > 0) & (t - F.get("instants", i - 1) == interval))
+    return slots.withColumn(
+        "instants", F.when(F.col("low") != F.col("high"), instants)
+    ).select(
+        "building_num",
+        "slot",
+        "n_rows",
+        "n",
+        F.when(F.col("low") == F.col("high"), on_raster)
+        .when(F.col("low") != F.col("high"), F.size(off_raster))
+        .otherwise(0)
+        .cast("long")
+        .alias("n_regular"),
+        "first_ts",
+        "last_ts",
+        *ranges,
+    )
+
+
 def interval_check(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
     """Gap statistics of every meter."""
     return meter_summary(readings, interval_seconds).select(
