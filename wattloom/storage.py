@@ -18,14 +18,14 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; only a local session may fall back to /tmp."""
-    configured = spark.conf.get(_CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors can reach")
-    own = tempfile.mkdtemp(prefix="wattloom-")
-    spark.conf.set(_CHECKPOINT_KEY, own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="wattloom-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
