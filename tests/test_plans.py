@@ -5,7 +5,7 @@ import re
 import pytest
 
 from crosscheck import fixtures, queries
-from wattloom.operators import assemble, ids, quality, signal, views
+from wattloom.operators import assemble, cluster, ids, quality, signal, views
 from wattloom.plans.profile import meter_series
 from wattloom.sources import catalog
 from wattloom.storage import materialise
@@ -102,6 +102,19 @@ def test_overall_numbers_only_distinct_paths(spark, sf):
     assert not operators(df, "SortMergeJoin")
 
 
+def test_points_meet_the_model_once_per_pass(spark, sf):
+    points = materialise(queries._features(spark, sf), "features")
+    model = cluster.hierarchical_kmeans(points, queries._fixed_fit(3), 3, 2)
+    merged = assemble.attach_rounds(cluster.assign_rounds(points, model), model)
+    assert len(operators(merged, "ArrowEvalPython")) == 1
+    # Once for the distinct paths, once for the rows.
+    assert len(operators(assemble.overall_cluster_id(merged), "ArrowEvalPython")) == 2
+    assigned = cluster.assign_clusters(points, model[0].centroids, 3)
+    rows = assemble.centroid_rows(cluster.centroid_table(spark, 3, model[0].centroids))
+    assert len(operators(assemble.distance_to_centroid(assigned, rows), "ArrowEvalPython")) == 1
+    assert len(operators(cluster.cluster_members(assigned, 0, 1), "ArrowEvalPython")) == 1
+
+
 @pytest.mark.parametrize("name", ["unnest_profiles", "unnest_cluster_centroids"])
 def test_unnesting_is_one_generator(spark, overall, name):
     df = (

@@ -75,6 +75,10 @@ def nearest_centroid(vector: Column, centroids: np.ndarray) -> Column:
 
     ``centroids`` is a k x d matrix: it belongs to the model, not to the data, so it
     travels with the function. A null vector has a null answer.
+
+    Declared nondeterministic although it is not: otherwise a filter or join on the result is
+    pushed below the projection and the search runs twice. Bind it to a column before using
+    several of its fields.
     """
     model = np.ascontiguousarray(centroids, dtype=np.float64)
 
@@ -91,4 +95,4 @@ def nearest_centroid(vector: Column, centroids: np.ndarray) -> Column:
             mask=pa.array(~present),
         )
 
-    return search(vector)
+    return search.asNondeterministic()(vector)

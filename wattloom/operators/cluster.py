@@ -263,7 +263,7 @@ def assign_rounds(
     by itself and joining the results, but moves no data at all.
     """
     names = round_suffixes(len(model))
-    path = _path(F.col(vector).cast("array<double>"), model)
+    path = F.col("path_of_point")
     added = []
     for suffix, stage in zip(names, model):
         was_here = path[f"cluster_id{suffix}"].isNotNull()
@@ -272,7 +272,8 @@ def assign_rounds(
             path[f"cluster_id{suffix}"].alias(f"cluster_id{suffix}"),
             path[f"l2dist{suffix}"].alias(f"l2dist{suffix}"),
         ]
-    return points.select("*", *added)
+    followed = points.withColumn("path_of_point", _path(F.col(vector).cast("array<double>"), model))
+    return followed.select(*points.columns, *added)
 
 
 def round_suffixes(rounds: int) -> list[str]:
@@ -342,7 +343,7 @@ def _path(vector: Column, model: list[Round]) -> Column:
             block, rows = block[stay], rows[stay]
         return pa.StructArray.from_arrays(columns, names=names)
 
-    return follow(vector)
+    return follow.asNondeterministic()(vector)  # as in nearest_centroid
 
 
 def _check_distance(distance: str) -> None:
