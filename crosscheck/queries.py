@@ -20,6 +20,7 @@ from wattloom.storage import fresh_path, materialise
 #: Clusters and rounds on the readings; on the embeddings k is 10.
 K, ROUNDS, UPDATES = 3, 3, 3
 K_VECTORS = 10
+MAX_UPDATES = 40
 
 _COARSE = ("usagekw", "usagekw_sum_5min", "usagekw_sum_5min_mean", "usagekw_sum_5min_norm_denom")
 
@@ -247,7 +248,10 @@ def lloyd_fixed_iters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
-    centroids = cluster.kmeans_lloyd(embedding_points(spark, sf), K_VECTORS)
+    """Until no point changes its cluster: the SQL twin cannot stop, but stays at that point."""
+    centroids = cluster.kmeans_lloyd(
+        embedding_points(spark, sf), K_VECTORS, max_iter=MAX_UPDATES, min_frac_reassigned=1e-9
+    )
     return _matrix_rows(spark, centroids, K_VECTORS)
 
 

@@ -32,7 +32,10 @@ def spectra(series: np.ndarray, taper: float) -> np.ndarray:
 
 
 def pgram(series: Column, taper: float = 0.0) -> Column:
-    """Periodogram of an ``array<double>``. Missing values inside a series are an error."""
+    """Periodogram of an ``array<double>``. Missing values inside a series are an error.
+
+    A batch of series of equal length is one FFT call; otherwise there is one per length.
+    """
     if not 0.0 <= taper <= 0.5:
         raise ValueError("taper must lie between 0 and 0.5")
 
@@ -45,16 +48,17 @@ def pgram(series: Column, taper: float = 0.0) -> Column:
             raise ValueError("a series has missing values")
         values = flat.to_numpy(zero_copy_only=False)
         lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
         out_lengths = lengths // 2
-        ends = np.cumsum(out_lengths)
-        out = np.empty(int(out_lengths.sum()))
-        # One FFT call per distinct length: a batch of equal series is a single call.
-        for n in np.unique(lengths[lengths > 1]):
-            rows = np.flatnonzero(lengths == n)
-            block = values[starts[rows][:, None] + np.arange(n)]
-            to = (ends - out_lengths)[rows][:, None] + np.arange(n // 2)
-            out[to] = spectra(block, taper)
+        if lengths.size and (lengths == lengths[0]).all():
+            out = spectra(values.reshape(len(lengths), -1), taper).ravel()
+        else:
+            starts, ends = np.cumsum(lengths) - lengths, np.cumsum(out_lengths)
+            out = np.empty(int(out_lengths.sum()))
+            for n in np.unique(lengths[lengths > 1]):
+                rows = np.flatnonzero(lengths == n)
+                block = values[starts[rows][:, None] + np.arange(n)]
+                to = (ends - out_lengths)[rows][:, None] + np.arange(n // 2)
+                out[to] = spectra(block, taper)
         offsets = np.zeros(len(batch) + 1, dtype=np.int32)
         per_row = np.zeros(len(batch), dtype=np.int64)
         per_row[present] = out_lengths

@@ -35,7 +35,8 @@ def kmeans_mllib(
     """Centroids from the library's k-means with parallel k-means++ seeding.
 
     Stops when no centroid moves further than ``tol``. May return fewer than ``k``
-    centroids if there are fewer distinct points.
+    centroids if there are fewer distinct points. Its seeding depends on how the points are
+    partitioned; ``kmeans_lloyd`` does not.
     """
     _check_distance(distance)
     features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
