@@ -101,16 +101,15 @@ def lloyd_step(
     not stored: both are recomputed from the two models. An empty cluster stays in place.
     """
     totals = _partial_sums(points, centroids, previous, vector)
-    summed = totals.groupBy("cluster_id", "pos").agg(F.sum("total").alias("total")).collect()
+    # At most k * (d + 1) + 1 rows: the size of the model.
+    summed = totals.groupBy("cluster_id", "pos").agg(F.sum("total").alias("total")).toArrow()
+    cluster_id, pos, total = (summed[c].to_numpy() for c in ("cluster_id", "pos", "total"))
     k, width = centroids.shape
-    sums, sizes, changed = np.zeros((k, width)), np.zeros(k), 0.0
-    for row in summed:
-        if row.pos == _CHANGED:
-            changed = row.total
-        elif row.pos == _SIZE:
-            sizes[row.cluster_id] = row.total
-        else:
-            sums[row.cluster_id, row.pos] = row.total
+    sums, sizes = np.zeros((k, width)), np.zeros(k)
+    values = pos >= 0
+    sums[cluster_id[values], pos[values]] = total[values]
+    sizes[cluster_id[pos == _SIZE]] = total[pos == _SIZE]
+    changed = float(total[pos == _CHANGED].sum())
     if not sizes.sum():
         raise ValueError("no points to cluster")
     held = sizes > 0
