@@ -52,12 +52,10 @@ def _meter_files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame
     )
 
 
-def write_readings_csv(readings: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write headerless CSV. ``single_file`` funnels all rows through one task: small exports only."""
-    out = readings.select(*READINGS.fieldNames())
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", False).option("quote", "|").csv(path)
+def write_readings_csv(readings: DataFrame, path: str) -> None:
+    """Write a folder of headerless CSV parts; put one behind the other, they are one CSV."""
+    writer = readings.select(*READINGS.fieldNames()).write.mode("overwrite")
+    writer.option("header", False).option("quote", "|").csv(path)
 
 
 def sample_readings(readings: DataFrame, n: int = 10) -> DataFrame:
