@@ -40,110 +40,77 @@ def meter_summary(
     Skew: no group depends on how many readings a meter has or how often one repeats; a slot
     holds at most ``1440 * interval_seconds`` distinct instants.
     """
-    ranges = {"min_usage": F.min, "max_usage": F.max} if usage_range else {}
-    usage = [pick(name).alias(name) for name, pick in ranges.items()]
-    per_slot = _slots(readings, interval_seconds, ranges)
-    # Every slot hands its last instant to the slot behind it. A predecessor one interval
-    # back can only be in the same or the previous slot, so no ordering is needed.
-    none, no_usage = F.lit(None).cast("long"), F.lit(None).cast("double")
-    own = F.struct(
-        "slot", "n_rows", "n", "n_regular", "first_ts", none.alias("previous_ts"), *ranges
-    )
-    handed_on = F.struct(
-        (F.col("slot") + 1440 * interval_seconds).alias("slot"),
-        *[F.lit(0).cast("long").alias(name) for name in ("n_rows", "n", "n_regular")],
-        none.alias("first_ts"),
-        F.col("last_ts").alias("previous_ts"),
-        *[no_usage.alias(name) for name in ranges],
-    )
-    stitched = (
-        per_slot.select("building_num", F.inline(F.array(own, handed_on)))
-        .groupBy("building_num", "slot")
-        .agg(
-            F.sum("n_rows").alias("n_rows"),
-            F.sum("n").alias("n"),
-            F.sum("n_regular").alias("n_regular"),
-            F.max("first_ts").alias("first_ts"),
-            F.max("previous_ts").alias("previous_ts"),
-            *usage,
-        )
-    )
-    across = F.when(F.col("first_ts") - F.col("previous_ts") == interval_seconds, 1).otherwise(0)
-    return (
-        stitched.groupBy("building_num")
-        .agg(
-            F.sum("n").alias("ct_tslocal"),
-            F.sum(F.col("n_regular") + across).alias("ct_deltatime_60sec"),
-            F.min("first_ts").alias("ts_start"),
-            F.max("previous_ts").alias("ts_end"),
-            F.sum("n_rows").alias("n_rows"),
-            *usage,
-        )
-        .withColumn("diff_ct", F.col("ct_tslocal") - F.col("ct_deltatime_60sec"))
-    )
-
-
-def _slots(readings: DataFrame, interval: int, ranges: dict) -> DataFrame:
-    """Per meter and slot: readings, first and last instant, regular gaps inside the slot."""
-    block, slot = 60 * interval, 1440 * interval
-    placed = readings.withColumns(
-        {
-            "slot": F.expr(f"tslocal - pmod(tslocal, {slot})"),
-            "block": F.expr(f"tslocal - pmod(tslocal, {block})"),
-            "remainder": F.expr(f"pmod(tslocal, {interval})"),
-            "bit": F.expr(f"shiftleft(1L, cast(pmod(tslocal, {block}) div {interval} AS int))"),
-        }
-    )
-    masks = placed.groupBy("building_num", "slot", "block", "remainder").agg(
-        F.count("*").alias("n_rows"),
-        F.count("tslocal").alias("n"),
-        F.bit_or("bit").alias("mask"),
-        F.min("tslocal").alias("first_ts"),
-        F.max("tslocal").alias("last_ts"),
-        *[pick("usagekw").alias(name) for name, pick in ranges.items()],
-    )
-    part = F.struct("block", "remainder", "mask", "first_ts")
-    slots = masks.groupBy("building_num", "slot").agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.sum("n").alias("n"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-        F.min("remainder").alias("low"),
-        F.max("remainder").alias("high"),
-        F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), part))).alias("parts"),
-        *[pick(name).alias(name) for name, pick in ranges.items()],
-    )
-    # On one raster, neighbouring bits are regular gaps: inside a mask, and from the last bit
-    # of a block to the first bit of the next one.
-    on_raster = F.expr(
-        f"""aggregate(parts, 0L, (n, p) -> n + bit_count(p.mask & shiftleft(p.mask, 1)))
-            + size(filter(parts, (p, i) -> i > 0 AND p.block - get(parts, i - 1).block = {block}
-                AND (p.mask & 1L) <> 0L AND (get(parts, i - 1).mask & {1 << 59}L) <> 0L))"""
-    )
-    # Otherwise the masks are spelled out again as instants.
-    instants = F.expr(
-        f"""sort_array(flatten(transform(parts, p ->
-              if(bit_count(p.mask) = 1, array(p.first_ts),
-                 transform(filter(sequence(0, 59), b -> (shiftright(p.mask, b) & 1L) <> 0L),
-                           b -> p.block + b * {interval} + p.remainder)))))"""
-    )
-    off_raster = F.filter("instants", lambda t, i: (i > 0) & (t - F.get("instants", i - 1) == interval))
-    return slots.withColumn(
-        "instants", F.when(F.col("low") != F.col("high"), instants)
-    ).select(
-        "building_num",
-        "slot",
-        "n_rows",
-        "n",
-        F.when(F.col("low") == F.col("high"), on_raster)
-        .when(F.col("low") != F.col("high"), F.size(off_raster))
-        .otherwise(0)
-        .cast("long")
-        .alias("n_regular"),
-        "first_ts",
-        "last_ts",
-        *ranges,
-    )
+    slot, block = 1440 * interval_seconds, 60 * interval_seconds
+    usage, ranges, no_ranges, merged = "", "", "", ""
+    if usage_range:
+        usage = ", min(usagekw) AS min_usage, max(usagekw) AS max_usage"
+        ranges = ", min_usage, max_usage"
+        no_ranges = ", CAST(NULL AS DOUBLE) AS min_usage, CAST(NULL AS DOUBLE) AS max_usage"
+        merged = ", min(min_usage) AS min_usage, max(max_usage) AS max_usage"
+    query = f"""
+WITH masks AS (
+  SELECT building_num,
+         tslocal - pmod(tslocal, {slot}) AS slot,
+         tslocal - pmod(tslocal, {block}) AS block,
+         pmod(tslocal, {interval_seconds}) AS remainder,
+         bit_or(shiftleft(1L, cast(pmod(tslocal, {block}) div {interval_seconds} AS int))) AS mask,
+         count(*) AS n_rows, count(tslocal) AS n,
+         min(tslocal) AS first_ts, max(tslocal) AS last_ts{usage}
+  FROM {{readings}}
+  GROUP BY building_num, tslocal - pmod(tslocal, {slot}), tslocal - pmod(tslocal, {block}),
+           pmod(tslocal, {interval_seconds})
+),
+slots AS (
+  SELECT building_num, slot, sum(n_rows) AS n_rows, sum(n) AS n,
+         min(first_ts) AS first_ts, max(last_ts) AS last_ts,
+         min(remainder) AS low, max(remainder) AS high,
+         sort_array(collect_list(struct(block, remainder, mask, first_ts))
+                    FILTER (WHERE block IS NOT NULL)) AS parts{merged}
+  FROM masks GROUP BY building_num, slot
+),
+-- Masks of more than one raster are spelled out again as instants.
+spelled AS (
+  SELECT *, CASE WHEN low <> high THEN
+    sort_array(flatten(transform(parts, p ->
+      if(bit_count(p.mask) = 1, array(p.first_ts),
+         transform(filter(sequence(0, 59), b -> (shiftright(p.mask, b) & 1L) <> 0L),
+                   b -> p.block + b * {interval_seconds} + p.remainder))))) END AS instants
+  FROM slots
+),
+-- On one raster, neighbouring bits are regular gaps: inside a mask, and from the last bit of a
+-- block to the first bit of the next one.
+gaps AS (
+  SELECT *, CASE
+    WHEN low = high THEN
+      aggregate(parts, 0L, (c, p) -> c + bit_count(p.mask & shiftleft(p.mask, 1)))
+      + size(filter(parts, (p, i) -> i > 0 AND p.block - get(parts, i - 1).block = {block}
+          AND (p.mask & 1L) <> 0L AND (get(parts, i - 1).mask & {1 << 59}L) <> 0L))
+    WHEN low <> high THEN
+      size(filter(instants, (t, i) -> i > 0 AND t - get(instants, i - 1) = {interval_seconds}))
+    ELSE 0 END AS n_regular
+  FROM spelled
+),
+-- Every slot hands its last instant to the slot behind it. A predecessor one interval back can
+-- only be in the same or the previous slot, so no ordering is needed.
+edges AS (
+  SELECT building_num, inline(array(
+    struct(slot, n_rows, n, n_regular, first_ts, CAST(NULL AS BIGINT) AS previous_ts{ranges}),
+    struct(slot + {slot} AS slot, 0L AS n_rows, 0L AS n, 0L AS n_regular,
+           CAST(NULL AS BIGINT) AS first_ts, last_ts AS previous_ts{no_ranges})))
+  FROM gaps
+),
+stitched AS (
+  SELECT building_num, sum(n_rows) AS n_rows, sum(n) AS n,
+         sum(n_regular) + CASE WHEN max(first_ts) - max(previous_ts) = {interval_seconds}
+                               THEN 1 ELSE 0 END AS n_regular,
+         max(first_ts) AS first_ts, max(previous_ts) AS previous_ts{merged}
+  FROM edges GROUP BY building_num, slot
+)
+SELECT *, ct_tslocal - ct_deltatime_60sec AS diff_ct FROM (
+  SELECT building_num, sum(n) AS ct_tslocal, sum(n_regular) AS ct_deltatime_60sec,
+         min(first_ts) AS ts_start, max(previous_ts) AS ts_end, sum(n_rows) AS n_rows{merged}
+  FROM stitched GROUP BY building_num)"""
+    return readings.sparkSession.sql(query, readings=readings)
 
 
 def interval_check(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
