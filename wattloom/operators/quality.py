@@ -48,17 +48,19 @@ def meter_summary(
         no_ranges = ", CAST(NULL AS DOUBLE) AS min_usage, CAST(NULL AS DOUBLE) AS max_usage"
         merged = ", min(min_usage) AS min_usage, max(max_usage) AS max_usage"
     query = f"""
-WITH masks AS (
-  SELECT building_num,
+WITH placed AS (
+  SELECT *,
          tslocal - pmod(tslocal, {slot}) AS slot,
          tslocal - pmod(tslocal, {block}) AS block,
          pmod(tslocal, {interval_seconds}) AS remainder,
-         bit_or(shiftleft(1L, cast(pmod(tslocal, {block}) div {interval_seconds} AS int))) AS mask,
+         shiftleft(1L, cast(pmod(tslocal, {block}) div {interval_seconds} AS int)) AS bit
+  FROM {{readings}}
+),
+masks AS (
+  SELECT building_num, slot, block, remainder, bit_or(bit) AS mask,
          count(*) AS n_rows, count(tslocal) AS n,
          min(tslocal) AS first_ts, max(tslocal) AS last_ts{usage}
-  FROM {{readings}}
-  GROUP BY building_num, tslocal - pmod(tslocal, {slot}), tslocal - pmod(tslocal, {block}),
-           pmod(tslocal, {interval_seconds})
+  FROM placed GROUP BY building_num, slot, block, remainder
 ),
 slots AS (
   SELECT building_num, slot, sum(n_rows) AS n_rows, sum(n) AS n,
