@@ -1,0 +1,5 @@
+"""The same questions as DuckDB SQL, where SQL can express them."""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
