@@ -1,0 +1,64 @@
+import pytest
+
+from tests.llm import brute
+from wattloom.llm import licenses, queries
+from wattloom.llm.common import word_list
+
+
+def digest(rows):
+    return sorted(str((x.doc_id, x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score)) for x in rows)
+
+
+def expected(rows, threshold=0.8):
+    """Every line against every template, without filters."""
+    sets = {k: set(brute.words(v)) for k, v in licenses.TEMPLATES.items()}
+    out = []
+    for i, text in rows:
+        found = {}
+        for line in (text or "").split("\n"):
+            have = set(brute.words(line))
+            for label, wanted in sets.items():
+                share = len(wanted & have) / len(wanted)
+                if share >= threshold:
+                    found[label] = max(share, found.get(label, 0))
+        n, places, first, last, base = brute.phrases(text)
+        labels = ",".join(sorted({*filter(None, base.split(",")), *found}))
+        out.append(str((i, n, places, first, last, base, labels, float(max(found.values(), default=0)))))
+    return sorted(out)
+
+
+def test_query(spark, sf):
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op7_license_join(spark, sf).collect()
+    assert digest(got) == expected(rows)
+    assert any(x.score > 0 for x in got) and any("," in x.labels for x in got)
+
+
+NOTICES = [
+    (20, "Text.\nThis work is licensed under the GNU General Public License, version 3."),
+    (21, "this WORK is licenced under the gnu general public license version 3 or later\nAll rights"),
+    (22, "reserved all rights reserved all rights reserved"),
+    (23, "cc by cc by\nLicensed under CC BY-NC 4.0\nlicensed under CC BY"),
+    (24, "General public\nlicense"),
+    (25, "é CC é BY, cc-by ccby"),
+    (26, licenses.TEMPLATES["mit-notice"] + "\n" + licenses.TEMPLATES["mit-notice"][:100]),
+]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_odd_rows(make_docs, odd_rows, clashing, threshold):
+    rows = odd_rows + NOTICES
+    got = licenses.license_matches(clashing(make_docs(rows)), threshold=threshold)
+    assert digest(licenses.license_digest(got).collect()) == expected(rows, threshold)
+
+
+def test_nothing(make_docs):
+    assert licenses.license_digest(licenses.license_matches(make_docs([]))).count() == 0
+
+
+def test_rare_words_come_first(make_docs):
+    docs = make_docs([(n, "licensed under the work") for n in range(9)])
+    index = licenses.build_index(docs, licenses.TEMPLATES, 0.8)
+    label, words, common = next(x for x in index.sets if x[0] == "gpl-notice")
+    assert common == licenses.needed(len(words), 0.8)
+    assert set(words[-4:]) == set(word_list(b"licensed under the work"))

@@ -1,0 +1,48 @@
+import pytest
+
+import corpus_pipeline
+from tests.llm import brute
+from tests.llm.test_tokens import check_plan
+from wattloom.llm import toxicity
+from wattloom.llm.common import table
+
+
+def test_stages_follow_each_other(spark, sf):
+    """Every stage against its own input, by brute force where there is one."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels")
+    model = toxicity.fit_severity(docs, labels)
+    rejected = {x.doc_id for x in toxicity.score_documents(docs, model).where("rejected").collect()}
+    rows = {x.doc_id: x.text for x in docs.collect() if x.doc_id not in rejected}
+    groups = brute.components([(i, brute.simhash(t)) for i, t in rows.items()])
+    rows = {i: rows[i] for i, _, c in groups if i == c}
+    items = [tuple(x) for x in table(spark, sf, "benchmark").select("item_id", "text").collect()]
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "simhash_near_dedup", "decontamination", "secret_scan", "packing",
+    ]
+    kept = stages["simhash_near_dedup"](spark, stages["toxicity"](spark, docs, sf), sf)
+    assert kept.columns == docs.columns
+    assert {x.doc_id: x.text for x in kept.collect()} == rows
+    clean = stages["decontamination"](spark, kept, sf)
+    gone = set(rows) - {x.doc_id for x in clean.collect()}
+    some = [(i, t) for i, t in rows.items() if i in gone or i % 20 == 0]
+    assert {x[0] for x in brute.contamination(some, items) if x[-1]} == gone
+    blanked = stages["secret_scan"](spark, clean, sf)
+    assert blanked.columns == docs.columns
+    texts = {x.doc_id: x.text for x in blanked.collect()}
+    assert set(texts) == set(rows) - gone
+    changed = {i for i in texts if texts[i] != rows[i]}
+    assert changed == {i for i in texts if brute.secrets(rows[i])[1]}
+    final = corpus_pipeline.run(spark, sf).collect()
+    check_plan(list(texts.items()), final)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_each_stage_takes_odd_and_no_rows(spark, sf, make_docs, odd_rows, name, stage):
+    got = stage(spark, make_docs(odd_rows), sf)
+    assert got.count() > 0
+    if name != "packing":
+        assert got.columns == make_docs([]).columns
+    assert stage(spark, make_docs([]), sf).count() == 0

@@ -1,0 +1,68 @@
+import zlib
+from collections import defaultdict
+
+from wattloom.llm import queries, sharding
+
+
+def check(rows, got, shards=16):
+    def facts(i, t):
+        raw = (t or "").encode()
+        return (str(i), len(raw) + 1, None if t is None else zlib.crc32(raw))
+
+    assert sorted(map(str, ((str(x.doc_id), x.size, x.text_crc32) for x in got))) == sorted(str(facts(i, t)) for i, t in rows)
+    by_shard = defaultdict(list)
+    for x in got:
+        assert 0 <= x.shard < shards and x.law == "bytes"
+        by_shard[x.shard].append(x)
+    for part in by_shard.values():
+        assert sorted(x.slot for x in part) == list(range(len(part)))
+    return {s: sum(x.size for x in part) for s, part in by_shard.items()}
+
+
+def test_query_is_balanced_by_bytes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    sizes = check([(x.doc_id, x.text) for x in docs], queries.op1_virtual_slots(spark, sf).collect())
+    largest = max(len(x.text.encode()) + 1 for x in docs)
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16
+    assert max(sizes.values()) <= max(mean * 1.02, largest)
+
+
+def test_odd_rows(make_docs, odd_rows, clashing, folder):
+    check(odd_rows, sharding.shard_documents(clashing(make_docs(odd_rows)), folder).collect())
+
+
+def test_nothing(make_docs, folder):
+    assert sharding.shard_documents(make_docs([]), folder).count() == 0
+
+
+def test_one_row_repeated_fills_no_slot(make_docs, folder):
+    rows = [(1, "the same row")] * 4000
+    sizes = check(rows, sharding.shard_documents(make_docs(rows), folder).collect())
+    assert max(sizes.values()) <= 1.02 * sum(sizes.values()) / 16
+
+
+def test_versions_are_kept_and_a_new_shard_takes_few_slots(spark, make_docs, folder):
+    rows = [(n, "x" * (n * 37 % 500)) for n in range(5000)]
+    records = sharding.hash_records(make_docs(rows), 1024).cache()
+    sizes = sharding.slot_sizes(records, 1024).cache()
+    first = sharding.store_map(sharding.first_map(sizes, 16), folder)
+    second = sharding.store_map(sharding.rebalance(first, sizes, 16), folder)
+    grown = sharding.store_map(sharding.rebalance(second, sizes, 17), folder)
+    assert [x.version for x in (grown.first(), second.first())] == [2, 1]
+    assert sharding.load_map(spark, folder, 0).count() == 1024
+    old = {x.virtual_slot: x.shard for x in sharding.load_map(spark, folder, 1).collect()}
+    new = {x.virtual_slot: (x.shard, x.bytes) for x in grown.collect()}
+    assert set(old) == set(new) == set(range(1024))
+    loads = defaultdict(int)
+    for shard, size in new.values():
+        loads[shard] += size
+    mean = sum(loads.values()) / 17
+    assert set(loads) == set(range(17)) and max(loads.values()) <= 1.02 * mean
+    moved = sum(size for slot, (shard, size) in new.items() if shard != old[slot])
+    assert moved <= 1.5 * mean
+
+
+def test_no_python_in_the_plan(make_docs, folder):
+    plan = sharding.shard_documents(make_docs([(1, "a")]), folder)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

@@ -1,12 +1,12 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
 Vectors become whole numbers. Candidates are cut into blocks, queries too, and each pair of blocks
-is a task. A block's index has, for each dimension, the candidates ordered by value, so the postings of
-a query's dimension come in order of impact from one end. Impacts are measured from the least one
-of their dimension, so they only add. For a query, impact ranges are processed from the largest
-down; a candidate's score is then at least what it has gathered, and at most that plus the
-current bound for every dimension it has not been met in. Processing stops only when
-candidates that may still be among the k best are few; these, and only these, are rescored exactly.
+is a task. A block's index holds posting segments: the candidates whose value in one dimension lies
+in one small range. For a query a segment has a quantised impact, the largest product in it, measured
+from the least one of the dimension, so impacts only add. Segments are processed by falling quantised
+impact. A candidate's score is at least what it has gathered, and at most that plus the next quantised impact
+for every dimension in which it has not been met. Processing stops only when this proves that few
+candidates may still be among the k best; these, and only these, are rescored exactly.
 
 Vectors that are null or hold a null, NaN or infinite component take no part.
 
@@ -38,58 +38,68 @@ def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
 
 
 class ImpactIndex:
-    """One block of candidates, ordered by value in every dimension."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values.astype(np.float64)
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
-
-    def top(self, query_id: int, query: np.ndarray, k: int, few: int = 512, levels: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Posting segments of one block: per dimension, candidates in ``bins`` ranges of values."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, bins: int = 32):
+        self.ids, self.values = ids, values
+        n, width = values.shape
+        low, high = values.min(axis=0), values.max(axis=0)
+        step = np.maximum(1, -(-(high - low + 1) // bins))
+        cell = (values - low) // step + bins * np.arange(width)
+        flat = cell.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.posting = (order % n).astype(np.int32)
+        self.impact = values.T.ravel()[order].astype(np.float64)
+        self.starts = np.searchsorted(flat[order], np.arange(bins * width))
+        self.sizes = np.diff(self.starts, append=len(flat))
+        self.dimension = np.arange(bins * width) // bins
+        nearest = low[self.dimension] + step[self.dimension] * (np.arange(bins * width) % bins)
+        self.least = nearest.astype(np.float64)
+        self.most = np.minimum(nearest + step[self.dimension] - 1, high[self.dimension]).astype(np.float64)
+        self.count = np.arange(len(flat), dtype=np.int32)
+        self.low, self.high = low.astype(np.float64), high.astype(np.float64)
+
+    def top(self, query_id: int, query: np.ndarray, k: int, few: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and exact scores of the k best other candidates, best first."""
         n, width = self.values.shape
-        reversed_ = query < 0
-        low = np.where(reversed_, self.sorted[-1], self.sorted[0]) * query  # least impact per dimension
-        high = np.where(reversed_, self.sorted[0], self.sorted[-1]) * query
-        span = high - low
-        own = self.ids == query_id
-        gathered, met = np.zeros(n), np.zeros(n, np.int64)
-        taken = np.zeros(width, np.int64)  # postings processed per dimension
-        bound = span.astype(float)
-        possible = np.flatnonzero(~own)
-        for level in range(1, levels + 1):
-            if len(possible) <= max(few, k):
-                break
-            least = span.max() * (1 - level / levels)
-            rows, gains = [], []
-            for d in np.flatnonzero(bound > least):
-                column = self.sorted[:, d]
-                cut = (least + low[d]) / query[d]
-                if query[d] > 0:
-                    stop = n - int(np.searchsorted(column, cut, "left"))
-                    slots = slice(n - stop, n - taken[d])
-                else:
-                    stop = int(np.searchsorted(column, cut, "right"))
-                    slots = slice(taken[d], stop)
-                if stop > taken[d]:
-                    rows.append(self.order[slots, d])
-                    gains.append(column[slots] * query[d] - low[d])
-                    taken[d] = stop
-                bound[d] = min(bound[d], least)
-            if not rows:
-                continue
-            rows, gains = np.concatenate(rows), np.concatenate(gains)
-            gathered += np.bincount(rows, gains, n)
-            met += np.bincount(rows, minlength=n)
-            if level % 3 and level < levels:
-                continue
+        few = max(k, n // 4 if few is None else few)
+        q = query.astype(np.float64)
+        base = np.minimum(self.low * q, self.high * q)  # least impact per dimension
+        own = q[self.dimension]
+        quantised = np.maximum(self.least * own, self.most * own) - base[self.dimension]
+        held = np.flatnonzero((self.sizes > 0) & (quantised > 0))
+        held = held[np.argsort(-quantised[held], kind="stable")]
+        bounds = quantised[held]
+        ends = np.cumsum(self.sizes[held])
+        gathered, met = np.zeros(n), np.zeros(n)
+        possible = np.flatnonzero(self.ids != query_id)
+        at, share = 0, 0.5
+        while at < len(held) and len(possible) > few:
+            goal = share * n * width
+            stop = max(at + 1, int(np.searchsorted(ends, goal)))
+            chosen = held[at:stop]
+            sizes = self.sizes[chosen]
+            skipped = self.starts[chosen] - (np.cumsum(sizes) - sizes)
+            place = np.repeat(skipped.astype(np.int32), sizes)
+            place += self.count[: len(place)]
+            posting = self.posting[place]
+            gain = self.impact[place]
+            gain *= np.repeat(own[chosen], sizes)
+            gain -= np.repeat(base[self.dimension[chosen]], sizes)
+            gathered += np.bincount(posting, gain, n)
+            met += np.bincount(posting, minlength=n)
+            at, share = stop, share + 0.1
+            # A dimension in which a candidate was not met gives it at most that dimension's next
+            # quantised impact, so u of them at most the sum of the u largest.
+            ahead = np.zeros(width)
+            np.maximum.at(ahead, self.dimension[held[at:]], bounds[at:])
+            left = np.append(0.0, np.cumsum(np.sort(ahead)[::-1]))
             floor = np.partition(gathered[possible], len(possible) - k)[len(possible) - k]
-            rest = np.sort(bound)[::-1].cumsum()  # the unmet dimensions have at most the largest bounds
-            ceiling = gathered + np.append(0.0, rest)[width - met]
-            possible = possible[ceiling[possible] + 0.5 >= floor]  # scores are whole
+            ceiling = gathered[possible] + left[width - met[possible].astype(np.int64)]
+            possible = possible[ceiling * (1 + 1e-9) + 0.5 >= floor]
         exact = self.values[possible] @ query
         best = np.lexsort((self.ids[possible], -exact))[:k]
-        return possible[best], exact[best].astype(np.int64)
+        return possible[best], exact[best]
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 20, block: int = 8192, query_block: int = 1024) -> DataFrame:
@@ -125,7 +135,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, block: int = 8192, que
             for a, b in zip(batch.column("candidates"), batch.column("queries")):
                 index, found = ImpactIndex(*matrix(a)), []
                 for query_id, query in zip(*matrix(b)):
-                    places, scores = index.top(int(query_id), query.astype(np.float64), k)
+                    places, scores = index.top(int(query_id), query, k)
                     found.append((np.full(len(places), query_id), index.ids[places], scores))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])

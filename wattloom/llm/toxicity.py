@@ -7,7 +7,8 @@ likely than not above grade 0.
 The labels say toxic or not, not how much. Grades 1 to ``grades`` of the toxic documents are equal
 groups by density: occurrences of the chosen features per word. Features are words and their
 beginnings (4 to 6 bytes, so that inflected and compound forms count) that occur much more often in
-toxic documents than in others; their value is log(1 + occurrences).
+toxic documents than in others; their value is 1 where they occur, and one more feature is
+log(1 + 1000 * density).
 
 The model is fitted on at most ``sample_docs`` labelled documents, those with the smallest hash of
 their id, read whole; everything is scored, whole, without a shuffle.
@@ -46,7 +47,8 @@ class SeverityModel:
     thresholds: np.ndarray
     reject_above: float = 0.5
 
-    def counts(self, words: list[bytes], memo: dict) -> Counter:
+    def values(self, words: list[bytes], memo: dict) -> dict[int, float]:
+        """Features of a text that are not 0: 1 for each chosen one in it, and their density last."""
         found: Counter = Counter()
         for word in words:
             known = memo.get(word)
@@ -57,10 +59,13 @@ class SeverityModel:
                 memo[word] = known
             for feature in known:
                 found[feature] += 1
-        return found
+        if not found:
+            return {}
+        density = float(np.log1p(1000 * sum(found.values()) / len(words)))
+        return dict.fromkeys(found, 1.0) | {len(self.features): density}
 
-    def score(self, counts: Counter, n_words: int) -> float:
-        return float(sum(self.weights[k] * np.log1p(n) for k, n in counts.items()))
+    def score(self, values: dict[int, float]) -> float:
+        return float(sum(self.weights[k] * v for k, v in values.items()))
 
     def above(self, score: float) -> list[float]:
         """P(grade > j) for each threshold."""
@@ -91,14 +96,16 @@ def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
     return partial.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def choose_features(sample: DataFrame, least: int, log_odds: float, limit: int) -> dict[bytes, int]:
+def choose_features(
+    sample: DataFrame, least: int, share: float, log_odds: float, limit: int
+) -> dict[bytes, int]:
     """At most ``limit`` features with the strongest evidence, of those that at least ``least`` toxic
-    documents have."""
+    documents, and this ``share`` of them, have."""
     toxic, clean = sample.where("toxic"), sample.where("NOT toxic")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
-    often = _document_counts(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature")
+    often = _document_counts(toxic, None).where(F.col("n") >= max(least, share * n_toxic)).orderBy(F.desc("n"), "feature")
     in_toxic = {bytes(x.feature): x.n for x in often.limit(50_000).collect()}
     rows = _document_counts(clean, frozenset(in_toxic)).collect()  # at most 50,000
     in_clean = {bytes(x.feature): x.n for x in rows}
@@ -111,7 +118,7 @@ def choose_features(sample: DataFrame, least: int, log_odds: float, limit: int)
 
 
 def fit_ordinal(
-    rows: list[dict], values: list[int], width: int, levels: int, l2: float = 0.002, steps: int = 400
+    rows: list[dict], values: list[int], width: int, levels: int, l2: float = 0.02, steps: int = 400
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by gradient steps (Adam) on the likelihood of the grades.
 
@@ -156,38 +163,37 @@ def fit_severity(
     labels: DataFrame,
     grades: int = 3,
     sample_docs: int = 20_000,
-    least: int = 5,
-    log_odds: float = 4.0,
+    least: int = 3,
+    share: float = 0.02,
+    log_odds: float = 3.5,
     limit: int = 4096,
 ) -> SeverityModel:
     """Choose features and fit the model on a bounded sample of labelled documents."""
     sample = labelled_sample(docs, labels, sample_docs)
-    features = choose_features(sample, least, log_odds, limit)
+    features = choose_features(sample, least, share, log_odds, limit)
     if not features:
         return SeverityModel({}, np.zeros(0), np.full(grades, np.inf))
-    model = SeverityModel(features, np.zeros(len(features)), np.zeros(grades))
+    model = SeverityModel(features, np.zeros(len(features) + 1), np.zeros(grades))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo: dict = {}
-        texts = [word_list(x) for x in raw_texts(batch, "text")]
-        counts = [model.counts(x, memo) for x in texts]
+        values = [model.values(word_list(x), memo) for x in raw_texts(batch, "text")]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("toxic"),
-                pa.array([len(x) for x in texts], pa.int64()),
-                pa.array([list(x) for x in counts], pa.list_(pa.int64())),
-                pa.array([list(x.values()) for x in counts], pa.list_(pa.int64())),
+                pa.array([list(x) for x in values], pa.list_(pa.int64())),
+                pa.array([list(x.values()) for x in values], pa.list_(pa.float64())),
             ],
-            ["toxic", "n_words", "features", "counts"],
+            ["toxic", "features", "amounts"],
         )
 
-    kinds = "toxic boolean, n_words long, features array<long>, counts array<long>"
+    kinds = "toxic boolean, features array<long>, amounts array<double>"
     rows = map_batches(sample.select("toxic", "text"), count, kinds).collect()  # at most sample_docs
-    dense = [sum(x.counts) / max(1, x.n_words) for x in rows]
+    sparse = [dict(zip(x.features, x.amounts)) for x in rows]
+    dense = [x.get(len(features), 0.0) for x in sparse]
     cuts = np.quantile([d for x, d in zip(rows, dense) if x.toxic], np.arange(1, grades) / grades)
     values = [1 + int(np.searchsorted(cuts, d, "left")) if x.toxic else 0 for x, d in zip(rows, dense)]
-    sparse = [{k: float(np.log1p(n)) for k, n in zip(x.features, x.counts)} for x in rows]
-    model.weights, model.thresholds = fit_ordinal(sparse, values, len(features), grades)
+    model.weights, model.thresholds = fit_ordinal(sparse, values, len(features) + 1, grades)
     return model
 
 
@@ -221,7 +227,7 @@ def _scores(batch: pa.RecordBatch, model: SeverityModel):
     memo: dict = {}
     for raw in raw_texts(batch, "text"):
         words = word_list(raw)
-        above = model.above(model.score(model.counts(words, memo), len(words)))
+        above = model.above(model.score(model.values(words, memo)))
         each = -np.diff([1.0, *above, 0.0])
         yield {
             "n_words": len(words),
