@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from crosscheck import fixtures  # noqa: E402
-from wattloom.operators import assemble, cluster, features, ids, quality, signal, views  # noqa: E402
+from wattloom.operators import assemble, cluster, features, fit, ids, quality, signal, views  # noqa: E402
 from wattloom.plans.profile import fit_rounds, meter_series, profile_load  # noqa: E402
 from wattloom.schema import ProfileConfig  # noqa: E402
 from wattloom.sources import readings as io  # noqa: E402
@@ -68,16 +68,17 @@ def main() -> None:
     series = materialise(signal.series_arrays(normalized), "series")
     points = materialise(features.periodogram(series), "features")
     model = fit_rounds(points, config)
-    overall = materialise(
-        assemble.overall_cluster_id(
-            assemble.attach_rounds(cluster.assign_rounds(points, model), model)
-        ),
-        "overall",
-    )
+    rounds = materialise(cluster.assign_rounds(points, model), "rounds")
+    overall = assemble.overall_cluster_id(assemble.attach_rounds(rounds, model))
+    assigned = materialise(cluster.assign_clusters(points, model[0].centroids, config.k), "assigned")
+    centroids = assemble.centroid_rows(cluster.centroid_table(spark, config.k, model[0].centroids))
+    measured = materialise(assemble.distance_to_centroid(assigned, centroids), "measured")
+    summary = materialise(quality.meter_summary(readings), "summary")
+    spans = materialise(quality.meter_spans(readings, summary=summary), "spans")
 
     def whole(method: str) -> None:
         for name, table in profile_load(readings, config, method).items():
-            if name not in ("features", "overall"):
+            if name != "features":
                 drain(table)
 
     stages = {
@@ -89,6 +90,11 @@ def main() -> None:
         "count_regular_meters": lambda: drain(quality.count_regular_meters(readings)),
         "meter_spans": lambda: drain(quality.meter_spans(readings)),
         "complete_readings": lambda: drain(quality.complete_readings(readings)),
+        "count_regular_meters_of_summary": lambda: drain(
+            quality.count_regular_meters(readings, summary=summary)
+        ),
+        "span_histogram": lambda: drain(quality.span_histogram(spans)),
+        "regular_readings": lambda: drain(quality.regular_readings(readings)),
         "completeness_histogram": lambda: drain(quality.completeness_histogram(clean)),
         "assign_ids": lambda: drain(ids.assign_ids(clean)),
         "drop_all_zero": lambda: drain(signal.drop_all_zero(numbered)),
@@ -101,11 +107,14 @@ def main() -> None:
         "hierarchical_kmeans_mllib": lambda: fit_rounds(points, config),
         "hierarchical_kmeans_lloyd": lambda: fit_rounds(points, config, "lloyd"),
         "assign_rounds": lambda: drain(cluster.assign_rounds(points, model)),
-        "overall_cluster_id": lambda: drain(
-            assemble.overall_cluster_id(
-                assemble.attach_rounds(cluster.assign_rounds(points, model), model)
-            )
+        "assign_clusters": lambda: drain(
+            cluster.assign_clusters(points, model[0].centroids, config.k)
         ),
+        "distance_to_centroid": lambda: drain(assemble.distance_to_centroid(assigned, centroids)),
+        "merge_rounds": lambda: drain(assemble.merge_rounds([measured, measured, measured])),
+        "cluster_sse": lambda: drain(fit.cluster_sse(rounds, config.rounds)),
+        "silhouette": lambda: drain(fit.silhouette(rounds, config.rounds)),
+        "overall_cluster_id": lambda: drain(overall),
         "unnest_profiles": lambda: drain(assemble.unnest_profiles(overall)),
         "polar_layout": lambda: drain(views.polar_layout(overall)),
         "unnest_cluster_centroids": lambda: drain(

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from crosscheck import fixtures
 from crosscheck.fixtures import embedding_points, event_readings
 from wattloom.functions import vectors
-from wattloom.operators import assemble, cluster, features, ids, quality, signal, views
+from wattloom.operators import assemble, cluster, features, fit, ids, quality, signal, views
 from wattloom.plans.profile import meter_series, profile_load
 from wattloom.schema import ProfileConfig
 from wattloom.sources import catalog
 from wattloom.sources import readings as io
 from wattloom.storage import fresh_path, materialise
 
-#: Clusters and rounds on the readings; on the embeddings k is 10.
-K, ROUNDS, UPDATES = 3, 3, 3
-K_VECTORS = 10
-MAX_UPDATES = 40
+#: Clusters and rounds of every fit; seeds, updates and stop rule are the operators' defaults.
+K, ROUNDS = 10, 3
+#: Only where the number of updates is the feature.
+UPDATES = 3
 
 _COARSE = ("usagekw", "usagekw_sum_5min", "usagekw_sum_5min_mean", "usagekw_sum_5min_norm_denom")
 
@@ -65,6 +65,18 @@ def ingest_meter_files(spark: SparkSession, sf: str) -> DataFrame:
     return io.ingest_meter_files(spark, _meter_folder(spark, sf), _METER_IN_FOLDER, recursive=True)
 
 
+def ingest_named_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The id stands in the file's name, behind a prefix, as in the raw data."""
+    source, target = _meter_folder(spark, sf), fresh_path(spark, "named-files")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = files.Path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(files.Path(target))
+    for part in system.globStatus(files.Path(f"{source}/building_num=*/*.csv")):
+        meter = part.getPath().getParent().getName().partition("=")[2]
+        system.rename(part.getPath(), files.Path(f"{target}/Home_minute_{meter}.csv"))
+    return io.ingest_meter_files(spark, target)
+
+
 def rows_per_file(spark: SparkSession, sf: str) -> DataFrame:
     files = io.rows_per_file(spark, _meter_folder(spark, sf), recursive=True)
     meter = F.regexp_extract("file_path", _METER_IN_FOLDER, 1).cast("int")
@@ -78,7 +90,7 @@ def readings_table(spark: SparkSession, sf: str) -> DataFrame:
     catalog.create_readings_table(spark, "wattloom_check.readings")
     catalog.load_readings_csv(spark, path, "wattloom_check.readings")
     loaded = spark.table("wattloom_check.readings")
-    bucketed = catalog.save_table(loaded, "wattloom_check.by_meter", ["building_num"])
+    bucketed = catalog.save_table(loaded, "wattloom_check.by_meter", ["building_num"], buckets=8)
     catalog.create_view(quality.interval_check(bucketed), "wattloom_check_gaps")
     return catalog.save_table(spark.table("wattloom_check_gaps"), "wattloom_check.gaps")
 
@@ -126,6 +138,10 @@ def complete_readings(spark: SparkSession, sf: str) -> DataFrame:
     return quality.complete_readings(fixtures.readings(spark, sf))
 
 
+def complete_readings_common_span(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.complete_readings(fixtures.readings(spark, sf), require_common_span=True)
+
+
 def completeness_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return quality.completeness_histogram(complete_readings(spark, sf))
 
@@ -208,17 +224,18 @@ def periodogram_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 def vector_functions(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("pgram_norm_arr")
     other = F.reverse(v)
-    return rounded(
-        embedding_points(spark, sf).select(
-            "bgid",
-            vectors.dot(v, other).alias("dot_reversed"),
-            vectors.l2(v, other).alias("l2_reversed"),
-            F.element_at(vectors.subtract(v, other), 1).alias("first_difference"),
-            F.size(vectors.pad_to(v, F.size("win_id_arr"))).alias("padded_size"),
-            F.element_at(vectors.pad_to(v, F.size("win_id_arr")), -1).alias("padding"),
-            F.element_at(vectors.filled(-9999, F.size(v)), -1).alias("filler"),
-        )
+    computed = embedding_points(spark, sf).select(
+        "bgid",
+        vectors.dot(v, other).alias("dot_reversed"),
+        vectors.l2(v, other).alias("l2_reversed"),
+        F.col("win_id_arr").alias("positions"),
+        vectors.subtract(v, other).alias("differences"),
+        vectors.pad_to(v, F.size("win_id_arr")).alias("padded"),
+        vectors.zeros(F.size(v)).alias("nothing"),
+        vectors.filled(-9999, F.size(v)).alias("fill"),
     )
+    names = {"positions": "pos", "differences": "difference", "padded": "padded_value", "nothing": "zero", "fill": "filler"}
+    return rounded(assemble.unnest_together(computed, names))
 
 
 def _matrix_rows(spark: SparkSession, matrix: np.ndarray, k: int) -> DataFrame:
@@ -228,41 +245,82 @@ def _matrix_rows(spark: SparkSession, matrix: np.ndarray, k: int) -> DataFrame:
 
 
 def _start(points: DataFrame) -> np.ndarray:
-    return cluster.first_points(points, K_VECTORS)
+    """The lowest ids: for the two queries that test single updates from a given start."""
+    return cluster.first_points(points, K)
+
+
+def _fit(points: DataFrame) -> np.ndarray:
+    """As the job does it: k-means++, at most 100 updates, until under 0.001 change cluster."""
+    return cluster.kmeans_lloyd(points, K)
 
 
 def kmeans_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = cluster.kmeans_seeds(embedding_points(spark, sf), K_VECTORS)
-    return _matrix_rows(spark, seeds, K_VECTORS)
+    seeds = cluster.kmeans_seeds(embedding_points(spark, sf), K)
+    return _matrix_rows(spark, seeds, K)
 
 
 def lloyd_step(spark: SparkSession, sf: str) -> DataFrame:
     points = embedding_points(spark, sf)
     moved, _ = cluster.lloyd_step(points, _start(points))
-    return _matrix_rows(spark, moved, K_VECTORS)
+    return _matrix_rows(spark, moved, K)
 
 
 def lloyd_fixed_iters(spark: SparkSession, sf: str) -> DataFrame:
     points = embedding_points(spark, sf)
-    return _matrix_rows(spark, cluster.lloyd(points, _start(points), UPDATES, 0.0), K_VECTORS)
+    return _matrix_rows(spark, cluster.lloyd(points, _start(points), UPDATES, 0.0), K)
 
 
 def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
-    """Until no point changes its cluster: the SQL twin cannot stop, but stays at that point."""
-    centroids = cluster.kmeans_lloyd(
-        embedding_points(spark, sf), K_VECTORS, max_iter=MAX_UPDATES, min_frac_reassigned=1e-9
-    )
-    return _matrix_rows(spark, centroids, K_VECTORS)
+    return _matrix_rows(spark, _fit(embedding_points(spark, sf)), K)
+
+
+def _shifted(points: DataFrame, k: int) -> DataFrame:
+    """Points with one right clustering on two levels: labels far apart, and within them k groups."""
+    shift = 1000.0 * F.col("building_num") + 30.0 * F.pmod("bgid", F.lit(k))
+    moved = F.transform("pgram_norm_arr", lambda x: x + shift)
+    return points.withColumn("pgram_norm_arr", moved)
+
+
+def _labels(points: DataFrame) -> int:
+    return points.select("building_num").distinct().count()
 
 
 def kmeans_mllib(spark: SparkSession, sf: str) -> DataFrame:
-    centroids = cluster.kmeans_mllib(embedding_points(spark, sf), K_VECTORS)
-    return _matrix_rows(spark, centroids, K_VECTORS)
+    """Whatever the library's seeding, a cluster is a label: named by its lowest id."""
+    points = embedding_points(spark, sf)
+    k = _labels(points)
+    moved = materialise(_shifted(points, k), "shifted")
+    centroids = cluster.kmeans_mllib(moved, k)
+    assigned = materialise(cluster.assign_clusters(moved, centroids, k), "assigned")
+    rows = assemble.centroid_rows(cluster.centroid_table(spark, k, centroids))
+    measured = assemble.distance_to_centroid(assigned, rows)
+    named = measured.groupBy("cluster_id").agg(
+        F.min("bgid").alias("lowest_bgid"),
+        F.count("*").alias("size"),
+        F.sum(F.col("l2dist") * F.col("l2dist")).alias("sse"),
+    )
+    values = rows.select("cluster_id", F.posexplode("centroid_array").alias("pos", "centroid_value"))
+    return rounded(named.join(values, "cluster_id").drop("cluster_id"), 4)
 
 
-def _assigned_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+def _assigned_embeddings(spark: SparkSession, sf: str, distance: str = "euclidean") -> DataFrame:
     points = embedding_points(spark, sf)
-    return cluster.assign_clusters(points, _start(points), K_VECTORS)
+    return cluster.assign_clusters(points, _fit(points), K, distance=distance)
+
+
+def assign_clusters_by_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Also fitted with that distance: seeds, assignment and stop rule."""
+    return _fit_and_assign(spark, sf, "cosine")
+
+
+def assign_clusters_by_manhattan(spark: SparkSession, sf: str) -> DataFrame:
+    return _fit_and_assign(spark, sf, "manhattan")
+
+
+def _fit_and_assign(spark: SparkSession, sf: str, distance: str) -> DataFrame:
+    points = embedding_points(spark, sf)
+    centroids = cluster.kmeans_lloyd(points, K, distance=distance)
+    return cluster.assign_clusters(points, centroids, K, distance=distance).select("bgid", "cluster_id")
 
 
 def assign_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,71 +342,76 @@ def largest_cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.cluster_members(assigned, largest, 1).select("k_r1", "cluster_id_r1", "bgid")
 
 
-def _fixed_fit(k: int):
-    def fit(points: DataFrame) -> np.ndarray:
-        return cluster.lloyd(points, cluster.first_points(points, k), UPDATES, 0.0)
-
-    return fit
+def _assigned_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    points = embedding_points(spark, sf)
+    model = cluster.hierarchical_kmeans(points, _fit, K, ROUNDS)
+    return cluster.assign_rounds(points, model)
 
 
 def hierarchical_lloyd(spark: SparkSession, sf: str) -> DataFrame:
-    points = embedding_points(spark, sf)
-    model = cluster.hierarchical_kmeans(points, _fixed_fit(K_VECTORS), K_VECTORS, ROUNDS)
-    assigned = cluster.assign_rounds(points, model)
-    return rounded(assigned.drop("building_num", "pgram_norm_arr", "win_id_arr"))
+    return rounded(_assigned_rounds(spark, sf).drop("building_num", "pgram_norm_arr", "win_id_arr"))
 
 
 def hierarchical_kmeans_mllib(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds on points with one right answer; clusters are named by their lowest id."""
     points = embedding_points(spark, sf)
-    model = cluster.hierarchical_kmeans(
-        points, lambda members: cluster.kmeans_mllib(members, K_VECTORS), K_VECTORS, ROUNDS
-    )
-    assigned = cluster.assign_rounds(points, model)
-    return rounded(assigned.drop("building_num", "pgram_norm_arr", "win_id_arr"))
+    k = _labels(points)
+    moved = materialise(_shifted(points, k), "shifted")
+    model = cluster.hierarchical_kmeans(moved, lambda m: cluster.kmeans_mllib(m, k), k, 2)
+    assigned = materialise(cluster.assign_rounds(moved, model), "assigned")
+    for suffix in ("", "_r2"):
+        lowest = assigned.where(f"cluster_id{suffix} IS NOT NULL").groupBy(f"cluster_id{suffix}")
+        named = lowest.agg(F.min("bgid").alias(f"lowest_bgid{suffix}"))
+        assigned = assigned.join(named, f"cluster_id{suffix}", "left")
+    return rounded(assigned.select("bgid", "lowest_bgid", "l2dist", "lowest_bgid_r2", "l2dist_r2"), 4)
+
+
+def cluster_sse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fit.cluster_sse(_assigned_rounds(spark, sf), ROUNDS))
+
+
+def silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fit.silhouette(materialise(_assigned_rounds(spark, sf), "assigned"), ROUNDS))
 
 
 # --- centroids, distances, rounds
 
 
-def _start_table(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.centroid_table(spark, K_VECTORS, _start(embedding_points(spark, sf)))
+def _fitted_table(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.centroid_table(spark, K, _fit(embedding_points(spark, sf)))
 
 
 def unnest_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(assemble.unnest_centroids(_start_table(spark, sf)))
+    return rounded(assemble.unnest_centroids(_fitted_table(spark, sf)))
 
 
 def centroid_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = assemble.centroid_rows(_start_table(spark, sf))
+    rows = assemble.centroid_rows(_fitted_table(spark, sf))
     return rounded(
         rows.select("k", "cluster_id", F.posexplode("centroid_array").alias("pos", "centroid_value"))
     )
 
 
 def distance_to_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = assemble.centroid_rows(_start_table(spark, sf))
+    rows = assemble.centroid_rows(_fitted_table(spark, sf))
     measured = assemble.distance_to_centroid(_assigned_embeddings(spark, sf), rows)
-    return rounded(
-        measured.select(
-            "k",
-            "cluster_id",
-            "bgid",
-            "l2dist",
-            F.size("km_centroid_padded").alias("padded_size"),
-            F.element_at("km_centroid_padded", 1).alias("first_value"),
-            F.element_at("km_centroid_padded", -1).alias("last_value"),
-        )
-    )
+    kept = measured.select("k", "cluster_id", "bgid", "l2dist", "win_id_arr", "km_centroid_padded")
+    names = {"win_id_arr": "pos", "km_centroid_padded": "centroid_value"}
+    return rounded(assemble.unnest_together(kept, names))
 
 
 def _round_columns(merged: DataFrame) -> DataFrame:
+    arrays = {
+        "win_id_arr": "win_id",
+        "usagekw_sum_5min_arr": "usagekw_sum_5min",
+        "usagekw_sum_5min_norm_arr": "usagekw_sum_5min_norm",
+        "pgram_norm_arr_padded": "pgram_norm_padded",
+    }
     wanted = ["bgid", "building_num"]
     for suffix in cluster.round_suffixes(ROUNDS):
         wanted += [f"k{suffix}", f"cluster_id{suffix}", f"l2dist{suffix}"]
-        wanted.append(
-            F.element_at(f"km_centroid_padded{suffix}", 1).alias(f"first_value{suffix}")
-        )
-    return fine(merged.select(*wanted))
+        arrays[f"km_centroid_padded{suffix}"] = f"centroid_value{suffix}"
+    return fine(assemble.unnest_together(merged.select(*wanted, *arrays), arrays))
 
 
 def merge_rounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,7 +419,7 @@ def merge_rounds(spark: SparkSession, sf: str) -> DataFrame:
     members = _features(spark, sf)
     measured = []
     for number in range(1, ROUNDS + 1):
-        centroids = _fixed_fit(K)(members)
+        centroids = _fit(members)
         assigned = cluster.assign_clusters(members, centroids, K)
         rows = assemble.centroid_rows(cluster.centroid_table(spark, K, centroids))
         measured.append(assemble.distance_to_centroid(assigned, rows))
@@ -369,7 +432,7 @@ def merge_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     points = _features(spark, sf)
-    model = cluster.hierarchical_kmeans(points, _fixed_fit(K), K, ROUNDS)
+    model = cluster.hierarchical_kmeans(points, _fit, K, ROUNDS)
     return assemble.attach_rounds(cluster.assign_rounds(points, model), model)
 
 
@@ -382,12 +445,17 @@ def _overall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overall_cluster_id(spark: SparkSession, sf: str) -> DataFrame:
-    overall = _overall(spark, sf)
-    arrays = [name for name, kind in overall.dtypes if kind.startswith("array")]
-    fills = [
-        F.element_at(f"km_centroid_padded_r{n}_nonull", -1).alias(f"last_value_r{n}") for n in (2, 3)
-    ]
-    return fine(overall.select(*[c for c in overall.columns if c not in arrays], *fills))
+    later = [f"km_centroid_padded_r{n}_nonull" for n in range(2, ROUNDS + 1)]
+    arrays = {
+        "win_id_arr": "win_id",
+        "usagekw_sum_5min_arr": "usagekw_sum_5min",
+        "usagekw_sum_5min_norm_arr": "usagekw_sum_5min_norm",
+        "pgram_pt_id_arr_padded": "pgram_pt_id_padded",
+        "pgram_norm_arr_padded": "pgram_norm_padded",
+        "km_centroid_padded": "km_centroid_padded_unnest",
+        **{c: c.replace("padded", "padded_unnest") for c in later},
+    }
+    return fine(assemble.unnest_together(_overall(spark, sf), arrays))
 
 
 def unnest_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,27 +472,20 @@ def polar_layout(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     centroids = views.cluster_centroids(_overall(spark, sf))
     arrays = [name for name, kind in centroids.dtypes if kind.startswith("array")]
-    firsts = [F.element_at(name, 1).alias(name.replace("_arr", "")) for name in arrays]
-    sizes = F.size("km_centroid_padded_allrounds").alias("n_values")
-    return fine(centroids.select(*[c for c in centroids.columns if c not in arrays], *firsts, sizes))
+    return fine(assemble.unnest_together(centroids, {a: a.replace("_arr", "") for a in arrays}))
 
 
 def unnest_cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return fine(views.unnest_cluster_centroids(views.cluster_centroids(_overall(spark, sf))))
 
 
-def _settled(overall: DataFrame) -> DataFrame:
-    """Meters with equal spectra differ in the last bits of their distance; settle such ties."""
-    return overall.withColumn("l2dist_all", F.round("l2dist_all", 12))
-
-
 def closest_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return fine(views.closest_profiles(_settled(_overall(spark, sf))))
+    return fine(views.closest_profiles(_overall(spark, sf)))
 
 
 def profile_load_layout(spark: SparkSession, sf: str) -> DataFrame:
     config = ProfileConfig(k=K, rounds=ROUNDS)
-    tables = profile_load(fixtures.readings(spark, sf), config, _fixed_fit(K))
+    tables = profile_load(fixtures.readings(spark, sf), config, "lloyd")
     return fine(tables["layout"])
 
 
@@ -436,6 +497,7 @@ def profile_load_mllib(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "read_readings": read_readings,
     "ingest_meter_files": ingest_meter_files,
+    "ingest_named_files": ingest_named_files,
     "rows_per_file": rows_per_file,
     "readings_table": readings_table,
     "sample_readings": sample_readings,
@@ -448,6 +510,7 @@ QUERIES = {
     "meter_spans": meter_spans,
     "span_histogram": span_histogram,
     "complete_readings": complete_readings,
+    "complete_readings_common_span": complete_readings_common_span,
     "completeness_histogram": completeness_histogram,
     "assign_ids": assign_ids,
     "drop_all_zero": drop_all_zero,
@@ -466,10 +529,14 @@ QUERIES = {
     "kmeans_lloyd": kmeans_lloyd,
     "kmeans_mllib": kmeans_mllib,
     "assign_clusters": assign_clusters,
+    "assign_clusters_by_cosine": assign_clusters_by_cosine,
+    "assign_clusters_by_manhattan": assign_clusters_by_manhattan,
     "cluster_sizes": cluster_sizes,
     "largest_cluster_members": largest_cluster_members,
     "hierarchical_lloyd": hierarchical_lloyd,
     "hierarchical_kmeans_mllib": hierarchical_kmeans_mllib,
+    "cluster_sse": cluster_sse,
+    "silhouette": silhouette,
     "unnest_centroids": unnest_centroids,
     "centroid_rows": centroid_rows,
     "distance_to_centroid": distance_to_centroid,

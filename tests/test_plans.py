@@ -5,6 +5,7 @@ import re
 import pytest
 
 from crosscheck import fixtures, queries
+from tests.conftest import SF
 from wattloom.operators import assemble, cluster, ids, quality, signal, views
 from wattloom.plans.profile import meter_series
 from wattloom.sources import catalog
@@ -75,7 +76,7 @@ def test_shuffled_readings_keep_their_partitioning(readings, no_broadcast):
 
 def test_bucketed_readings_are_not_shuffled(spark, readings, no_broadcast):
     catalog.reset_namespace(spark, "wattloom_plans")
-    bucketed = catalog.save_table(readings, "wattloom_plans.readings", ["building_num"])
+    bucketed = catalog.save_table(readings, "wattloom_plans.readings", ["building_num"], buckets=8)
     assert not operators(quality.interval_check(bucketed), "Exchange")
     shuffles = operators(meter_series(bucketed), "Exchange")
     by_meter = [s for s in shuffles if "hashpartitioning(building_num" in s]
@@ -83,6 +84,13 @@ def test_bucketed_readings_are_not_shuffled(spark, readings, no_broadcast):
     catalog.reset_namespace(spark, "wattloom_plans")
 
 
+def test_common_span_reads_a_written_summary(spark, readings):
+    summary = materialise(quality.meter_summary(readings), "summary")
+    df = quality.complete_meters(readings, require_common_span=True, summary=summary)
+    assert not [s for s in operators(df, "FileScan") if "tslocal:" in s]
+    assert len(operators(quality.complete_meters(readings, require_common_span=True), "FileScan")) == 2
+
+
 def test_closest_profiles_limits_before_the_shuffle(overall):
     df = views.closest_profiles(overall)
     assert len(operators(df, "WindowGroupLimit")) == 2
@@ -104,13 +112,16 @@ def test_overall_numbers_only_distinct_paths(spark, sf):
 
 def test_points_meet_the_model_once_per_pass(spark, sf):
     points = materialise(queries._features(spark, sf), "features")
-    model = cluster.hierarchical_kmeans(points, queries._fixed_fit(3), 3, 2)
+    model = cluster.hierarchical_kmeans(points, queries._fit, 10, 2)
     merged = assemble.attach_rounds(cluster.assign_rounds(points, model), model)
     assert len(operators(merged, "ArrowEvalPython")) == 1
-    # Once for the distinct paths, once for the rows.
-    assert len(operators(assemble.overall_cluster_id(merged), "ArrowEvalPython")) == 2
-    assigned = cluster.assign_clusters(points, model[0].centroids, 3)
-    rows = assemble.centroid_rows(cluster.centroid_table(spark, 3, model[0].centroids))
+    # As in the job: ids and distances are written, so the search is not run again.
+    written = materialise(cluster.assign_rounds(points, model), "assigned")
+    overall = assemble.overall_cluster_id(assemble.attach_rounds(written, model))
+    assert not operators(overall, "ArrowEvalPython")
+    assert not operators(overall, "SortMergeJoin")
+    assigned = cluster.assign_clusters(points, model[0].centroids, 10)
+    rows = assemble.centroid_rows(cluster.centroid_table(spark, 10, model[0].centroids))
     assert len(operators(assemble.distance_to_centroid(assigned, rows), "ArrowEvalPython")) == 1
     assert len(operators(cluster.cluster_members(assigned, 0, 1), "ArrowEvalPython")) == 1
 
@@ -123,3 +134,18 @@ def test_unnesting_is_one_generator(spark, overall, name):
         else views.unnest_cluster_centroids(views.cluster_centroids(overall))
     )
     assert len(operators(df, "Generate")) == 1
+
+
+def test_no_arrays_among_keys_or_in_the_join_of_rounds(spark, overall):
+    centroids = views.cluster_centroids(overall)
+    keys = [s for s in operators(centroids, "HashAggregate") if "km_centroid" in s or "_arr" in s]
+    assert not keys
+    members = materialise(queries._features(spark, SF), "features")
+    model = cluster.hierarchical_kmeans(members, queries._fit, 10, 1)
+    assigned = cluster.assign_clusters(members, model[0].centroids, 10)
+    rows = assemble.centroid_rows(cluster.centroid_table(spark, 10, model[0].centroids))
+    measured = materialise(assemble.distance_to_centroid(assigned, rows), "measured")
+    merged = assemble.merge_rounds([measured, measured])
+    text = plan(merged)
+    join = text[text.index("FullOuter") :]
+    assert "km_centroid_padded_r2" not in join

@@ -58,19 +58,18 @@ def expected_regular(data):
 
 
 @pytest.mark.parametrize("heaviest", [1, 2, 2000])
-def test_regular_readings_with_heavy_meters(make_readings, monkeypatch, heaviest):
+def test_regular_readings_with_heavy_meters(make_readings, heaviest):
     """Heavy accepted, heavy rejected and ordinary meters, whichever way they are matched."""
-    monkeypatch.setattr(quality, "HEAVIEST", heaviest)
     data = minute_series(1, 4000) + minute_series(2, 30) + minute_series(7, 1)
     data += [(3, 0, 1.0)] * 5000  # copies hold more than half of all rows
     data += [(4, 0, 1.0), (4, 61, 1.0), (None, 0, 1.0), (None, 60, 1.0)]
-    assert rows(quality.regular_readings(make_readings(data))) == expected_regular(data)
+    got = quality.regular_readings(make_readings(data), heaviest=heaviest)
+    assert rows(got) == expected_regular(data)
 
 
-def test_regular_readings_without_broadcast(make_readings, monkeypatch, no_broadcast):
-    monkeypatch.setattr(quality, "HEAVIEST", 1)
+def test_regular_readings_without_broadcast(make_readings, no_broadcast):
     data = minute_series(1, 3000) + minute_series(2, 30) + [(3, 0, 1.0)] * 40
-    assert rows(quality.regular_readings(make_readings(data))) == expected_regular(data)
+    assert rows(quality.regular_readings(make_readings(data), heaviest=1)) == expected_regular(data)
 
 
 def test_regular_rows_with_missing_time_are_kept(make_readings):

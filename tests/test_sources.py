@@ -1,8 +1,10 @@
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tests.helpers import minute_series, rows
+from wattloom.operators.quality import interval_check
 from wattloom.schema import READINGS
 from wattloom.sources import catalog
 from wattloom.sources import readings as io
@@ -73,3 +75,34 @@ def test_tables(spark, make_readings, tmp_path):
     assert anywhere.count() == 3
     catalog.reset_namespace(spark, "wattloom_test")
     assert not spark.catalog.tableExists("wattloom_test.readings")
+
+
+@pytest.mark.parametrize("line", ["7,1301702400,oops", "bad,1301702400,1.0", "7,late,1.0"])
+def test_a_bad_row_fails_whatever_is_asked_for(spark, tmp_path, line):
+    (tmp_path / "readings.csv").write_text(f"6,1301702400,5.1\n{line}\n6,1301702460,5.2\n")
+    readings = io.read_readings(spark, str(tmp_path))
+    for ask in (readings, readings.select("building_num"), interval_check(readings), readings.where("usagekw > 1")):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+            ask.collect()
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        readings.count()
+
+
+def test_a_bad_row_fails_the_count_per_file(spark, tmp_path):
+    (tmp_path / "Home_prefix_7.csv").write_text("1301702400,5.1\nbad,oops\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        io.rows_per_file(spark, str(tmp_path)).collect()
+
+
+def test_a_hot_meter_is_written_by_several_tasks(spark):
+    catalog.reset_namespace(spark, "wattloom_hot")
+    rows = spark.range(20_000).selectExpr(
+        "CAST(IF(id % 2 = 0, 1, id % 500) AS INT) AS building_num", "60 * id AS tslocal", "1e0 AS usagekw"
+    )
+    table = catalog.save_table(rows, "wattloom_hot.readings", ["building_num"], buckets=8, splits=4)
+    sizes = [r[0] for r in table.where("building_num = 1").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) >= 3 and max(sizes) < 10_000 * 0.5
+    assert sorted(interval_check(table).collect()) == sorted(interval_check(rows).collect())
+    with pytest.raises(ValueError):
+        catalog.save_table(rows, "wattloom_hot.none", ["building_num"])
+    catalog.reset_namespace(spark, "wattloom_hot")

@@ -50,3 +50,17 @@ def test_gap_inside_a_series_is_an_error(spark):
 def test_taper_range(spark):
     with pytest.raises(ValueError):
         pgram(F.col("x"), 0.6)
+
+
+@pytest.mark.parametrize("rows", [[[]], [[], []], [[1.0], []], [[1.0], [2.0]], [[], [1.0, 2.0, 3.0]], [None, []]])
+def test_short_series_have_an_empty_spectrum_in_any_batch(spark, rows):
+    df = spark.createDataFrame([(r,) for r in rows], "v array<double>").coalesce(1)
+    got = [r[0] for r in df.select(pgram(F.col("v"))).collect()]
+    assert [None if r is None else len(r) for r in got] == [None if r is None else len(r) // 2 for r in rows]
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_a_bad_value_in_a_series_is_an_error(spark, bad):
+    df = spark.createDataFrame([([1.0, bad, 2.0],)], "v array<double>")
+    with pytest.raises(Exception, match="missing values|non-finite"):
+        df.select(pgram(F.col("v"))).collect()

@@ -32,7 +32,8 @@ def spectra(series: np.ndarray, taper: float) -> np.ndarray:
 
 
 def pgram(series: Column, taper: float = 0.0) -> Column:
-    """Periodogram of an ``array<double>``. Missing values inside a series are an error.
+    """Periodogram of an ``array<double>``. Missing or non-finite values inside a series are an
+    error; a series of fewer than two values has an empty spectrum.
 
     A batch of series of equal length is one FFT call; otherwise there is one per length.
     """
@@ -47,9 +48,11 @@ def pgram(series: Column, taper: float = 0.0) -> Column:
         if flat.null_count:
             raise ValueError("a series has missing values")
         values = flat.to_numpy(zero_copy_only=False)
+        if not np.isfinite(values).all():
+            raise ValueError("a series has non-finite values")
         lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         out_lengths = lengths // 2
-        if lengths.size and (lengths == lengths[0]).all():
+        if lengths.size and lengths[0] > 1 and (lengths == lengths[0]).all():
             out = spectra(values.reshape(len(lengths), -1), taper).ravel()
         else:
             starts, ends = np.cumsum(lengths) - lengths, np.cumsum(out_lengths)

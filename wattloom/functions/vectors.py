@@ -43,35 +43,67 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def batch_matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The non-null vectors of a batch as a matrix, and which rows they are."""
+    """The non-null vectors of a batch as a matrix, and which rows they are.
+
+    A missing, NaN or infinite value is an error: it has no nearest centroid, and one such
+    point would take the whole centroid with it.
+    """
     present = vectors.is_valid().to_numpy(zero_copy_only=False)
-    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()
+    values = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count or not np.isfinite(values).all():
+        raise ValueError("a vector has a missing or non-finite value")
     lengths = vectors.drop_null().value_lengths().to_numpy(zero_copy_only=False)
     if lengths.size and (lengths != width).any():
         raise ValueError(f"expected vectors of {width} values")
     return values.reshape(-1, width).astype(np.float64, copy=False), present
 
 
-def nearest_rows(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centroid (lowest on ties) and the squared distance to it.
+#: Distances that the nearest-centroid search knows.
+DISTANCES = ("euclidean", "cosine", "manhattan")
+
+
+def distances_to(points: np.ndarray, centroid: np.ndarray, distance: str) -> np.ndarray:
+    """Distance of every row to one centroid; Euclidean ones are squared.
 
-    Differences are squared directly instead of expanding the product: with close
-    centroids the expansion loses the digits that decide the winner. Memory stays at
-    one batch-sized buffer.
+    Differences are taken directly instead of expanding the product: with close centroids
+    the expansion loses the digits that decide the winner. The cosine distance of a zero
+    vector is 1.
+    """
+    if distance == "cosine":
+        lengths = np.sqrt(np.einsum("ij,ij->i", points, points)) * np.sqrt(centroid @ centroid)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(lengths > 0, 1.0 - points @ centroid / lengths, 1.0)
+    delta = points - centroid
+    if distance == "manhattan":
+        return np.abs(delta).sum(axis=1)
+    return np.einsum("ij,ij->i", delta, delta)
+
+
+def nearest_rows(
+    points: np.ndarray, centroids: np.ndarray, distance: str = "euclidean"
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centroid (lowest on ties) and the distance to it.
+
+    Memory stays at one batch-sized buffer.
     """
     best = np.zeros(len(points), dtype=np.int32)
-    best_sq = np.full(len(points), np.inf)
+    least = np.full(len(points), np.inf)
     for index, centroid in enumerate(centroids):
-        delta = points - centroid
-        sq = np.einsum("ij,ij->i", delta, delta)
-        closer = sq < best_sq
+        measured = distances_to(points, centroid, distance)
+        closer = measured < least
         best[closer] = index
-        best_sq[closer] = sq[closer]
-    return best, best_sq
+        least[closer] = measured[closer]
+    return best, np.sqrt(least) if distance == "euclidean" else least
+
+
+def check_distance(distance: str) -> None:
+    if distance not in DISTANCES:
+        raise ValueError(f"distance must be one of {DISTANCES}")
 
 
-def nearest_centroid(vector: Column, centroids: np.ndarray) -> Column:
-    """``struct(column_id, distance)`` of the nearest of ``centroids`` (Euclidean).
+def nearest_centroid(vector: Column, centroids: np.ndarray, distance: str = "euclidean") -> Column:
+    """``struct(column_id, distance)`` of the nearest of ``centroids``.
 
     ``centroids`` is a k x d matrix: it belongs to the model, not to the data, so it
     travels with the function. A null vector has a null answer.
@@ -80,17 +112,17 @@ def nearest_centroid(vector: Column, centroids: np.ndarray) -> Column:
     pushed below the projection and the search runs twice. Bind it to a column before using
     several of its fields.
     """
+    check_distance(distance)
     model = np.ascontiguousarray(centroids, dtype=np.float64)
 
     @F.arrow_udf("struct<column_id: int, distance: double>")
     def search(vectors: pa.Array) -> pa.Array:
         points, present = batch_matrix(vectors, model.shape[1])
         ids = np.zeros(len(vectors), dtype=np.int32)
-        distances = np.zeros(len(vectors))
-        ids[present], squared = nearest_rows(points, model)
-        distances[present] = np.sqrt(squared)
+        measured = np.zeros(len(vectors))
+        ids[present], measured[present] = nearest_rows(points, model, distance)
         return pa.StructArray.from_arrays(
-            [pa.array(ids), pa.array(distances)],
+            [pa.array(ids), pa.array(measured)],
             names=["column_id", "distance"],
             mask=pa.array(~present),
         )

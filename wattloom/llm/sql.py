@@ -1,5 +1,153 @@
-"""The same questions as DuckDB SQL, where SQL can express them."""
+"""The same questions as DuckDB SQL, where SQL can express them.
+
+Not here: slots and shards (no CRC-32 in that SQL), token ids (op2, op9), XXH64 (op5), a fitted model
+(op8), and the pipeline; those are tested by brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from wattloom.llm.licenses import PHRASES, TEMPLATES
+from wattloom.llm.secrets import PEM_RULE
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all(coalesce({lower}, ''), '{_WORD}')"
+
+
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100
+                 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f"""
+
+_CONTAMINATION = f"""
+WITH items AS (SELECT item_id, {_words("text")} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[pos + 1 : pos + size], ' ') AS gram
+  FROM (SELECT item_id, words, least(13, len(words)) AS size,
+               unnest(range(greatest(1, len(words) - 12))) AS pos
+        FROM items WHERE len(words) > 0)),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
+grams AS (
+  SELECT row, pos, size, array_to_string(words[pos + 1 : pos + size], ' ') AS gram
+  FROM (SELECT row, words, size, unnest(range(len(words) - size + 1)) AS pos
+        FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+found AS (SELECT row, pos, g.size, item_id FROM grams g JOIN windows w USING (gram) WHERE g.size = w.size),
+hit AS (
+  SELECT row, count(DISTINCT word) AS n_hit
+  FROM (SELECT row, unnest(range(pos, pos + size)) AS word FROM found) GROUP BY row),
+named AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, coalesce(CAST(item_id AS VARCHAR), 'null') AS item FROM found) GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), f"{_either('api')}_?{_either('key')}"])
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_ASSIGN = rf"""(?:{_NAMES})["'']?\x20*[:=]\x20*["'']?"""
+
+
+def _spans(kind: str, rank: int, pattern: str, counted: str, least: int) -> str:
+    """Places of matches: what stands between and in the matches before adds up."""
+    return f"""
+SELECT row, '{kind}' AS kind, {rank} AS rank, pos, pos + size AS stop
+FROM (SELECT row, matched[n] AS found, length(matched[n]) AS size,
+             list_sum(list_transform(between[:n], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(matched[:n - 1], lambda x: length(x))), 0) AS pos
+      FROM (SELECT *, unnest(range(1, len(matched) + 1)) AS n
+            FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS matched,
+                         regexp_split_to_array(text, '{pattern}') AS between FROM docs)))
+WHERE length({counted}) >= {least}"""
+
+
+_SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS (
+{_spans("assign", 0, f"{_ASSIGN}{_VALUE}", f"regexp_extract(found, '^{_ASSIGN}({_VALUE})$', 1)", 8)}
+UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "found", 16)}
+UNION ALL {_spans("hex", 2, "[0-9a-f]+", "found", 32)}
+UNION ALL {_spans("pem", 3, PEM_RULE.pattern, "found", 1)}),
+named AS (SELECT *, kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said FROM spans),
+grouped AS (
+  SELECT row, count_if(rank = 0) AS n_assign, count_if(rank = 1) AS n_access, count_if(rank = 2) AS n_hex,
+         string_agg(said, ',' ORDER BY pos, rank) FILTER (WHERE rank < 3) AS base,
+         string_agg(said, ',' ORDER BY pos, rank) AS spans
+  FROM named GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign,
+       CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN grouped USING (row)"""
+
+_PHRASES = " UNION ALL ".join(
+    f"SELECT {p.split()} AS phrase, '{label}' AS label" for p, label in PHRASES.items()
+)
+_TEMPLATES = " UNION ALL ".join(
+    f"SELECT list_distinct({_words(repr(text))}) AS wanted, '{label}' AS label"
+    for label, text in TEMPLATES.items()
+)
+
+_LICENSES = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text, {_words("text")} AS words FROM documents),
+phrases AS ({_PHRASES}),
+templates AS ({_TEMPLATES}),
+places AS (
+  SELECT row, label, pos
+  FROM (SELECT row, words, phrase, label, unnest(range(len(words))) AS pos FROM docs CROSS JOIN phrases)
+  WHERE words[pos + 1 : pos + len(phrase)] = phrase),
+base AS (
+  SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY row),
+lines AS (
+  SELECT row, {_words("line")} AS words
+  FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs)),
+met AS (
+  SELECT row, label, len(list_intersect(wanted, words)) / len(wanted) AS share
+  FROM lines CROSS JOIN templates WHERE len(list_intersect(wanted, words)) / len(wanted) >= 0.8e0),
+every AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT row, label FROM places UNION ALL SELECT row, label FROM met) GROUP BY row),
+best AS (SELECT row, max(share) AS score FROM met GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score
+FROM docs LEFT JOIN base USING (row) LEFT JOIN every USING (row) LEFT JOIN best USING (row)"""
+
+_TOP_K = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_reader": _WARC,
+    "op4_decontamination": _CONTAMINATION,
+    "op6_secret_ledger": _SECRETS,
+    "op7_license_join": _LICENSES,
+    "op10_impact_top_k": _TOP_K,
+}

@@ -63,18 +63,29 @@ def distance_to_centroid(assigned: DataFrame, centroids: DataFrame) -> DataFrame
 def merge_rounds(rounds: Sequence[DataFrame]) -> DataFrame:
     """Join the results of ``distance_to_centroid`` of all rounds by ``bgid``.
 
-    Later rounds get the suffixes ``_r2``, ``_r3``, ... Only the four columns that are kept
-    of a later round take part in the join. For assembled runs ``attach_rounds`` gives the
-    same table without a join on ``bgid``.
+    Later rounds get the suffixes ``_r2``, ``_r3``, ... Only ids and distances of a later
+    round are joined by meter; its centroids are a row per cluster and padded length, and come
+    back by broadcast. For assembled runs ``attach_rounds`` gives the same table without a
+    join on ``bgid``.
     """
-    kept = ["k", "cluster_id", "l2dist", "km_centroid_padded"]
+    kept = ["k", "cluster_id", "l2dist"]
     first = rounds[0]
     profile = [c for c in _PROFILE if c in first.columns]
-    merged = first.select(*profile, *kept)
-    for suffix, later in zip(round_suffixes(len(rounds))[1:], rounds[1:]):
+    suffixes = round_suffixes(len(rounds))
+    merged = first.select(*profile, *kept, F.col("km_centroid_padded"))
+    for suffix, later in zip(suffixes[1:], rounds[1:]):
         renamed = later.select("bgid", *[F.col(c).alias(f"{c}{suffix}") for c in kept])
         merged = merged.join(renamed, "bgid", "full")
-    return merged
+    merged = merged.withColumn("padded_length", F.size("pgram_norm_arr_padded"))
+    for suffix, later in zip(suffixes[1:], rounds[1:]):
+        centroid = f"km_centroid_padded{suffix}"
+        per_cluster = later.groupBy(
+            F.col("cluster_id").alias(f"cluster_id{suffix}"),
+            F.size("km_centroid_padded").alias("padded_length"),
+        ).agg(F.first("km_centroid_padded").alias(centroid))
+        merged = merged.join(F.broadcast(per_cluster), [f"cluster_id{suffix}", "padded_length"], "left")
+    columns = [f"{c}{s}" for s in suffixes for c in [*kept, "km_centroid_padded"]]
+    return merged.select(*profile, *columns)
 
 
 def attach_rounds(assigned: DataFrame, model: list[Round]) -> DataFrame:
@@ -157,15 +168,19 @@ def unnest_profiles(overall: DataFrame) -> DataFrame:
     columns += [
         (f"km_centroid_padded{s}_nonull", f"km_centroid_padded_unnest{s}_nonull") for s in later
     ]
-    return unnest_together(overall, dict(columns))
+    held = [(a, name) for a, name in columns if a in overall.columns]
+    return unnest_together(overall, dict(held))
 
 
 def unnest_together(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
     """Explode several arrays in lockstep; ``arrays`` maps each to the name of its values.
 
     Values take the arrays' places among the columns. Shorter arrays are filled with NULL.
+    An array that is not there is an error.
     """
-    present = [a for a in arrays if a in df.columns]
+    present = list(arrays)
+    if missing := [a for a in arrays if a not in df.columns]:
+        raise ValueError(f"no columns {missing} to unnest")
     zipped = F.arrays_zip(*[F.col(a).alias(arrays[a]) for a in present])
     scalars = [c for c in df.columns if c not in present]
     long = df.select(*scalars, F.inline(zipped).alias(*[arrays[a] for a in present]))

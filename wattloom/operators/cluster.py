@@ -17,10 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions.hashing import hash_uniform
-from wattloom.functions.vectors import batch_matrix, nearest_centroid, nearest_rows, pad_to
+from wattloom.functions.vectors import (
+    batch_matrix,
+    check_distance,
+    nearest_centroid,
+    nearest_rows,
+    pad_to,
+)
 from wattloom.storage import materialise
 
-_DISTANCES = ("euclidean",)
+#: Distances of the library's k-means; ``kmeans_lloyd`` knows ``vectors.DISTANCES``.
+MLLIB_DISTANCES = ("euclidean", "cosine")
 
 
 def kmeans_mllib(
@@ -38,7 +45,8 @@ def kmeans_mllib(
     centroids if there are fewer distinct points. Its seeding depends on how the points are
     partitioned; ``kmeans_lloyd`` does not.
     """
-    _check_distance(distance)
+    if distance not in MLLIB_DISTANCES:
+        raise ValueError(f"the library knows the distances {MLLIB_DISTANCES}")
     features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure=distance).fit(features)
     return np.array(model.clusterCenters())
@@ -50,6 +58,7 @@ def kmeans_seeds(
     vector: str = "pgram_norm_arr",
     point_id: str = "bgid",
     seed: int = 42,
+    distance: str = "euclidean",
 ) -> np.ndarray:
     """k-means++ seeds: each next seed is drawn with weight D^2, the squared distance to
     the nearest seed so far.
@@ -66,7 +75,7 @@ def kmeans_seeds(
     for step in range(k):
         draw = F.log(hash_uniform(f"{seed}/{step}", F.col("id")))
         if chosen:
-            weighed = data.withColumn("d", nearest_centroid(F.col("v"), np.array(chosen)).distance)
+            weighed = data.withColumn("d", nearest_centroid(F.col("v"), np.array(chosen), distance).distance)
             weighed = weighed.where("d > 0").withColumn("key", draw / (F.col("d") * F.col("d")))
         else:
             weighed = data.withColumn("key", draw)
@@ -92,6 +101,7 @@ def lloyd_step(
     centroids: np.ndarray,
     previous: np.ndarray | None = None,
     vector: str = "pgram_norm_arr",
+    distance: str = "euclidean",
 ) -> tuple[np.ndarray, float]:
     """Move every centroid to the mean of its points; also the fraction of points that changed
     cluster since ``previous``.
@@ -100,7 +110,7 @@ def lloyd_step(
     cluster that holds nearly all points costs the same as any other. Old assignments are
     not stored: both are recomputed from the two models. An empty cluster stays in place.
     """
-    totals = _partial_sums(points, centroids, previous, vector)
+    totals = _partial_sums(points, centroids, previous, vector, distance)
     # At most k * (d + 1) + 1 rows: the size of the model.
     summed = totals.groupBy("cluster_id", "pos").agg(F.sum("total").alias("total")).toArrow()
     cluster_id, pos, total = (summed[c].to_numpy() for c in ("cluster_id", "pos", "total"))
@@ -124,12 +134,13 @@ def lloyd(
     max_iter: int = 100,
     min_frac_reassigned: float = 0.001,
     vector: str = "pgram_norm_arr",
+    distance: str = "euclidean",
 ) -> np.ndarray:
     """Iterate ``lloyd_step`` until fewer than ``min_frac_reassigned`` of the points change
     cluster, at most ``max_iter`` times. ``points`` is read once per iteration."""
     previous, current = None, start
     for _ in range(max_iter):
-        moved, fraction = lloyd_step(points, current, previous, vector)
+        moved, fraction = lloyd_step(points, current, previous, vector, distance)
         previous, current = current, moved
         if fraction < min_frac_reassigned:
             break
@@ -147,11 +158,20 @@ def kmeans_lloyd(
     start: np.ndarray | None = None,
     distance: str = "euclidean",
 ) -> np.ndarray:
-    """k-means++ (or given ``start`` centroids) with the stop rule on reassigned points."""
-    _check_distance(distance)
-    if start is None:
-        start = kmeans_seeds(points, k, vector, point_id, seed)
-    return lloyd(points, start, max_iter, min_frac_reassigned, vector)
+    """k-means++ (or given ``start`` centroids) with the stop rule on reassigned points.
+
+    Points go to the centroid that is nearest by ``distance``; a centroid is the mean of its
+    points under any of them. The id and vector of the points are kept in memory, or on the
+    executors' disks, during the fit: lost ones are computed again.
+    """
+    check_distance(distance)
+    data = points.select(point_id, vector).persist()
+    try:
+        if start is None:
+            start = kmeans_seeds(data, k, vector, point_id, seed, distance)
+        return lloyd(data, start, max_iter, min_frac_reassigned, vector, distance)
+    finally:
+        data.unpersist()
 
 
 def centroid_table(spark: SparkSession, k: int, centroids: np.ndarray) -> DataFrame:
@@ -167,11 +187,12 @@ def assign_clusters(
     k: int,
     vector: str = "pgram_norm_arr",
     point_ids: str = "win_id_arr",
+    distance: str = "euclidean",
 ) -> DataFrame:
     """Add ``k``, the nearest centroid's ``cluster_id``, and the vector padded to the length
     of ``point_ids``. The model travels with the function; nothing is joined."""
     length = F.size(point_ids)
-    nearest = nearest_centroid(F.col(vector).cast("array<double>"), centroids)
+    nearest = nearest_centroid(F.col(vector).cast("array<double>"), centroids, distance)
     return points.select(
         F.lit(k).alias("k"),
         nearest.column_id.alias("cluster_id"),
@@ -222,12 +243,14 @@ def hierarchical_kmeans(
     rounds: int = 3,
     vector: str = "pgram_norm_arr",
     split_clusters: list[int] | None = None,
+    distance: str = "euclidean",
 ) -> list[Round]:
     """Cluster, then cluster the largest cluster again, ``rounds`` times in all.
 
-    ``split_clusters`` names the clusters to split instead of the largest. Ends early when
-    the cluster to split has at most ``k`` points. The members of a split cluster are
-    written out, because the next fit reads them once per iteration.
+    ``split_clusters`` names the clusters to split instead of the largest. Every round is run,
+    however few points it has: a fit gives fewer than ``k`` centroids then, and the rounds
+    behind a cluster without points have none. The members of a split cluster are written
+    out, because the next fit reads them once per iteration.
     """
     model: list[Round] = []
     members = points
@@ -236,25 +259,25 @@ def hierarchical_kmeans(
         if number == rounds - 1:
             model.append(Round(k, centroids))
             break
-        nearest = nearest_centroid(F.col(vector).cast("array<double>"), centroids)
+        nearest = nearest_centroid(F.col(vector).cast("array<double>"), centroids, distance)
         assigned = members.withColumn("cluster_id", nearest.column_id)
-        if split_clusters:
-            split = split_clusters[number]
-            size = assigned.where(F.col("cluster_id") == split).count()
-        else:
-            split, size = largest_cluster(assigned)
-        if size <= k:
-            model.append(Round(k, centroids))
-            break
+        split = split_clusters[number] if split_clusters else largest_cluster(assigned)[0]
         model.append(Round(k, centroids, split))
         members = materialise(
             assigned.where(F.col("cluster_id") == split).drop("cluster_id"), f"members-r{number + 2}"
         )
+        if split_clusters and members.isEmpty():
+            nothing = Round(k, np.zeros((0, centroids.shape[1])))
+            model += [nothing] * (rounds - number - 1)
+            break
     return model
 
 
 def assign_rounds(
-    points: DataFrame, model: list[Round], vector: str = "pgram_norm_arr"
+    points: DataFrame,
+    model: list[Round],
+    vector: str = "pgram_norm_arr",
+    distance: str = "euclidean",
 ) -> DataFrame:
     """Add cluster and distance of every round: ``k, cluster_id, l2dist``, then with suffix
     ``_r2``, ``_r3``, ...; NULL where a point was not clustered again.
@@ -272,7 +295,7 @@ def assign_rounds(
             path[f"cluster_id{suffix}"].alias(f"cluster_id{suffix}"),
             path[f"l2dist{suffix}"].alias(f"l2dist{suffix}"),
         ]
-    followed = points.withColumn("path_of_point", _path(F.col(vector).cast("array<double>"), model))
+    followed = points.withColumn("path_of_point", _path(F.col(vector).cast("array<double>"), model, distance))
     return followed.select(*points.columns, *added)
 
 
@@ -285,7 +308,11 @@ _SIZE, _CHANGED = -1, -2
 
 
 def _partial_sums(
-    points: DataFrame, centroids: np.ndarray, previous: np.ndarray | None, vector: str
+    points: DataFrame,
+    centroids: np.ndarray,
+    previous: np.ndarray | None,
+    vector: str,
+    distance: str,
 ) -> DataFrame:
     """Per partition: sum per cluster and position, points per cluster, changed points."""
     model = np.ascontiguousarray(centroids, dtype=np.float64)
@@ -296,11 +323,11 @@ def _partial_sums(
         sums, sizes, changed = np.zeros((k, width)), np.zeros(k), 0.0
         for batch in batches:
             block, _ = batch_matrix(batch.column(0), width)
-            ids, _ = nearest_rows(block, model)
+            ids, _ = nearest_rows(block, model, distance)
             if old is None:
                 changed += len(block)
             else:
-                changed += np.count_nonzero(nearest_rows(block, old)[0] != ids)
+                changed += np.count_nonzero(nearest_rows(block, old, distance)[0] != ids)
             for cluster in np.unique(ids):
                 mine = block[ids == cluster]
                 sums[cluster] += mine.sum(axis=0)
@@ -320,7 +347,7 @@ def _partial_sums(
     return vectors.mapInArrow(reduce_partition, "cluster_id int, pos int, total double")
 
 
-def _path(vector: Column, model: list[Round]) -> Column:
+def _path(vector: Column, model: list[Round], distance: str) -> Column:
     """Struct of cluster and distance per round for one point."""
     names = [f"{c}{s}" for s in round_suffixes(len(model)) for c in ("cluster_id", "l2dist")]
     kinds = ["int", "double"] * len(model)
@@ -333,19 +360,14 @@ def _path(vector: Column, model: list[Round]) -> Column:
         rows = np.flatnonzero(present)
         columns = []
         for matrix, split in zip(matrices, splits):
-            ids, squared = nearest_rows(block, matrix)
+            ids, measured = nearest_rows(block, matrix, distance)
             all_ids = np.zeros(len(batch), dtype=np.int32)
             distances = np.zeros(len(batch))
             missing = np.ones(len(batch), dtype=bool)
-            all_ids[rows], distances[rows], missing[rows] = ids, np.sqrt(squared), False
+            all_ids[rows], distances[rows], missing[rows] = ids, measured, False
             columns += [pa.array(all_ids, mask=missing), pa.array(distances, mask=missing)]
             stay = ids == split if split is not None else np.zeros(len(ids), dtype=bool)
             block, rows = block[stay], rows[stay]
         return pa.StructArray.from_arrays(columns, names=names)
 
     return follow.asNondeterministic()(vector)  # as in nearest_centroid
-
-
-def _check_distance(distance: str) -> None:
-    if distance not in _DISTANCES:
-        raise ValueError(f"distance must be one of {_DISTANCES}")

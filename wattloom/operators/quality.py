@@ -7,13 +7,15 @@ stitched together at the slot edges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.storage import materialise
 
-#: Meters with the most readings that get separate treatment before a shuffle. After
-#: they are taken out, no meter holds more than 1/(HEAVIEST + 1) of all readings.
+#: Default of ``heaviest``: meters with the most readings that get separate treatment before a
+#: shuffle. After they are taken out, no meter holds more than 1/(HEAVIEST + 1) of all readings.
 HEAVIEST = 2000
 
 #: Over how many artificial keys the readings of such meters are spread.
@@ -127,25 +129,35 @@ def interval_histogram(checked: DataFrame) -> DataFrame:
     return checked.groupBy("diff_ct").agg(F.count("*").alias("ct_buildings")).orderBy("diff_ct")
 
 
-def regular_readings(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
+def regular_readings(
+    readings: DataFrame,
+    interval_seconds: int = 60,
+    summary: DataFrame | None = None,
+    heaviest: int = HEAVIEST,
+) -> DataFrame:
     """The readings of meters whose every gap is one interval.
 
     The summary (one row per meter) is written first: it is used twice, and its real size
-    then decides how the readings are matched against it.
+    then decides how the readings are matched against it. ``summary`` is an already written
+    one; all functions here that need it take it.
     """
-    meters = materialise(meter_summary(readings, interval_seconds), "meters")
-    return _readings_of(readings, meters, _REGULAR)
+    meters = _written(summary, lambda: meter_summary(readings, interval_seconds))
+    return _readings_of(readings, meters, _REGULAR, heaviest)
 
 
-def count_regular_meters(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
+def count_regular_meters(
+    readings: DataFrame, interval_seconds: int = 60, summary: DataFrame | None = None
+) -> DataFrame:
     """How many meters are regular. Read off the summary: the readings need no second pass."""
-    regular = meter_summary(readings, interval_seconds).where(_REGULAR)
+    regular = (summary or meter_summary(readings, interval_seconds)).where(_REGULAR)
     return regular.agg(F.count("building_num").alias("ct_buildings"))
 
 
-def meter_spans(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:
+def meter_spans(
+    readings: DataFrame, interval_seconds: int = 60, summary: DataFrame | None = None
+) -> DataFrame:
     """First and last instant and number of readings of every regular meter."""
-    regular = meter_summary(readings, interval_seconds).where(_REGULAR)
+    regular = (summary or meter_summary(readings, interval_seconds)).where(_REGULAR)
     return regular.where(F.col("building_num").isNotNull()).select(
         "building_num", "ts_start", "ts_end", "ct_tslocal"
     )
@@ -163,13 +175,16 @@ def complete_meters(
     expected_readings: int = 1440,
     require_common_span: bool = False,
     usage_range: bool = False,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """``meter_summary`` with a column ``usable``: regular and with the expected readings.
 
     By default only the number of readings counts. ``require_common_span`` also asks for
-    the most frequent start and end among such meters (earliest span on ties).
+    the most frequent start and end among such meters (earliest span on ties); give it a
+    written ``summary``, which it reads twice.
     """
-    summary = meter_summary(readings, interval_seconds, usage_range)
+    if summary is None:
+        summary = meter_summary(readings, interval_seconds, usage_range)
     usable = F.expr(
         f"{_REGULAR} AND ct_tslocal = {expected_readings} AND building_num IS NOT NULL"
     )
@@ -192,30 +207,43 @@ def complete_readings(
     interval_seconds: int = 60,
     expected_readings: int = 1440,
     require_common_span: bool = False,
+    summary: DataFrame | None = None,
+    heaviest: int = HEAVIEST,
 ) -> DataFrame:
     """The readings of usable meters: exactly ``expected_readings`` each, all instants distinct.
 
     As in ``regular_readings`` the summary is written first.
     """
-    summary = complete_meters(readings, interval_seconds, expected_readings, require_common_span)
-    meters = materialise(summary, "meters")
+    if require_common_span:
+        summary = _written(summary, lambda: meter_summary(readings, interval_seconds))
+    judged = complete_meters(
+        readings, interval_seconds, expected_readings, require_common_span, summary=summary
+    )
+    meters = materialise(judged, "meters")
     usable = meters.where("usable").select("building_num")
-    return without_heavy_rejects(readings, meters).join(usable, "building_num", "left_semi").select(
+    return without_heavy_rejects(readings, meters, heaviest).join(usable, "building_num", "left_semi").select(
         *readings.columns
     )
 
 
-def without_heavy_rejects(readings: DataFrame, meters: DataFrame) -> DataFrame:
+def _written(summary: DataFrame | None, compute: Callable[[], DataFrame]) -> DataFrame:
+    return materialise(compute(), "meters") if summary is None else summary
+
+
+def without_heavy_rejects(
+    readings: DataFrame, meters: DataFrame, heaviest: int = HEAVIEST
+) -> DataFrame:
     """Drop the readings of the largest unusable meters before anything is shuffled.
 
-    The list has at most ``HEAVIEST`` rows, so it can be broadcast. What is left is safe
+    The list has at most ``heaviest`` rows, so it can be broadcast. What is left is safe
     to shuffle by meter: a usable meter is bounded by its expected readings, an unusable
-    one holds at most 1/(HEAVIEST + 1) of the input.
+    one holds at most 1/(heaviest + 1) of the input, and the join by meter lets Spark split
+    partitions that are still too large. Raise ``heaviest`` with the input.
     """
     heavy = (
         meters.where("NOT usable AND building_num IS NOT NULL")
         .orderBy(F.desc("n_rows"), "building_num")
-        .limit(HEAVIEST)
+        .limit(heaviest)
         .select("building_num")
     )
     return readings.where(F.col("building_num").isNotNull()).join(
@@ -229,17 +257,19 @@ def completeness_histogram(clean: DataFrame) -> DataFrame:
     return per_meter.groupBy("ct_ts").agg(F.count("*").alias("ct_buildings")).orderBy("ct_ts")
 
 
-def _readings_of(readings: DataFrame, meters: DataFrame, accepted: str) -> DataFrame:
+def _readings_of(
+    readings: DataFrame, meters: DataFrame, accepted: str, heaviest: int = HEAVIEST
+) -> DataFrame:
     """Readings of accepted meters when an accepted meter itself may be huge.
 
-    The verdict on the heaviest meters is broadcast (at most ``HEAVIEST`` rows): rejected
+    The verdict on the heaviest meters is broadcast (at most ``heaviest`` rows): rejected
     ones stop at the scan, accepted ones are known to stay and get keys that no meter has,
     which spreads them over all partitions. The others are matched by meter as usual.
     """
     known = meters.where(F.col("building_num").isNotNull()).withColumn("accepted", F.expr(accepted))
     heavy = (
         known.orderBy(F.desc("n_rows"), "building_num")
-        .limit(HEAVIEST)
+        .limit(heaviest)
         .select("building_num", F.col("accepted").alias("heavy_accepted"))
     )
     beyond_int = 1 << 33

@@ -6,7 +6,7 @@ groups per meter are bounded by the expected number of readings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RAW_ARRAYS = ["rgid", "rid", "tslocal", "tslocal_fromzero", "usagekw"]
@@ -78,13 +78,29 @@ def normalize_signal(windows: DataFrame) -> DataFrame:
     )
 
 
+def usable_divisor(name: str, least: float) -> Column:
+    """A divisor that is a number above ``least``. NaN is larger than any number in Spark."""
+    return (F.col(name) > least) & (F.col(name) < float("inf"))
+
+
+def rejected_meters(normalized: DataFrame, min_denominator: float = 1e-10) -> DataFrame:
+    """How many meters ``series_arrays`` drops: ``constant`` and ``not_finite`` ones."""
+    per_meter = normalized.groupBy("bgid").agg(F.max("usagekw_sum_5min_norm_denom").alias("d"))
+    wild = F.isnan("d") | (F.col("d") == float("inf"))
+    return per_meter.agg(
+        F.count_if(~wild & (F.col("d") <= min_denominator)).alias("constant"),
+        F.count_if(wild).alias("not_finite"),
+    )
+
+
 def series_arrays(normalized: DataFrame, min_denominator: float = 1e-10) -> DataFrame:
-    """One row per meter with its signal as ordered arrays; near-constant meters are dropped."""
+    """One row per meter with its signal as ordered arrays. Near-constant meters are dropped, and
+    those with a missing, NaN or infinite value (``rejected_meters`` counts them)."""
     ordered = F.sort_array(
         F.collect_list(F.struct("win_id", "usagekw_sum_5min", "usagekw_sum_5min_norm"))
     )
     return (
-        normalized.where(F.col("usagekw_sum_5min_norm_denom") > min_denominator)
+        normalized.where(usable_divisor("usagekw_sum_5min_norm_denom", min_denominator))
         .groupBy("bgid", "building_num")
         .agg(
             F.first("usagekw_sum_5min_mean").alias("usagekw_sum_5min_mean"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from wattloom.operators.cluster import (
 from wattloom.operators.features import periodogram
 from wattloom.operators.ids import number_meters
 from wattloom.operators.quality import complete_meters, without_heavy_rejects
+from wattloom.operators.signal import usable_divisor
 from wattloom.operators.views import (
     closest_profiles,
     cluster_centroids,
@@ -33,8 +36,8 @@ def meter_series(readings: DataFrame, config: ProfileConfig = ProfileConfig()) -
     Gives the same table as quality filter, ids, zero filter, window sums, normalisation
     and arrays one after the other. All decisions about a meter (regular, complete, alive,
     number, start) are taken on one row per meter first, and these small tables are
-    written: their real size decides how they are joined. So the readings are scanned twice and shuffled at most once by meter; everything behind
-    stays in that partitioning. Readings bucketed by ``building_num`` are not shuffled at all.
+    written: their real size decides how they are joined. So the readings are scanned twice and
+    shuffled at most once by meter; everything behind stays in that partitioning.
     """
     summary = materialise(
         complete_meters(
@@ -65,7 +68,7 @@ def meter_series(readings: DataFrame, config: ProfileConfig = ProfileConfig()) -
     squares = F.transform("points.usage", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
     denominator = F.aggregate(squares, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
     scaled = signal.withColumn("denominator", denominator).where(
-        F.col("denominator") > config.min_denominator
+        usable_divisor("denominator", config.min_denominator)
     )
     return scaled.select(
         "bgid",
@@ -113,13 +116,15 @@ def profile_load(
     """Run the whole job and return its tables by name.
 
     Two tables are written on the way, because clustering and every result read them
-    again: the features and the wide table with all rounds. The rest stays lazy.
+    again: the features, and the same with cluster and distance per round. Centroids are not
+    in it: they are k broadcast rows per round and meet the meters when a result is read, so
+    ``overall`` and all behind it stay lazy. ``write_tables`` keeps the results.
     """
     series = meter_series(readings, config)
     features = materialise(periodogram(series, taper=config.taper), "features")
     model = fit_rounds(features, config, method)
-    merged = attach_rounds(assign_rounds(features, model), model)
-    overall = materialise(overall_cluster_id(merged), "overall")
+    assigned = materialise(assign_rounds(features, model), "assigned")
+    overall = overall_cluster_id(attach_rounds(assigned, model))
     centroids = cluster_centroids(overall)
     return {
         "features": features,
@@ -130,3 +135,18 @@ def profile_load(
         "centroid_points": unnest_cluster_centroids(centroids),
         "closest_profiles": closest_profiles(overall, config.closest),
     }
+
+
+def write_tables(
+    tables: dict[str, DataFrame], folder: str, names: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
+    """Write the results of ``profile_load`` as Parquet under ``folder`` and read them back.
+
+    The new tables depend on nothing else; ``remove_intermediates`` may follow.
+    """
+    written = {}
+    for name in names or tables:
+        path = f"{folder}/{name}"
+        tables[name].write.mode("overwrite").parquet(path)
+        written[name] = tables[name].sparkSession.read.schema(tables[name].schema).parquet(path)
+    return written

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattloom.schema import READINGS
 from wattloom.sources.readings import read_readings
@@ -32,18 +33,26 @@ def save_table(
     df: DataFrame,
     table: str,
     distributed_by: Sequence[str] = (),
-    buckets: int = 8,
+    buckets: int | None = None,
+    splits: int = 4,
 ) -> DataFrame:
     """Materialise ``df`` as ``table``, replacing an older one, and return the table.
 
     With ``distributed_by`` the table is bucketed on those columns, so later joins and
-    groupings on them need no shuffle; rows are first shuffled on the same key, which
-    keeps it at one file per bucket. Choose ``buckets`` so that a bucket is about
-    128 MB to 1 GB.
+    groupings on them need no shuffle. Choose ``buckets`` so that a bucket is about 128 MB to
+    1 GB. Each bucket is written by about ``splits`` tasks as that many files, whatever its keys
+    hold, so a hot key is not one task here. A reader takes a bucket as one task: don't
+    bucket on a column with hot keys, such as the meter of raw readings; add a column that
+    cuts them, such as the day.
     """
     if distributed_by:
+        if buckets is None:
+            raise ValueError("a distributed table needs a number of buckets")
         first, *rest = distributed_by
-        writer = df.repartition(buckets, *distributed_by).write.bucketBy(buckets, first, *rest)
+        bucket = F.pmod(F.hash(*distributed_by), F.lit(buckets))
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(splits))
+        dealt = df.repartition(buckets * splits, bucket, part)
+        writer = dealt.write.bucketBy(buckets, first, *rest)
     else:
         writer = df.write
     writer.mode("overwrite").saveAsTable(table)

@@ -28,9 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_GIVEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier call has returned."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Delete what was written under the paths of ``fresh_path`` so far; how many there were.
+
+    Frames that read them can't be used afterwards.
+    """
+    removed = 0
+    while _GIVEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        removed += bool(system.delete(path, True))
+    return removed
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
