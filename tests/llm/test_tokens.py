@@ -95,6 +95,20 @@ def test_sequences_hold_their_pieces(make_docs):
         assert (ids[full[x.sequence_id].n_tokens :] == 9).all()
 
 
+def test_sequences_of_repeated_rows_and_lengths_that_are_powers_of_two(make_docs):
+    rows = [(1, "same text"), (1, "same text"), (None, "same text"), (None, None)]
+    tokens, plan = packing.pack_documents(make_docs(rows), vocabulary("word_bpe_49k.json"), window=16)
+    ids = [x for one in plain("word_bpe_49k.json", [t for _, t in rows]) for x in one]
+    found = packing.packed_sequences(tokens, plan, window=16, pad_id=9).collect()
+    assert sum(x.n_tokens for x in found) == len(ids)
+    assert sorted(i for x in found for i in np.frombuffer(x.ids, "<u4")[: x.n_tokens]) == sorted(ids)
+    for size in (1, 2, 3, 4, 16):
+        one = make_docs([(n, None) for n in range(size)])
+        tokens, plan = packing.pack_documents(one, vocabulary("word_bpe_49k.json"), window=16)
+        (found,) = packing.packed_sequences(tokens, plan, window=16, pad_id=9).collect()
+        assert len(found.ids) == 4 * (16 if size == 3 else size)
+
+
 @settings(max_examples=100, deadline=None)
 @given(lengths=st.lists(st.integers(1, 32), max_size=60))
 def test_the_tree_finds_the_tightest_window(lengths):

@@ -6,8 +6,8 @@ what is left of them is placed like any other document: pieces are dealt over gr
 most tightly. A segment tree over the remaining capacities finds that window. Ids are never
 shuffled: the plan has a row per piece, and ``packed_sequences`` brings ids and plan together.
 
-Edge cases: a null text is empty and has the end id alone; repeated rows are packed each; a null id
-is packed like any other; an empty table gives an empty plan; a piece as long as a window fills it;
+Edge cases: a null text is empty and has the end id alone; repeated rows are packed each, under a
+``row_id`` of their own; a null id is packed like any other; an empty table gives an empty plan; a piece as long as a window fills it;
 equal lengths go by id, start and checksum; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from wattloom.llm.common import map_batches
 from wattloom.llm.encoder import encoder
 from wattloom.storage import fresh_path
 
-_TOKENS = "doc_id long, doc_tokens long, ids binary"
+_TOKENS = "row_id long, doc_id long, doc_tokens long, ids binary"
 
 
 class OpenWindows:
@@ -77,14 +77,22 @@ def best_fit(lengths: list[int], window: int, tree: OpenWindows, opened: int) ->
 
 
 def tokenize(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> DataFrame:
-    """``doc_id, doc_tokens, ids`` of every row, written as a table in the shared folder."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """``row_id, doc_id, doc_tokens, ids`` of every row, written as a table in the shared folder.
+
+    ``row_id`` is a number of its own for each row of the written table.
+    """
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = encoder(tokenizer, spaces).encode(batch.column("text").to_pylist(), end_id)
         sizes = pa.array(np.fromiter(map(len, found), np.int64, len(found)))
         ids = pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, ids], ["doc_id", "doc_tokens", "ids"])
+        names = ["row_id", "doc_id", "doc_tokens", "ids"]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, ids], names)
 
     path = fresh_path(docs.sparkSession, "tokens")
     map_batches(texts, encode, _TOKENS).write.option("compression", "zstd").parquet(path)
@@ -92,7 +100,7 @@ def tokenize(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> Data
 
 
 def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> DataFrame:
-    """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+    """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, row_id, sequence_id, offset``.
 
     ``sequence_id`` is the number of the group in the upper bits and of the window in it below.
     A group is sorted by Spark, which spills; a task holds its open windows only.
@@ -102,6 +110,7 @@ def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> Da
     pieces = tokens.select(
         "doc_id",
         "doc_tokens",
+        "row_id",
         F.explode(
             F.expr(
                 f"transform(sequence(0L, doc_tokens - 1, {window}L), at -> struct(at AS start,"
@@ -109,9 +118,9 @@ def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> Da
                 f" crc32(substring(ids, CAST(4 * at + 1 AS INT), {4 * window})) AS ids_crc32))"
             )
         ).alias("piece"),
-    ).select("doc_id", "piece.*", "doc_tokens")
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))
-    falling = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
+    ).select("doc_id", "piece.*", "doc_tokens", "row_id")
+    dealt = pieces.repartition(groups, F.xxhash64("row_id", "start"))
+    falling = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32", "row_id")
 
     def place(batches):
         tree, opened, group = OpenWindows(window), 0, TaskContext.get().partitionId()
@@ -136,17 +145,18 @@ def pack_documents(
 
 
 def packed_sequences(tokens: DataFrame, plan: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
-    """``sequence_id, ids, n_tokens``: ids of each window (little-endian uint32), padded.
+    """``sequence_id, ids, n_tokens``: ids of each window (little-endian uint32).
 
-    A window's rows are bounded by its length, so a group fits a task whatever the corpus. Needs
-    distinct ids of documents; null ids match each other.
+    Padded to ``window`` ids, but a sequence whose length is a power of two stays as it is. A window's
+    rows are bounded by its length, so a group fits a task whatever the corpus.
     """
-    cut = tokens.alias("t").join(plan.alias("p"), F.expr("t.doc_id <=> p.doc_id"))
+    cut = tokens.alias("t").join(plan.alias("p"), "row_id")
     part = F.expr("substring(t.ids, CAST(4 * p.start + 1 AS INT), CAST(4 * p.length AS INT))")
     parts = cut.select("p.sequence_id", F.struct("p.offset", part.alias("ids"), "p.length").alias("part"))
     grouped = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     used = F.expr("aggregate(parts, 0L, (n, x) -> n + x.length)")
     pad = pad_id.to_bytes(4, "little").hex()
     joined = "aggregate(parts, X'', (all, x) -> concat(all, x.ids))"
-    ids = F.expr(f"rpad({joined}, {4 * window}, X'{pad}')")
-    return grouped.select("sequence_id", ids.alias("ids"), used.alias("n_tokens"))
+    size = f"IF(n_tokens & (n_tokens - 1) = 0, n_tokens, {window})"
+    ids = F.expr(f"rpad({joined}, CAST(4 * {size} AS INT), X'{pad}')")
+    return grouped.withColumn("n_tokens", used).select("sequence_id", ids.alias("ids"), "n_tokens")
