@@ -65,7 +65,7 @@ class PieceEncoder:
     """``spaces``: the piece after a space keeps it (byte-level vocabularies); otherwise white space
     is dropped. About ``limit`` pieces are remembered, then all are forgotten."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 700_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
