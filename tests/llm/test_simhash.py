@@ -80,10 +80,10 @@ def test_bit_slices_compare_like_popcount(radius):
     assert pairs == want
 
 
-@pytest.mark.parametrize("count", [10, 10**6, 10**8, 10**11])
-def test_linked_fingerprints_share_a_bucket(count):
-    random.seed(count)
-    masks = [m % (1 << 64) for m in simhash.bucket_masks(simhash.blocks_for(count, 4), 4)]
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8, 9, 10])
+def test_linked_fingerprints_share_a_bucket(blocks):
+    random.seed(blocks)
+    masks = [m % (1 << 64) for m in simhash.bucket_masks(blocks, 4)]
     for _ in range(300):
         a = random.getrandbits(64)
         b = a ^ sum(1 << x for x in random.sample(range(64), 4))

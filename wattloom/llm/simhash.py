@@ -75,14 +75,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_batches(rows, compute, "doc_id long, text_key struct<hash: long, size: int>, fp long")
 
 
-def blocks_for(count: int, radius: int) -> int:
-    """Number of blocks: as few as keep an even bucket at sixteen fingerprints or so."""
-    blocks = radius + 1
-    while count > 2 ** (64 * (blocks - radius) / blocks + 4) and blocks < 2 * radius + 2:
-        blocks += 1
-    return blocks
-
-
 def bucket_masks(blocks: int, radius: int) -> list[int]:
     """The bits on which the fingerprints of a bucket agree, for each choice of blocks."""
     edges = [round(64 * n / blocks) for n in range(blocks + 1)]
@@ -180,10 +172,13 @@ def stars(values: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarra
     return values[linked], values[label[linked]]
 
 
-def linked_pairs(distinct: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
-    """``a, b``: links between distinct fingerprints that connect all linked ones."""
-    count = distinct.count()
-    masks = bucket_masks(blocks_for(count, radius), radius)
+def linked_pairs(distinct: DataFrame, radius: int, tile: int = 4096, blocks: int | None = None) -> DataFrame:
+    """``a, b``: links between distinct fingerprints that connect all linked ones.
+
+    ``blocks`` defaults to ``radius + 2``: at a radius of 4, 15 rows per fingerprint in buckets by
+    21 bits. One more block means more copies and smaller buckets; the links stay the same.
+    """
+    masks = bucket_masks(blocks or radius + 2, radius)
     choice = F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.lit(m).alias("mask")) for n, m in enumerate(masks)]))
     rows = distinct.select("fp", choice.alias("c")).select(
         "fp", F.col("c.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("key")
