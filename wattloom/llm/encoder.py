@@ -155,5 +155,5 @@ class PieceEncoder:
         ]
 
 
-def encoder(path: str, spaces: bool) -> PieceEncoder:
-    return per_process(("encoder", path, spaces), lambda: PieceEncoder(path, spaces))
+def encoder(path: str, spaces: bool, limit: int = 450_000) -> PieceEncoder:
+    return per_process(("encoder", path, spaces, limit), lambda: PieceEncoder(path, spaces, limit))

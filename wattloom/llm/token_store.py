@@ -151,18 +151,21 @@ def write_token_files(
     files: int | None = None,
     sample_docs: int = 1000,
     sample_bytes: int = 16_384,
+    remember: int = 350_000,
+    slice_rows: int = 1024,
 ) -> DataFrame:
     """Write ``doc_id, text`` as token files in ``folder``; return the manifest.
 
     ``files`` defaults to the session's number of shuffle partitions. An executor needs one
-    document and the index of its file (29 bytes per document) in memory.
+    document and the index of its file (29 bytes per document) in memory, besides ``slice_rows`` documents with their ids and about
+    ``remember`` pieces of text per worker.
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     small = texts.where(F.octet_length("text") <= sample_bytes)
     sample = small.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs).select("text")
-    encode = encoder(tokenizer, spaces)
+    encode = encoder(tokenizer, spaces, remember)
     wide = encode.vocabulary > 65_536 or end_id > 65_535
     ids = encode.encode([x.text for x in sample.collect()], end_id)
     dictionary = train_dictionary([x.astype("<u4" if wide else "<u2").tobytes() for x in ids])
@@ -183,9 +186,11 @@ def write_token_files(
                 system, root = file_system(folder)
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}"
                 writer = TokenFileWriter(system.open_output_stream(f"{root}/{name}"), handle.value, wide)
-            found = encoder(tokenizer, spaces).encode(batch.column("text").to_pylist(), end_id)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
-                writer.add(doc_id, ids)
+            for at in range(0, batch.num_rows, slice_rows):
+                rows = batch.slice(at, slice_rows)
+                found = encoder(tokenizer, spaces, remember).encode(rows.column("text").to_pylist(), end_id)
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), found):
+                    writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             row = [part, f"{folder}/{name}", dictionary_path, digest, len(writer.entries), writer.tokens]
