@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.llm import brute
@@ -62,3 +64,51 @@ def test_rare_words_come_first(make_docs):
     label, words, common = next(x for x in index.sets if x[0] == "gpl-notice")
     assert common == licenses.needed(len(words), 0.8)
     assert set(words[-4:]) == set(word_list(b"licensed under the work"))
+
+
+WRAPPED = {
+    "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+    'of this software and associated documentation files (the "Software"), to deal',
+    "bsd-notice": "Redistribution and use in source and binary forms, with or without\n"
+    "modification, are permitted provided that the following conditions are met:",
+}
+
+
+@pytest.mark.parametrize("before", ["", "Copyright 2020 A. Person\n\n", "permitted files " * 40 + "\n"])
+def test_notices_wrapped_over_lines(make_docs, before):
+    narrow = {k: " * " + v.replace("\n", " ").replace(" ", "\n * ") for k, v in WRAPPED.items()}
+    cases = [(k, x) for found in (WRAPPED, narrow) for k, x in found.items()]
+    docs = make_docs([(n, before + text + "\nmore text") for n, (_, text) in enumerate(cases)])
+    rows = licenses.license_digest(licenses.license_matches(docs)).collect()
+    assert {x.doc_id: (x.labels, x.score) for x in rows} == {n: (k, 1.0) for n, (k, _) in enumerate(cases)}
+
+
+def windows_by_force(text, threshold):
+    """Highest containment of every template in a line or in a window over line ends."""
+    words, best = brute.words(text), {}
+    for label, template in licenses.TEMPLATES.items():
+        wanted, size = set(brute.words(template)), len(brute.words(template))
+        blocks = [brute.words(x) for x in text.split("\n")] + [words[n : n + size] for n in range(len(words))]
+        share = max(len(wanted.intersection(x)) / len(wanted) for x in blocks)
+        if share >= threshold:
+            best[label] = share
+    return best
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_windows_by_force(make_docs, threshold):
+    rng = random.Random(7)
+    pool = sorted({w for x in licenses.TEMPLATES.values() for w in brute.words(x)}) + ["other", "words"]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            notice = brute.words(rng.choice(list(licenses.TEMPLATES.values())))
+            words += [w for w in notice if rng.random() < 0.93] + rng.choices(pool, k=rng.randint(0, 15))
+        texts.append("".join(w + ("\n" if rng.random() < 0.2 else " ") for w in words))
+    found = licenses.license_matches(make_docs(list(enumerate(texts))), threshold=threshold).collect()
+    for row in found:
+        best = {}
+        for x in row.found:
+            best[x.label] = max(x.containment, best.get(x.label, 0))
+        assert best == windows_by_force(texts[row.doc_id], threshold)

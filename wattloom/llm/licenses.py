@@ -1,15 +1,18 @@
 """License notices in texts: base phrases, and blocks that contain a template.
 
-The templates are sets of words, the blocks of a text are its lines. A block meets a template when
-it holds at least ``threshold`` of its words. That is a set-similarity join with filters that lose
-nothing: words are ordered by their frequency over all documents; a template of ``m`` words that
-needs ``c`` common ones has a prefix of its ``m - c + 1`` rarest words, of which a block must hold
-one; the block must have ``c`` words (length filter); from the first common prefix word on, both
-sides must still have enough words (positional filter). What is left is counted exactly.
+The templates are sets of words, the blocks of a text are its lines, and for notices wrapped over
+lines also the windows with as many words as the template that span a line end, wherever they start.
+A block meets a template when it holds at least ``threshold`` of its words. That is a set-similarity
+join with filters that lose nothing: words are ordered by their frequency over all documents; a
+template of ``m`` words that needs ``c`` common ones has a prefix of its ``m - c + 1`` rarest words,
+of which a block must hold one; the block must have ``c`` words (length filter); from the first common
+prefix word on, both sides must still have enough words (positional filter). What is left is counted
+exactly. Windows are looked at around the occurrences of prefix words only, each word once a template.
 
 Edge cases: a null or empty text has no words, no places and score 0; repeated rows each get a row;
-ties between templates give all their labels; a phrase may overlap another; an empty table gives
-an empty result; other columns are ignored.
+ties between templates give all their labels; a phrase may overlap another; of overlapping windows
+the best counts, and none that a line it touches equals; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,9 +63,12 @@ class TemplateIndex:
     threshold: float
     sets: list[tuple[str, list[bytes], int]] = field(default_factory=list)
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
 
     def add(self, label: str, text: str) -> None:
-        words = sorted(set(word_list(text.encode())), key=self.order.__getitem__)
+        every = word_list(text.encode())
+        words = sorted(set(every), key=self.order.__getitem__)
+        self.lengths.append(len(every))
         common = needed(len(words), self.threshold)
         for place, word in enumerate(words[: len(words) - common + 1]):
             self.prefix.setdefault(word, []).append((len(self.sets), place))
@@ -86,6 +92,57 @@ class TemplateIndex:
                     out.append((label, count / len(wanted)))
         return out
 
+    def wrapped(self, words: list[bytes], lines: list[int], starts: list[int]) -> list[tuple[str, int, int, float]]:
+        """Label, first and last line, and containment of windows over a line end that meet a template.
+
+        ``lines`` has the line of each word, ``starts`` the places of the prefix words.
+        """
+        near: dict[int, list[list[int]]] = {}  # stretches that hold all windows with a prefix word
+        for at in starts:
+            for number, _ in self.prefix.get(words[at], ()):
+                reach = self.lengths[number] - 1
+                runs = near.setdefault(number, [])
+                if runs and at - reach <= runs[-1][1]:
+                    runs[-1][1] = at + reach + 1
+                else:
+                    runs.append([max(0, at - reach), at + reach + 1])
+        out = []
+        for number, runs in near.items():
+            label, wanted, common = self.sets[number]
+            known = frozenset(wanted)
+            for start, end in runs:
+                places = [n for n in range(start, min(end, len(words))) if words[n] in known]
+                if len(places) < common or lines[places[0]] == lines[places[-1]]:
+                    continue
+                best = None  # the best of overlapping windows: count, first and last place
+                for count, first, last in _windows(words, places, self.lengths[number]):
+                    if count < common or lines[first] == lines[last]:
+                        continue
+                    if best and first > best[2]:
+                        out.append((label, lines[best[1]], lines[best[2]], best[0] / len(wanted)))
+                        best = None
+                    if best is None or count > best[0]:
+                        best = count, first, last
+                if best:
+                    out.append((label, lines[best[1]], lines[best[2]], best[0] / len(wanted)))
+        return out
+
+
+def _windows(words: list[bytes], places: list[int], length: int):
+    """Distinct words, first and last place of the windows of ``length`` words that start at each of
+    ``places``; no other window holds more of the words that stand there."""
+    inside: dict[bytes, int] = {}
+    upto = 0
+    for first in places:
+        while upto < len(places) and places[upto] < first + length:
+            word = words[places[upto]]
+            inside[word] = inside.get(word, 0) + 1
+            upto += 1
+        yield len(inside), first, places[upto - 1]
+        inside[words[first]] -= 1
+        if not inside[words[first]]:
+            del inside[words[first]]
+
 
 def word_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
     """Number of documents that hold each of ``words`` (a bounded list), over all documents."""
@@ -123,14 +180,28 @@ def phrase_places(words: list[bytes], starts: list[int], phrases: dict) -> list[
     ]
 
 
+def met_blocks(raw: bytes, words: list[bytes], rare: list[int], index: TemplateIndex) -> list[tuple[str, int, float]]:
+    """Label, first line and containment of lines and windows over line ends that meet a template."""
+    if not rare:
+        return []
+    lines = [word_list(x) for x in raw.split(b"\n")]
+    out = [(label, n, share) for n, line in enumerate(lines) for label, share in index.matches(line)]
+    alone = {(label, n): share for label, n, share in out}
+    line_of = [n for n, line in enumerate(lines) for _ in line]
+    for label, first, last, share in index.wrapped(words, line_of, rare):
+        if all(alone.get((label, n), 0.0) < share for n in range(first, last + 1)):
+            out.append((label, first, share))
+    return out
+
+
 def license_matches(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
     templates: dict[str, str] = TEMPLATES,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """``doc_id, n_words, places, found``: phrases with the number of their first word, and the lines
-    that meet a template with its containment."""
+    """``doc_id, n_words, places, found``: phrases with the number of their first word, and the blocks
+    that meet a template with its containment; a block is named by its first line."""
     index = build_index(docs, templates, threshold)
     by_first: dict[bytes, list] = {}
     for phrase, label in phrases.items():
@@ -146,13 +217,9 @@ def license_matches(
             starts = [n for n, w in enumerate(words) if w in triggers]
             hits = phrase_places(words, starts, by_first)
             places.append([{"label": label, "word": at} for label, at in hits])
-            lines = raw.split(b"\n") if any(words[n] in index.prefix for n in starts) else []
+            rare = [n for n in starts if words[n] in index.prefix]
             found.append(
-                [
-                    {"label": label, "block": n, "containment": share}
-                    for n, line in enumerate(lines)
-                    for label, share in index.matches(word_list(line))
-                ]
+                [{"label": label, "block": n, "containment": share} for label, n, share in met_blocks(raw, words, rare, index)]
             )
         place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
         match = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int32()), ("containment", pa.float64())]))
@@ -166,7 +233,7 @@ def license_matches(
 
 
 def license_digest(matches: DataFrame) -> DataFrame:
-    """Counts, first and last place, labels, and the highest containment (0 if no line meets one)."""
+    """Counts, first and last place, labels, and the highest containment (0 if no block meets one)."""
     base = F.array_sort(F.array_distinct("places.label"))
     every = F.array_sort(F.array_distinct(F.concat("places.label", "found.label")))
     return matches.select(
