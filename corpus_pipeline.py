@@ -31,11 +31,12 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return secrets.redact(docs, fresh_path(spark, "ledger"))
 
 
-def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str, sequences: str | None = None) -> DataFrame:
+    """Where each piece lies in the sequences, which are written to the folder ``sequences``."""
     import public_tokenizers
 
-    _, plan = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return plan
+    tokens = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), spaces=False, end_id=2)
+    return packing.placed_pieces(packing.write_sequences(tokens, sequences or fresh_path(spark, "sequences")))
 
 
 STAGES = [
@@ -50,8 +51,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, sequences: str | None = None) -> DataFrame:
+    """The pieces of the packed corpus; its windows are written to ``sequences``, if given."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        more = {"sequences": sequences} if name == "packing" else {}
+        docs = materialise(stage(spark, docs, sf_dir, **more), name)
     return docs

@@ -109,6 +109,33 @@ def test_sequences_of_repeated_rows_and_lengths_that_are_powers_of_two(make_docs
         assert len(found.ids) == 4 * (16 if size == 3 else size)
 
 
+def test_written_sequences_are_those_of_the_plan(make_docs, odd_rows, clashing, folder):
+    rows = odd_rows + [(100 + n, f"text number {n} " * (n * 7 % 40)) for n in range(200)]
+    tokens, plan = packing.pack_documents(clashing(make_docs(rows)), vocabulary("word_bpe_49k.json"), window=64)
+    plan = packing.pack(tokens, 64, group_windows=20)
+    found = packing.write_sequences(tokens, folder, 64, group_windows=20, pad_id=9)
+    wanted = packing.packed_sequences(tokens, plan, 64, pad_id=9)
+    assert sorted(map(tuple, found.select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    pieces = packing.placed_pieces(found)
+    assert pieces.dtypes == plan.dtypes
+    assert sorted(map(str, pieces.collect())) == sorted(map(str, plan.collect()))
+    check_plan(rows, pieces.collect(), 64)
+    nothing = packing.write_sequences(tokens.limit(0), folder + "-0", 64)
+    assert nothing.count() == packing.placed_pieces(nothing).count() == 0
+
+
+def test_packing_query_writes_its_sequences(spark, sf, monkeypatch):
+    paths = []
+    write = packing.write_sequences
+    monkeypatch.setattr(packing, "write_sequences", lambda t, path: paths.append(path) or write(t, path))
+    got = queries.op2_best_fit_packing(spark, sf).collect()
+    full = {x.sequence_id: x for x in spark.read.parquet(paths[0]).collect()}
+    assert {x.sequence_id for x in got} == set(full)
+    for x in got:
+        ids = np.frombuffer(full[x.sequence_id].ids, "<u4")[x.offset : x.offset + x.length]
+        assert len(ids) == x.length and crc_of_ids(ids.tolist()) == x.ids_crc32
+
+
 @settings(max_examples=100, deadline=None)
 @given(lengths=st.lists(st.integers(1, 32), max_size=60))
 def test_the_tree_finds_the_tightest_window(lengths):

@@ -37,6 +37,13 @@ def per_process(key: tuple, make: Callable[[], object]) -> object:
     return kept[key]
 
 
+def forget_kept(name: str) -> None:
+    """Drop this process's objects whose key begins with ``name``, so that later tasks have their memory."""
+    kept = sys.__dict__.get("_wattloom_llm", {})
+    for key in [x for x in kept if x[0] == name]:
+        del kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,10 @@
 ``tokenize`` writes the ids of every document once. Overlong documents are cut into full windows;
 what is left of them is placed like any other document: pieces are dealt over groups of about
 ``group_windows`` windows, sorted by falling length, and each goes to the open window that it fits
-most tightly. A segment tree over the remaining capacities finds that window. Ids are never
-shuffled: the plan has a row per piece, and ``packed_sequences`` brings ids and plan together.
+most tightly. A segment tree over the remaining capacities finds that window. ``write_sequences``
+deals the pieces with their ids, so that a group's task places them and writes its sequences;
+``placed_pieces`` reads the plan back from that table. ``pack`` makes the plan alone, without shuffling
+ids, and ``packed_sequences`` brings ids and plan together.
 
 Edge cases: a null text is empty and has the end id alone; repeated rows are packed each, under a
 ``row_id`` of their own; a null id is packed like any other; an empty table gives an empty plan; a piece as long as a window fills it;
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import map_batches
+from wattloom.llm.common import forget_kept, map_batches
 from wattloom.llm.encoder import encoder
 from wattloom.storage import fresh_path
 
@@ -99,14 +101,12 @@ def tokenize(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> Data
     return docs.sparkSession.read.schema(_TOKENS).parquet(path)
 
 
-def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> DataFrame:
-    """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, row_id, sequence_id, offset``.
-
-    ``sequence_id`` is the number of the group in the upper bits and of the window in it below.
-    A group is sorted by Spark, which spills; a task holds its open windows only.
-    """
+def _dealt(tokens: DataFrame, window: int, group_windows: int, with_ids: bool = False) -> DataFrame:
+    """Pieces, with their ids if wanted, a partition per group, in the order in which they are placed."""
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / (window * group_windows)))
+    cut = f"substring(ids, CAST(4 * at + 1 AS INT), {4 * window})"
+    held = f"crc32({cut}) AS ids_crc32" + f", {cut} AS ids" * with_ids
     pieces = tokens.select(
         "doc_id",
         "doc_tokens",
@@ -115,12 +115,21 @@ def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> Da
             F.expr(
                 f"transform(sequence(0L, doc_tokens - 1, {window}L), at -> struct(at AS start,"
                 f" least(doc_tokens - at, {window}L) AS length,"
-                f" crc32(substring(ids, CAST(4 * at + 1 AS INT), {4 * window})) AS ids_crc32))"
+                f" {held}))"
             )
         ).alias("piece"),
     ).select("doc_id", "piece.*", "doc_tokens", "row_id")
     dealt = pieces.repartition(groups, F.xxhash64("row_id", "start"))
-    falling = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32", "row_id")
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32", "row_id")
+
+
+def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> DataFrame:
+    """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, row_id, sequence_id, offset``.
+
+    ``sequence_id`` is the number of the group in the upper bits and of the window in it below.
+    A group is sorted by Spark, which spills; a task holds its open windows only.
+    """
+    falling = _dealt(tokens, window, group_windows)
 
     def place(batches):
         tree, opened, group = OpenWindows(window), 0, TaskContext.get().partitionId()
@@ -160,3 +169,76 @@ def packed_sequences(tokens: DataFrame, plan: DataFrame, window: int = 4096, pad
     size = f"IF(n_tokens & (n_tokens - 1) = 0, n_tokens, {window})"
     ids = F.expr(f"rpad({joined}, CAST(4 * {size} AS INT), X'{pad}')")
     return grouped.withColumn("n_tokens", used).select("sequence_id", ids.alias("ids"), "n_tokens")
+
+
+_PIECE = "row_id: long, doc_id: long, doc_tokens: long, start: long, offset: long, length: long"
+_SEQUENCES = f"sequence_id long, ids binary, n_tokens long, pieces array<struct<{_PIECE}>>"
+
+
+def write_sequences(
+    tokens: DataFrame, path: str, window: int = 4096, group_windows: int = 2048, pad_id: int = 0
+) -> DataFrame:
+    """``sequence_id, ids, n_tokens, pieces``, written to ``path``: the sequences of ``packed_sequences``
+    with the pieces in them, ``offset`` and ``length`` as they lie there.
+
+    A task holds the ids of its group, about ``4 * window * group_windows`` bytes.
+    """
+
+    def fill(batches):
+        forget_kept("encoder")  # its ids are written
+        tree, opened, group = OpenWindows(window), 0, TaskContext.get().partitionId()
+        kept, places = [], []
+        for batch in batches:
+            found, opened = best_fit(batch.column("length").to_pylist(), window, tree, opened)
+            places += found
+            kept.append(batch)
+        if places:
+            placed = np.array(places, np.int64)
+            pieces = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept.clear()
+            yield from _sequences(pieces, placed[:, 0], placed[:, 1], group << 40, window, pad_id)
+
+    falling = _dealt(tokens, window, group_windows, with_ids=True)
+    falling.mapInArrow(fill, _SEQUENCES).write.option("compression", "zstd").parquet(path)
+    return tokens.sparkSession.read.schema(_SEQUENCES).parquet(path)
+
+
+def _sequences(pieces: pa.RecordBatch, windows: np.ndarray, offsets: np.ndarray, first: int, window: int, pad_id: int):
+    """Batches of at most 64 sequences with their pieces."""
+    order = np.lexsort((offsets, windows))
+    bounds = np.append(np.flatnonzero(np.diff(windows[order], prepend=-1)), len(order))
+    for at in range(0, len(bounds) - 1, 64):
+        ends = bounds[at : at + 65]
+        rows = pieces.take(pa.array(order[ends[0] : ends[-1]]))
+        ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
+        ends = ends - ends[0]
+        sequences, totals, begins = [], [], []
+        for start, end in zip(ends[:-1], ends[1:]):
+            begins.append(np.cumsum([0, *map(len, ids[start : end - 1])]))
+            sequence = np.concatenate(ids[start:end])
+            total = len(sequence)
+            size = total if total & (total - 1) == 0 else window
+            sequences.append(np.append(sequence, np.full(size - total, pad_id, "<u4")).tobytes())
+            totals.append(total)
+        columns = {x: rows.column(x) for x in ("row_id", "doc_id", "doc_tokens", "start")}
+        columns["offset"] = pa.array(np.concatenate(begins).astype(np.int64))
+        columns["length"] = pa.array(np.fromiter(map(len, ids), np.int64, len(ids)))
+        inside = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(first + windows[order[bounds[at : at + len(sequences)]]]),
+                pa.array(sequences, pa.binary()),
+                pa.array(totals, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inside),
+            ],
+            ["sequence_id", "ids", "n_tokens", "pieces"],
+        )
+
+
+def placed_pieces(sequences: DataFrame) -> DataFrame:
+    """The columns of ``pack``, from written sequences: the checksum is that of the ids at ``offset``."""
+    crc = "crc32(substring(ids, CAST(4 * x.offset + 1 AS INT), CAST(4 * x.length AS INT)))"
+    pieces = F.expr(f"transform(pieces, x -> struct(x AS piece, {crc} AS ids_crc32))")
+    found = sequences.select("sequence_id", F.explode(pieces).alias("x")).select("sequence_id", "x.*")
+    names = ["piece.doc_id", "piece.start", "piece.length", "ids_crc32", "piece.doc_tokens", "piece.row_id"]
+    return found.select(*names, "sequence_id", "piece.offset")

@@ -22,8 +22,8 @@ def op1_virtual_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    _, plan = packing.pack_documents(table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"))
-    return plan
+    tokens = packing.tokenize(table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"), spaces=False, end_id=2)
+    return packing.placed_pieces(packing.write_sequences(tokens, fresh_path(spark, "sequences")))
 
 
 def op3_warc_reader(spark: SparkSession, sf: str) -> DataFrame:
