@@ -83,3 +83,17 @@ def test_nothing(spark, make_docs):
     labels = spark.createDataFrame([(1, 1, 1)], LABELS)
     model = toxicity.fit_severity(make_docs([]), labels)
     assert toxicity.score_documents(make_docs([]), model).count() == 0
+
+
+def test_a_repeated_id_is_sampled_once(spark, make_docs):
+    rows = toxic_docs()
+    many = [(100, f"a quite ordinary text, number {n % 40}") for n in range(200)]
+    labels = labels_of(spark, rows)
+    sample = toxicity.labelled_sample(make_docs(rows + many), labels, 20_000)
+    assert sample.count() == len(rows)
+    assert sample.where("toxic").count() == sum(i >= 100 for i, _ in rows)
+    assert toxicity.labelled_sample(make_docs(rows + many), labels, 10).count() == 10
+    model = toxicity.fit_severity(make_docs(rows + many), labels)
+    scored = toxicity.score_documents(make_docs(rows + many), model).collect()
+    assert len(scored) == len(rows) + len(many)
+    assert {x.doc_id: x.rejected for x in scored if x.doc_id != 100} == {i: i >= 100 for i, _ in rows if i != 100}

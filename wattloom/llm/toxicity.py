@@ -11,7 +11,8 @@ toxic documents than in others; their value is 1 where they occur, and one more
 log(1 + 1000 * density).
 
 The model is fitted on at most ``sample_docs`` labelled documents, those with the smallest hash of
-their id, read whole; everything is scored, whole, without a shuffle.
+their id, read whole; of rows with one id the text with the smallest hash stands for all, so no id
+dominates the fit. Everything is scored, whole, without a shuffle.
 
 Edge cases: a null or empty text has no features and gets the model's severity for none; repeated rows
 get equal rows; a null id gets a row; of several labels of one id the largest counts, null labels
@@ -76,8 +77,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> Dat
     """``text, toxic`` of at most ``sample_docs`` labelled documents, as a written table."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
-    return materialise(joined.select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ids may repeat here
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # also before the shuffle
+    single = joined.groupBy("doc_id").agg(first.text.alias("text"), F.max("toxic").alias("toxic"))
+    return materialise(single.select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
 
 
 def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
