@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, licenses, packing, secrets, sharding, simhash, token_store, topk, toxicity, warc
+from wattloom.llm import (
+    centroids,
+    decontaminate,
+    licenses,
+    packing,
+    resample,
+    secrets,
+    sharding,
+    simhash,
+    token_store,
+    topk,
+    toxicity,
+    url_rules,
+    warc,
+)
 from wattloom.llm.common import table
 from wattloom.storage import fresh_path
 
@@ -65,6 +79,18 @@ def op10_impact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_digest(centroids.cluster_vectors(table(spark, sf, "embeddings")))
+
+
 QUERIES = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -76,4 +102,7 @@ QUERIES = {
     "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_token_files": op9_token_files,
     "op10_impact_top_k": op10_impact_top_k,
+    "op11_url_rules": op11_url_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

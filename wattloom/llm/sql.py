@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from wattloom.llm.licenses import PHRASES, TEMPLATES
 from wattloom.llm.secrets import PEM_RULE
+from wattloom.llm.url_rules import HOST_RULES
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -144,10 +145,172 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vec_id, score
 FROM scored QUALIFY rank <= 20"""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _host_cases(value: str) -> str:
+    """The longest rule first, as ``rule`` or as ``verdict``."""
+    cases = []
+    for verdict, domain, start in sorted(HOST_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
+        said = domain + start if value == "rule" else verdict
+        fits = f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{start}')"
+        cases.append(f"WHEN {fits} THEN '{said}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_URL_RULES = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS row, page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS behind
+  FROM pages),
+h AS (
+  SELECT row, page_id, behind, translate(regexp_extract(behind, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(behind, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+p AS (
+  SELECT *, {_host_cases("rule")} AS rule, {_host_cases("verdict")} AS said,
+         list_reverse(string_split(host, '.')) AS labels,
+         list_filter(string_split(path, '/'), lambda x: x <> '') AS segments,
+         regexp_extract(path, '\.([A-Za-z0-9]{{1,8}})\z', 1) AS suffix,
+         list_sort(list_filter(list_distinct(list_transform(
+           string_split(regexp_extract(behind, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: regexp_extract(x, '^([^=]*)', 1))), lambda x: x <> '')) AS keys
+  FROM h),
+q AS (
+  SELECT *, CASE WHEN host = '' THEN ['none'] ELSE list_sort(list_distinct(
+    list_transform(labels[1:4], lambda x, i: 'host' || (i - 1) || '=' || x)
+    || ['labels=' || least(len(labels), 9)]
+    || list_transform(list_transform(segments[1:2], lambda x: regexp_replace(x, '\.[A-Za-z0-9]{{1,8}}\z', '')),
+                      lambda x, i: 'path' || (i - 1) || '=' || CASE WHEN regexp_matches(x, '^[0-9]+\z') THEN '#' ELSE x END)
+    || ['segments=' || least(len(segments), 9)]
+    || list_transform(keys[1:2], lambda x: 'key=' || x)
+    || CASE WHEN suffix <> '' THEN ['suffix=' || suffix] ELSE [] END
+    || CASE WHEN regexp_matches(behind, '^[^?#]*\?') THEN ['query'] ELSE [] END
+    || CASE WHEN contains(behind, '#') THEN ['fragment'] ELSE [] END)) END AS tokens
+  FROM p),
+t AS (SELECT row, said, unnest(tokens) AS token FROM q WHERE said IS NOT NULL),
+parts AS (
+  SELECT said, [token] AS tokens FROM t
+  UNION ALL SELECT a.said, [a.token, b.token] FROM t a JOIN t b ON a.row = b.row AND a.token < b.token
+  UNION ALL SELECT a.said, [a.token, b.token, c.token]
+            FROM t a JOIN t b ON a.row = b.row AND a.token < b.token JOIN t c ON a.row = c.row AND b.token < c.token),
+counted AS (
+  SELECT tokens, said, n, n / sum(n) OVER (PARTITION BY tokens) AS confidence
+  FROM (SELECT tokens, said, count(*) AS n FROM parts GROUP BY tokens, said)),
+mined AS (
+  SELECT * FROM counted
+  WHERE confidence >= 0.8e0 AND n >= (SELECT ceil(0.01e0 * count(*)) FROM q WHERE said IS NOT NULL)),
+pruned AS (
+  SELECT * FROM mined r
+  WHERE NOT EXISTS (SELECT 1 FROM mined o WHERE o.said = r.said AND len(o.tokens) < len(r.tokens)
+                    AND list_has_all(r.tokens, o.tokens) AND o.confidence >= r.confidence)),
+best AS (
+  SELECT q.row, r.said, array_to_string(r.tokens, ' & ') AS mined, r.confidence
+  FROM q JOIN pruned r ON list_has_all(q.tokens, r.tokens)
+  WHERE q.said IS NULL
+  QUALIFY row_number() OVER (PARTITION BY q.row ORDER BY r.confidence DESC, r.n DESC, len(r.tokens), r.tokens) = 1)
+SELECT page_id, host, path, rule, coalesce(q.said, best.said, 'allow') AS verdict, mined, confidence
+FROM q LEFT JOIN best USING (row)"""
+
+_CRC = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs
+  FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) AS c
+        FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc32(text: str) -> str:
+    """Checksum of a text's UTF-8 bytes, byte by byte with the table ``crcs``."""
+    digit = "strpos('0123456789ABCDEF', substr(h, {}, 1)) - 1"
+    byte = f"CAST(16 * ({digit.format('2 * i + 1')}) + {digit.format('2 * i + 2')} AS BIGINT)"
+    step = "lambda c, b: xor(crcs[xor(c, b) % 256 + 1], c // 256)"
+    bytes_ = f"list_transform(range(length(h) // 2), lambda i: {byte})"
+    return f"(SELECT xor(list_reduce({bytes_}, {step}, 4294967295), 4294967295) FROM (SELECT hex(encode({text})) AS h))"
+
+
+_RESAMPLING = f"""
+WITH {_CRC},
+docs AS (SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
+every AS (SELECT row, unnest(words) AS word FROM docs),
+wanted AS (SELECT unnest({_words("text")}) AS word FROM benchmark),
+known AS (
+  SELECT word, {_crc32("word")} % 10000 AS bucket
+  FROM (SELECT word FROM every UNION SELECT word FROM wanted), crc_table),
+corpus AS (SELECT bucket, count(*) AS s FROM every JOIN known USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN known USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM every) AS ss, (SELECT count(*) FROM wanted) AS tt),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (ss + 10000) AS DOUBLE)
+                                      / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM corpus LEFT JOIN target USING (bucket), sums),
+weights AS (SELECT row, sum(gain) AS weight FROM every JOIN known USING (word) JOIN gains USING (bucket) GROUP BY row),
+drawn AS (
+  SELECT row, doc_id, len(words) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         list_reduce(list_transform(range(8), lambda i: CAST(strpos('0123456789abcdef', substr(
+           sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), i + 1, 1)) - 1 AS BIGINT)),
+           lambda a, b: 16 * a + b) AS h
+  FROM docs LEFT JOIN weights USING (row)),
+scored AS (
+  SELECT row, doc_id, n_features, weight,
+         weight + CAST(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM drawn),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (row)"""
+
+
+def _clustering(k: int = 16, rounds: int = 3, seed: int = 1, width: int = 64, scale: int = 64) -> str:
+    distance = "list_sum(list_transform(list_zip(x.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"""
+WITH x AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM (SELECT * FROM embeddings
+        WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v AS c
+  FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, v FROM x) QUALIFY number < {k})"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""
+a{n} AS (
+  SELECT x.row, min_by(number, ({distance}, number)) AS number, min({distance}) AS distance
+  FROM x CROSS JOIN c{n} c GROUP BY x.row)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""
+m{n} AS (
+  SELECT number, pos, CAST(sum(value) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT number, unnest(v) AS value, unnest(range({width})) AS pos FROM a{n} JOIN x USING (row))
+  GROUP BY number, pos),
+c{n + 1} AS (
+  SELECT c.number, coalesce(moved, c.c) AS c
+  FROM c{n} c LEFT JOIN (
+    SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS moved FROM m{n} GROUP BY number) USING (number))"""
+            )
+    return (
+        ",".join(parts)
+        + f"""
+SELECT vec_id, CAST(number AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN x USING (row) JOIN c{rounds} c USING (number)"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "op3_warc_reader": _WARC,
     "op4_decontamination": _CONTAMINATION,
     "op6_secret_ledger": _SECRETS,
     "op7_license_join": _LICENSES,
     "op10_impact_top_k": _TOP_K,
+    "op11_url_rules": _URL_RULES,
+    "op12_importance_resampling": _RESAMPLING,
+    "op13_centroid_clustering": _clustering(),
 }
