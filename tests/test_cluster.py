@@ -184,7 +184,10 @@ def test_distances_by_definition(spark, blobs, distance):
 
 def test_fit_measures(spark, blobs):
     df = frame(spark, blobs)
-    model = cluster.hierarchical_kmeans(df, lambda p: cluster.kmeans_lloyd(p, 4), 4, rounds=2)
+    one_in_each_group = blobs[[0, 150, 180, 200]]
+    model = cluster.hierarchical_kmeans(
+        df, lambda p: cluster.kmeans_lloyd(p, 4, start=one_in_each_group if p is df else None), 4, rounds=2
+    )
     assigned = cluster.assign_rounds(df, model).cache()
     sums = {(r["round"], r.cluster_id): (r["count"], r.sse) for r in fit.cluster_sse(assigned, 2).collect()}
     ids, distances = assignment(blobs, model[0].centroids)

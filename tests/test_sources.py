@@ -106,3 +106,43 @@ def test_a_hot_meter_is_written_by_several_tasks(spark):
     with pytest.raises(ValueError):
         catalog.save_table(rows, "wattloom_hot.none", ["building_num"])
     catalog.reset_namespace(spark, "wattloom_hot")
+
+
+def test_a_load_with_a_bad_line_leaves_the_table_as_it_was(spark, make_readings, tmp_path):
+    catalog.reset_namespace(spark, "wattloom_load")
+    catalog.create_readings_table(spark, "wattloom_load.readings")
+    io.write_readings_csv(make_readings(minute_series(1, 5)), str(tmp_path / "good"))
+    catalog.load_readings_csv(spark, str(tmp_path / "good"), "wattloom_load.readings")
+    before = rows(spark.table("wattloom_load.readings"))
+    (tmp_path / "half").mkdir()
+    (tmp_path / "half" / "a.csv").write_text("".join(f"2,{n},1.0\n" for n in range(5000)) + "2,oops,1.0\n")
+    (tmp_path / "half" / "b.csv").write_text("3,1,1.0\n\n  \n3,1\n3,1,2,3\n3,1\n")
+    with pytest.raises(io.BadLines) as failure:
+        catalog.load_readings_csv(spark, str(tmp_path / "half"), "wattloom_load.readings")
+    assert failure.value.count == 4
+    assert [(f.rsplit("/", 1)[1], line) for f, line in failure.value.first] == [
+        ("a.csv", "2,oops,1.0"), ("b.csv", "3,1"), ("b.csv", "3,1,2,3"),
+    ]
+    assert rows(spark.table("wattloom_load.readings")) == before
+    found = io.bad_lines(io.stage_readings(spark, str(tmp_path / "half")))
+    assert {(x.line, x.copies) for x in found.collect()} == {("2,oops,1.0", 1), ("3,1", 2), ("3,1,2,3", 1)}
+    catalog.load_readings_csv(spark, str(tmp_path / "good"), "wattloom_load.readings")
+    assert spark.table("wattloom_load.readings").count() == 10
+    catalog.reset_namespace(spark, "wattloom_load")
+
+
+def test_nulls_and_quotes_are_readings(spark, tmp_path):
+    (tmp_path / "all.csv").write_text('1,"1301702400",\n,,\n"2",5,"1e-3"\n')
+    want = [(1, 1301702400, None), (2, 5, 0.001), (None, None, None)]
+    assert rows(io.read_readings(spark, str(tmp_path))) == want
+    assert rows(io.checked_readings(io.stage_readings(spark, str(tmp_path)))) == want
+
+
+def test_lines_are_parsed_once_and_whole(spark, tmp_path):
+    (tmp_path / "all.csv").write_text("1,1301702400,1.0\n")
+    for ask in (
+        io.read_readings(spark, str(tmp_path)).where("usagekw > 1"),
+        io.read_readings(spark, str(tmp_path)).groupBy().count(),
+    ):
+        plan = ask._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv") == 1 and "Generate inline" in plan

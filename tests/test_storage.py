@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from wattloom.storage import fresh_path, materialise, shared_folder
+from wattloom.storage import fresh_path, materialise, run_of, shared_folder
 
 
 class Context:
@@ -43,3 +43,26 @@ def test_materialised_table_keeps_rows_and_types(spark):
     assert table.schema == df.schema
     assert sorted(table.collect()) == sorted(df.collect())
     assert fresh_path(spark, "t") != fresh_path(spark, "t")
+
+
+def test_a_run_deletes_its_own_tables_only(spark):
+    before = materialise(spark.range(3), "before")
+    with run_of(spark):
+        outer = materialise(spark.range(4), "outer")
+        with run_of(spark):
+            inner = materialise(spark.range(5), "inner")
+            assert inner.count() == 5
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|No such file"):
+            inner.collect()
+        assert outer.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|No such file"):
+        outer.collect()
+    assert before.count() == 3 and materialise(spark.range(2), "after").count() == 2
+
+
+def test_a_run_that_fails_is_cleaned_too(spark):
+    with pytest.raises(RuntimeError), run_of(spark):
+        left = materialise(spark.range(4), "left")
+        raise RuntimeError
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|No such file"):
+        left.collect()

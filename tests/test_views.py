@@ -68,6 +68,16 @@ def test_arrays_are_unnested_in_lockstep(spark):
     assert rows(out) == [(1, 1, 3.0), (1, 2, None)]
 
 
+def test_arrays_that_are_not_there_lose_no_row(spark):
+    data = [(1, [1, 2], None), (2, None, [5.0]), (3, [], [6.0]), (4, None, None), (5, [], []), (6, [None], [7.0])]
+    df = spark.createDataFrame(data, "id int, a array<int>, b array<double>")
+    assert rows(assemble.unnest_together(df, {"a": "x", "b": "y"})) == [
+        (1, 1, None), (1, 2, None), (2, None, 5.0), (3, None, 6.0), (4, None, None), (5, None, None), (6, None, 7.0),
+    ]
+    with pytest.raises(ValueError):
+        assemble.unnest_together(df, {"c": "x"})
+
+
 def test_odd_series_are_padded_to_their_length(spark):
     import numpy as np
 

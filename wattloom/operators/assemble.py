@@ -175,15 +175,17 @@ def unnest_profiles(overall: DataFrame) -> DataFrame:
 def unnest_together(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
     """Explode several arrays in lockstep; ``arrays`` maps each to the name of its values.
 
-    Values take the arrays' places among the columns. Shorter arrays are filled with NULL.
-    An array that is not there is an error.
+    Values take the arrays' places among the columns. Shorter arrays, empty and NULL ones too, are
+    filled with NULL; a row whose arrays are all empty stays as one row. A column that is not
+    there is an error.
     """
     present = list(arrays)
     if missing := [a for a in arrays if a not in df.columns]:
         raise ValueError(f"no columns {missing} to unnest")
-    zipped = F.arrays_zip(*[F.col(a).alias(arrays[a]) for a in present])
+    # A zip with a NULL array is NULL.
+    held = [F.coalesce(a, F.array().cast(df.schema[a].dataType)).alias(arrays[a]) for a in present]
     scalars = [c for c in df.columns if c not in present]
-    long = df.select(*scalars, F.inline(zipped).alias(*[arrays[a] for a in present]))
+    long = df.select(*scalars, F.inline_outer(F.arrays_zip(*held)).alias(*[arrays[a] for a in present]))
     return long.select(*[arrays.get(c, c) for c in df.columns])
 
 

@@ -43,12 +43,13 @@ def kmeans_mllib(
 
     Stops when no centroid moves further than ``tol``. May return fewer than ``k``
     centroids if there are fewer distinct points. Its seeding depends on how the points are
-    partitioned; ``kmeans_lloyd`` does not.
+    partitioned; ``kmeans_lloyd`` does not. Points are handled row by row: the library's blocks of
+    rows don't expect fewer start centroids than ``k``.
     """
     if distance not in MLLIB_DISTANCES:
         raise ValueError(f"the library knows the distances {MLLIB_DISTANCES}")
     features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure=distance).fit(features)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, distanceMeasure=distance, solver="row").fit(features)
     return np.array(model.clusterCenters())
 
 

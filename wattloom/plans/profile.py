@@ -27,7 +27,7 @@ from wattloom.operators.views import (
     unnest_cluster_centroids,
 )
 from wattloom.schema import ProfileConfig
-from wattloom.storage import materialise
+from wattloom.storage import materialise, run_of
 
 
 def meter_series(readings: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame:
@@ -142,7 +142,7 @@ def write_tables(
 ) -> dict[str, DataFrame]:
     """Write the results of ``profile_load`` as Parquet under ``folder`` and read them back.
 
-    The new tables depend on nothing else; ``remove_intermediates`` may follow.
+    The new tables depend on nothing else.
     """
     written = {}
     for name in names or tables:
@@ -150,3 +150,15 @@ def write_tables(
         tables[name].write.mode("overwrite").parquet(path)
         written[name] = tables[name].sparkSession.read.schema(tables[name].schema).parquet(path)
     return written
+
+
+def profile_to_folder(
+    readings: DataFrame,
+    folder: str,
+    config: ProfileConfig = ProfileConfig(),
+    method: str | Fit = "mllib",
+    names: Sequence[str] | None = None,
+) -> dict[str, DataFrame]:
+    """``profile_load`` with its results written under ``folder``; the tables on the way are deleted."""
+    with run_of(readings.sparkSession):
+        return write_tables(profile_load(readings, config, method), folder, names)

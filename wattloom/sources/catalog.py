@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.schema import READINGS
-from wattloom.sources.readings import read_readings
-from wattloom.storage import fresh_path
+from wattloom.sources.readings import checked_readings, stage_readings
+from wattloom.storage import fresh_path, run_of
 
 
 def reset_namespace(spark: SparkSession, name: str) -> None:
@@ -25,8 +25,13 @@ def create_readings_table(spark: SparkSession, table: str) -> None:
 
 
 def load_readings_csv(spark: SparkSession, path: str, table: str) -> None:
-    """Append a CSV to an existing readings table; one bad row fails the load."""
-    read_readings(spark, path).write.mode("append").insertInto(table)
+    """Append a CSV to an existing readings table, the whole of it or nothing.
+
+    Every line is parsed once, into a staging table. If a line is no reading, ``BadLines`` names the
+    first of them by file and text, and the table is as it was; else the staged rows are appended.
+    """
+    with run_of(spark):
+        checked_readings(stage_readings(spark, path)).write.mode("append").insertInto(table)
 
 
 def save_table(

@@ -1,21 +1,64 @@
-"""Reading and writing meter readings as headerless CSV."""
+"""Reading and writing meter readings as headerless CSV.
+
+Lines are parsed by one generator behind a text scan. Spark's CSV scan would parse only the columns that
+are asked for, and skip a line at the first value that a pushed filter rejects, so what is wrong
+with the rest of a line would go unnoticed; nothing can be pushed or pruned through a generator.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.schema import READINGS
+from wattloom.storage import materialise
 
 #: Digits right before the extension: ``Home_prefix_7.csv`` -> 7, ``..._07.csv`` -> 7.
 METER_IN_FILE_NAME = r"(\d+)\.csv$"
 
+_LINE = "building_num int, tslocal long, usagekw double"
+_METER_LINE = "tslocal double, usagekw double"
+
+
+class BadLines(ValueError):
+    """Lines that are no readings: how many there are, and the first ones by file and text."""
+
+    def __init__(self, count: int, first: list[tuple[str, str]]):
+        self.count, self.first = count, first
+        said = "; ".join(f"{file}: {line!r}" for file, line in first)
+        super().__init__(f"{count} lines are no readings, among them {said}")
+
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
     """Load ``building_num,tslocal,usagekw`` CSV; one bad row fails the load, also where only
-    some of the columns or a count are asked for."""
-    rows = spark.read.schema(READINGS).option("mode", "FAILFAST").csv(path)
-    return _parsed_whole(rows, READINGS.fieldNames())
+    some of the columns, some of the rows or a count are asked for."""
+    return _lines(spark, path).select(_parsed(_LINE, "FAILFAST"))
+
+
+def stage_readings(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of ``building_num,tslocal,usagekw`` CSV, parsed once and written as a table: the readings' columns
+    with ``bad_line`` and ``file``. A line that is no reading has its text in ``bad_line`` and no values."""
+    rows = _lines(spark, path).select("file", _parsed(f"{_LINE}, bad_line string", "PERMISSIVE"))
+    names = READINGS.fieldNames()
+    good = F.col("bad_line").isNull()
+    kept = [F.when(good, F.col(c)).alias(c) for c in names]
+    return materialise(rows.select(*kept, "bad_line", F.when(~good, F.col("file")).alias("file")), "staged")
+
+
+def bad_lines(staged: DataFrame) -> DataFrame:
+    """``file, line, copies`` of the lines of ``stage_readings`` that are no readings."""
+    bad = staged.where("bad_line IS NOT NULL")
+    return bad.groupBy("file", F.col("bad_line").alias("line")).agg(F.count("*").alias("copies"))
+
+
+def checked_readings(staged: DataFrame, shown: int = 5) -> DataFrame:
+    """The readings of a staged load; ``BadLines`` if a line is none. Reads two columns to find out."""
+    found = bad_lines(staged)
+    count = staged.where("bad_line IS NOT NULL").count()
+    if count:
+        first = found.orderBy("file", "line").limit(shown).collect()
+        raise BadLines(count, [(x.file, x.line) for x in first])
+    return staged.select(*READINGS.fieldNames())
 
 
 def ingest_meter_files(
@@ -30,7 +73,7 @@ def ingest_meter_files(
     without one fails the load. Times written as floats are cut to whole seconds.
     """
     return _meter_files(spark, folder, recursive).select(
-        F.regexp_extract("_metadata.file_path", meter_pattern, 1).cast("int").alias("building_num"),
+        F.regexp_extract("file", meter_pattern, 1).cast("int").alias("building_num"),
         F.col("tslocal").cast("long").alias("tslocal"),
         "usagekw",
     )
@@ -39,26 +82,24 @@ def ingest_meter_files(
 def rows_per_file(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Number of rows in every per-meter file; one bad row fails the count."""
     files = _meter_files(spark, folder, recursive)
-    return files.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
-        F.count("*").alias("n_rows")
-    )
+    return files.groupBy(F.col("file").alias("file_path")).agg(F.count("*").alias("n_rows"))
 
 
-def _parsed_whole(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The same rows. The condition holds for each of them, but Spark must parse all columns to
-    know it, so FAILFAST sees every value."""
-    return rows.where(F.pmod(F.xxhash64(*columns), F.lit(2)) < 2)
+def _lines(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*") -> DataFrame:
+    """``value, file`` of every line that is not blank."""
+    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(F.trim("value") != "")
+
+
+def _parsed(schema: str, mode: str) -> Column:
+    """The columns of ``schema`` from a line. A generator: it runs for each line, whatever is asked for."""
+    options = {"mode": mode, "columnNameOfCorruptRecord": "bad_line"}
+    return F.inline(F.array(F.from_csv("value", schema, options)))
 
 
 def _meter_files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
-    rows = (
-        spark.read.schema("tslocal double, usagekw double")
-        .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", recursive)
-        .csv(folder)
-    )
-    return _parsed_whole(rows, ["tslocal", "usagekw"])
+    return _lines(spark, folder, recursive, "*.csv").select("file", _parsed(_METER_LINE, "FAILFAST"))
 
 
 def write_readings_csv(readings: DataFrame, path: str) -> None:

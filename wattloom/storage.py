@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,27 +30,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_GIVEN: list[str] = []
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier call has returned."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _GIVEN.append(path)
+    for paths in _open_runs(spark):
+        paths.append(path)
     return path
 
 
-def remove_intermediates(spark: SparkSession) -> int:
-    """Delete what was written under the paths of ``fresh_path`` so far; how many there were.
+_RUNS: dict[int, list[list[str]]] = {}
+
+
+def _open_runs(spark: SparkSession) -> list[list[str]]:
+    """Paths given in the runs of this session that have not ended; the innermost run comes last."""
+    return _RUNS.setdefault(id(spark), [])
+
+
+@contextmanager
+def run_of(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, what was written under the paths of ``fresh_path`` inside the block.
 
-    Frames that read them can't be used afterwards.
+    Frames that read those tables can't be used afterwards: write the results elsewhere first. Runs of
+    other sessions, and what was written before the block, stay.
     """
-    removed = 0
-    while _GIVEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        removed += bool(system.delete(path, True))
-    return removed
+    runs, mine = _open_runs(spark), []
+    runs.append(mine)
+    try:
+        yield
+    finally:
+        runs[:] = [paths for paths in runs if paths is not mine]
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
