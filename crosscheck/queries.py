@@ -3,8 +3,10 @@ that is compared, never in the operators."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosscheck import fixtures
@@ -26,20 +28,26 @@ _COARSE = ("usagekw", "usagekw_sum_5min", "usagekw_sum_5min_mean", "usagekw_sum_
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles to ``digits`` (sums and means of usage to 6); adding 0.0 turns -0.0 into 0.0."""
-    return df.select(
-        *[
-            (F.round(name, 6 if name in _COARSE else digits) + 0.0).alias(name)
-            if kind == "double"
-            else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+    """Round doubles to ``digits``; adding 0.0 turns -0.0 into 0.0."""
+    return _doubles(df, lambda name: F.round(name, digits))
 
 
 def fine(df: DataFrame) -> DataFrame:
-    """Spectral values of the readings are about 1e-4: keep more digits of them."""
-    return rounded(df, 10)
+    """Seven significant digits: spectra and distances of the readings go from 1e-8 to 1. What is under 1e-12
+    is rounding noise. Sums and means of usage have 6 digits."""
+
+    def settled(name: str) -> Column:
+        if name in _COARSE:
+            return F.round(name, 6)
+        digits = F.format_string("%.6e", F.col(name)).cast("double")
+        return F.when(F.abs(name) < 1e-12, F.lit(0.0)).when(F.col(name).isNotNull(), digits)
+
+    return _doubles(df, settled)
+
+
+def _doubles(df: DataFrame, settle: Callable[[str], Column]) -> DataFrame:
+    columns = [(settle(name) + 0.0).alias(name) if kind == "double" else F.col(name) for name, kind in df.dtypes]
+    return df.select(*columns)
 
 
 # --- sources and sinks
@@ -95,6 +103,23 @@ def readings_table(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.save_table(spark.table("wattloom_check_gaps"), "wattloom_check.gaps")
 
 
+def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings as text, with faults by meter and minute: a missing field, one too many, words for numbers."""
+    path = fresh_path(spark, "faulty-csv")
+    minute = F.expr("CAST((tslocal - 1301702400) div 60 AS INT)")
+    fields = [F.col(c).cast("string") for c in ("building_num", "tslocal")]
+    whole = F.concat_ws(",", *fields, minute.cast("string"))
+    faulty = (
+        F.when((F.col("building_num") % 9 == 1) & (minute % 100 == 7), F.concat_ws(",", *fields))
+        .when((F.col("building_num") % 9 == 4) & (minute % 50 == 3), F.concat(whole, F.lit(",9")))
+        .when((F.col("building_num") % 9 == 7) & (minute % 360 == 0), F.concat_ws(",", F.lit("meter"), *fields[1:], F.lit("low")))
+        .otherwise(whole)
+    )
+    fixtures.readings(spark, sf).select(faulty.alias("value")).write.text(path)
+    found = io.bad_lines(io.stage_readings(spark, path))
+    return found.groupBy("line").agg(F.sum("copies").alias("copies"))
+
+
 def sample_readings(spark: SparkSession, sf: str) -> DataFrame:
     return io.sample_readings(fixtures.readings(spark, sf))
 
@@ -274,9 +299,15 @@ def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix_rows(spark, _fit(embedding_points(spark, sf)), K)
 
 
-def _shifted(points: DataFrame, k: int) -> DataFrame:
-    """Points with one right clustering on two levels: labels far apart, and within them k groups."""
-    shift = 1000.0 * F.col("building_num") + 30.0 * F.pmod("bgid", F.lit(k))
+#: Groups within a label, and again within a group, by a remainder modulo 4: one holds half of the points.
+_GROUPS, _GROUP = 3, "CASE {0} WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END"
+
+
+def _shifted(points: DataFrame) -> DataFrame:
+    """Points with one right clustering on three levels: labels far apart, groups within them, and groups
+    within those again. On the last two levels one group is the largest beyond doubt."""
+    second, third = (F.expr(_GROUP.format(f"pmod({x}, 4)")) for x in ("bgid", "bgid div 4"))
+    shift = 100_000.0 * F.col("building_num") + 1_000.0 * second + 10.0 * third
     moved = F.transform("pgram_norm_arr", lambda x: x + shift)
     return points.withColumn("pgram_norm_arr", moved)
 
@@ -289,7 +320,7 @@ def kmeans_mllib(spark: SparkSession, sf: str) -> DataFrame:
     """Whatever the library's seeding, a cluster is a label: named by its lowest id."""
     points = embedding_points(spark, sf)
     k = _labels(points)
-    moved = materialise(_shifted(points, k), "shifted")
+    moved = materialise(_shifted(points), "shifted")
     centroids = cluster.kmeans_mllib(moved, k)
     assigned = materialise(cluster.assign_clusters(moved, centroids, k), "assigned")
     rows = assemble.centroid_rows(cluster.centroid_table(spark, k, centroids))
@@ -353,17 +384,21 @@ def hierarchical_lloyd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hierarchical_kmeans_mllib(spark: SparkSession, sf: str) -> DataFrame:
-    """Two rounds on points with one right answer; clusters are named by their lowest id."""
+    """All rounds on points with one right answer; clusters are named by their lowest id."""
     points = embedding_points(spark, sf)
     k = _labels(points)
-    moved = materialise(_shifted(points, k), "shifted")
-    model = cluster.hierarchical_kmeans(moved, lambda m: cluster.kmeans_mllib(m, k), k, 2)
+    moved = materialise(_shifted(points), "shifted")
+    model = cluster.hierarchical_kmeans(
+        moved, lambda m: cluster.kmeans_mllib(m, k if m is moved else _GROUPS), k, ROUNDS
+    )
     assigned = materialise(cluster.assign_rounds(moved, model), "assigned")
-    for suffix in ("", "_r2"):
+    suffixes = cluster.round_suffixes(ROUNDS)
+    for suffix in suffixes:
         lowest = assigned.where(f"cluster_id{suffix} IS NOT NULL").groupBy(f"cluster_id{suffix}")
         named = lowest.agg(F.min("bgid").alias(f"lowest_bgid{suffix}"))
         assigned = assigned.join(named, f"cluster_id{suffix}", "left")
-    return rounded(assigned.select("bgid", "lowest_bgid", "l2dist", "lowest_bgid_r2", "l2dist_r2"), 4)
+    names = [f"{c}{suffix}" for suffix in suffixes for c in ("lowest_bgid", "l2dist")]
+    return rounded(assigned.select("bgid", *names), 4)
 
 
 def cluster_sse(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,6 +535,7 @@ QUERIES = {
     "ingest_named_files": ingest_named_files,
     "rows_per_file": rows_per_file,
     "readings_table": readings_table,
+    "rejected_lines": rejected_lines,
     "sample_readings": sample_readings,
     "interval_check": interval_check,
     "interval_check_events": interval_check_events,
