@@ -50,13 +50,52 @@ def test_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS), "vec_id % 20 = 0").count() == 0
 
 
-def test_early_stop_is_exact():
+@pytest.mark.parametrize("spread", [40, 5000])
+def test_early_stop_is_exact(spread):
     rng = np.random.default_rng(5)
-    values = rng.integers(-40, 40, (3000, 16))
+    values = rng.integers(-spread, spread, (3000, 16))
     values[:400] = values[0]
     index = topk.ImpactIndex(np.arange(3000), values)
     for q in (0, 5, 2999):
-        places, scores = index.top(q, values[q], 20, few=30)
         every = values @ values[q]
         want = sorted((-int(s), i) for i, s in enumerate(every) if i != q)[:20]
-        assert [(-int(s), int(i)) for s, i in zip(scores, index.ids[places])] == want
+        for floor in (None, float(-want[-1][0]), float(-want[5][0])):
+            places, scores = index.top(q, values[q], 20, floor, few=30)
+            got = [(-int(s), int(i)) for s, i in zip(scores, index.ids[places])]
+            assert got == [x for x in want if floor is None or -x[0] >= floor]
+
+
+def test_levels_fall_and_hold_every_dimension():
+    rng = np.random.default_rng(6)
+    index = topk.ImpactIndex(np.arange(500), rng.integers(-9, 9, (500, 32)))
+    query = rng.integers(-9, 9, 32).astype(float)
+    order, starts = index.levels(query)
+    impact = np.abs(query) * index.range
+    assert sorted(order.tolist()) == list(range(32)) and len(starts) <= topk.LEVELS + 2
+    steps = np.floor(impact * topk.LEVELS / impact.max())[order]
+    assert (np.diff(steps) <= 0).all()
+    assert [len(set(steps[a:b])) for a, b in zip(starts[:-1], starts[1:])] == [1] * (len(starts) - 1)
+
+
+def test_a_floor_saves_most_of_the_rescoring():
+    rng = np.random.default_rng(7)
+    values = rng.normal(0, 8, (8192, 64)).astype(np.int64)
+    index, rescored = topk.ImpactIndex(np.arange(8192), values), []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            rescored.append(len(self))
+            return np.asarray(self) @ other
+
+    index.values = values.view(Counted)
+    for query in values[:50]:
+        floor = float(np.sort(values @ query)[-40])
+        index.top(-1, query, 20, floor)
+    assert sum(rescored) / 50 < 0.07 * 8192
+
+
+def test_repeated_queries_have_their_results_again(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.25, 0.5]), (20, [1.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), "vec_id % 20 = 0").collect()
+    near, far = [(20, 1, 1, 2048), (20, 2, 2, 1024)], [(20, 1, 2, 2048), (20, 2, 1, 1024)]
+    assert sorted(map(tuple, got)) == sorted(near * 2 + far)
