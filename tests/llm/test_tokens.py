@@ -19,7 +19,6 @@ _ODD = st.text(alphabet="aZé. ,\n\t'sK1  ́漢\x1c<|>", max_size=40)
 
 def plain(name, texts):
     library = Tokenizer.from_file(vocabulary(name))
-    library.encode_special_tokens = True
     end = FILES[name][1]
     return [[*x.ids, end] for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
@@ -36,10 +35,23 @@ def test_pieces_give_the_ids_of_the_whole_text(name, texts):
 
 
 @pytest.mark.parametrize("name", FILES)
-def test_special_tokens_in_a_text_are_ordinary_text(name):
-    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>"]
+def test_special_tokens_in_a_text_are_what_the_library_makes_of_them(name):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>", "a <|endoftext b", "<|<|endoftext|>|>", "plain"]
     got = _ENCODERS[name].encode(texts, FILES[name][1])
     assert [x.tolist() for x in got] == plain(name, texts)
+    if name.startswith("byte"):
+        assert got[1].tolist() == [64, 220, 50256, 275, 0]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_frequent_pieces_stay_when_others_are_forgotten(name):
+    encoder = PieceEncoder(vocabulary(name), FILES[name][0], limit=20)
+    texts = [f"the common words and w{n}x w{n}x " * 2 for n in range(300)]
+    for at in range(0, 300, 10):
+        got = encoder.encode(texts[at : at + 10], 7)
+        assert [x.tolist()[:-1] for x in got] == [x[:-1] for x in plain(name, texts[at : at + 10])]
+    prefix = " " if FILES[name][0] else ""
+    assert len(encoder.known.rows) <= 20 and {prefix + x for x in ("common", "words", "and")} <= set(encoder.known.rows)
 
 
 def check_plan(rows, plan, window=4096):
@@ -189,6 +201,16 @@ def test_token_files_query(spark, sf):
     check_store([(x.doc_id, x.text) for x in docs], queries.op9_token_files(spark, sf).collect())
 
 
+def test_the_sample_is_bounded_and_ranked_by_hashes(spark, make_docs):
+    docs = make_docs([(n % 50, f"text {n % 70} " + "long " * (n % 9) * 10) for n in range(500)] + [(1, "same")] * 100)
+    texts = docs.select("doc_id", "text").repartition(7)
+    got = token_store._sample(texts, 40, 300)
+    assert len(got) == 40 and max(map(len, got)) <= 300
+    assert got == token_store._sample(texts.repartition(3), 40, 300)
+    assert len(token_store._sample(texts, 10_000, 1 << 20)) == 600
+    assert token_store._sample(texts.limit(0), 40, 300) == []
+
+
 def test_one_document_is_read_by_the_index(spark, make_docs, folder):
     rows = [(n, f"document number {n}") for n in range(40)]
     stored(make_docs(rows), folder, files=3)

@@ -1,25 +1,37 @@
-"""Token ids by the tokenizers library, each distinct piece of text encoded once per worker.
+"""Token ids by the tokenizers library, each distinct piece of text encoded once per batch.
 
 Both tokenizers split a text before they merge anything, and a single space between two
-non-space characters is always such a split. So a text is cut there, equal pieces are encoded once
-by the library, and the ids of a text are the ids of its pieces in order. A new piece that is a
-word with a comma, full stop or new line is cut once more, so that the word is not encoded again.
-Texts in which the cut is not certain (white space on both sides of a space) go to the library
-whole.
+non-space characters is always such a split. So the texts of a batch are cut there by Arrow, which also
+numbers the distinct pieces; these are encoded once by the library, and the ids of a text are the
+ids of its pieces in order. Texts in which the cut is not certain (white space on both sides of a
+space), and those that hold the string of a special token, go to the library whole.
+
+Pieces that come up often are remembered over batches, at most ``limit`` of them. When there are more, those
+met least are forgotten and the counts of the others halved, so frequent pieces stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from wattloom.llm.common import per_process
 
 _UNCERTAIN = re.compile(r"\s \s")
-_WORD = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
 #: A special token of both vocabularies: the library cuts a text there before anything else.
 _CUT = "<|endoftext|>"
+#: A control character: to both libraries a word of its own.
+_MARK = "\x01"
+_JOINED = 32
+#: Text that a worker cuts into pieces at a time. Longer runs repeat less work, shorter ones need less memory.
+RUN_BYTES = 5 << 20
+#: How byte-level vocabularies write a space.
+_SPACE = "\u0120"
 
 
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -28,132 +40,210 @@ def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-class _Rows(dict):
-    """Row number of every piece; a new piece gets the next number and waits for its ids."""
-
-    def __init__(self, waiting: list[str], prefix: str, count: list[int]):
-        super().__init__()
-        self.waiting, self.prefix, self.count = waiting, prefix, count
-
-    def __missing__(self, piece: str) -> int:
-        row = self.count[0]
-        self.count[0] += 1
-        self[piece] = row
-        self.waiting.append((self.prefix, piece))
-        return row
-
-
-class _Runs:
-    """Runs of ids, numbered from 0."""
+class _Known:
+    """Ids of the pieces that are remembered: a run of ids for each, and how often it was met."""
 
     def __init__(self):
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.rows: dict[str, int] = {}
+        self.starts, self.sizes, self.met = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.uint32)
 
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
+        first = len(self.rows)
+        self.rows.update(zip(pieces, range(first, first + len(pieces))))
         ends = len(self.flat) + np.cumsum(sizes)
         self.starts = np.concatenate([self.starts, ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
+        self.met = np.concatenate([self.met, met])
 
-    def ids(self, rows: np.ndarray) -> np.ndarray:
-        return self.flat[expand(self.starts[rows], self.sizes[rows])]
+    def keep(self, count: int) -> None:
+        """Forget all but the ``count`` pieces that were met most."""
+        if len(self.rows) <= count:
+            return
+        chosen = np.sort(np.argpartition(-self.met, count)[:count])
+        pieces = list(self.rows)
+        self.flat = self.flat[expand(self.starts[chosen], self.sizes[chosen])]
+        self.sizes, self.met = self.sizes[chosen], self.met[chosen] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.rows = {pieces[n]: row for row, n in enumerate(chosen.tolist())}
 
 
 class PieceEncoder:
     """``spaces``: the piece after a space keeps it (byte-level vocabularies); otherwise white space
-    is dropped. About ``limit`` pieces are remembered, then all are forgotten."""
+    is dropped. At most ``limit`` pieces are remembered."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 450_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cutter = Tokenizer.from_file(path)
-        self.cut_id = self.cutter.token_to_id(_CUT)
+        self.cut_id = self.tokenizer.token_to_id(_CUT)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.spaces, self.limit = spaces, limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.waiting: list[tuple[str, str]] = []
-        self.count = [0]
-        self.first = _Rows(self.waiting, "", self.count)
-        self.rest = _Rows(self.waiting, " " if self.spaces else "", self.count)
-        self.atoms: dict[str, int] = {}
-        self.atom_runs, self.runs = _Runs(), _Runs()
-
-    def _atoms_of(self, prefix: str, piece: str) -> list[str]:
-        if (found := _WORD.fullmatch(piece)) is None:
-            return [prefix + piece]
-        parts = found.groups()
-        if not parts[0].isalpha() or parts[3] and not parts[3].isalpha():
-            return [prefix + piece]
-        return [prefix + parts[0], *filter(None, parts[1:])]
-
-    def _learn(self) -> None:
-        if not self.waiting:
-            return
-        atoms, fresh, rows, sizes = self.atoms, [], [], []
-        for prefix, piece in self.waiting:
-            parts = self._atoms_of(prefix, piece)
-            sizes.append(len(parts))
-            for part in parts:
-                if (row := atoms.get(part)) is None:
-                    row = atoms[part] = len(atoms)
-                    fresh.append(part)
-                rows.append(row)
-        self.waiting.clear()
-        if fresh:
-            self.atom_runs.add(*self._joined(fresh))
-        rows, sizes = np.array(rows), np.array(sizes)
-        ids = self.atom_runs.ids(rows)
-        ends = np.cumsum(self.atom_runs.sizes[rows])[np.cumsum(sizes) - 1]
-        self.runs.add(ids, np.diff(ends, prepend=0))
-
-    def _joined(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for every atom, many atoms to a call."""
-        if any("<|" in x for x in atoms):
-            found = self._whole(atoms)
-            return np.array([y for x in found for y in x], np.uint32), np.array([len(x) for x in found])
-        groups = [_CUT.join(atoms[at : at + 256]) for at in range(0, len(atoms), 256)]
-        found = self.cutter.encode_batch_fast(groups, add_special_tokens=False)
-        flat = np.concatenate([np.array([*x.ids, self.cut_id], np.uint32) for x in found])
-        cuts = np.flatnonzero(flat == self.cut_id)
-        return flat[flat != self.cut_id], np.diff(cuts, prepend=-1) - 1
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [x.ids for x in found]
-
-    def _pieces(self, text: str) -> np.ndarray:
-        if not self.spaces:
-            pieces = [x for x in text.replace("\n", " ").split(" ") if x]
-            return np.fromiter(map(self.rest.__getitem__, pieces), np.int64, len(pieces))
-        pieces = text.split(" ")
-        rows = np.empty(len(pieces), np.int64)
-        rows[0] = self.first[pieces[0]]
-        rows[1:] = np.fromiter(map(self.rest.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-        return rows
+        self.known = _Known()
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
+        self.tails = {x: y[0] for x in ".," if len(y := self.tokenizer.encode(x, add_special_tokens=False).ids) == 1}
+        self.opening = np.zeros(self.vocabulary, bool)
+        if spaces:
+            self.opening[[n for x, n in self.tokenizer.get_vocab().items() if x.startswith(_SPACE)]] = True
+        elif self.mark_id is not None:
+            self.opening[self.mark_id] = True
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of every text, with ``end_id`` behind them."""
-        return [ids for at in range(0, len(texts), 2048) for ids in self._some(texts[at : at + 2048], end_id)]
-
-    def _some(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if self.count[0] > self.limit:
-            self._forget()
-        whole = {n for n, x in enumerate(texts) if not x or self.spaces and _UNCERTAIN.search(x)}
-        direct = dict(zip(sorted(whole), self._whole([texts[n] for n in sorted(whole)])))
-        rows = [None if n in whole else self._pieces(x) for n, x in enumerate(texts)]
-        self._learn()
+        return [ids for _, found in self.runs(pa.array(texts, pa.string()), end_id) for ids in found]
+
+    def runs(self, texts: pa.Array, end_id: int, limit: int = RUN_BYTES) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """First place and ids of runs of texts, of about ``limit`` bytes each; no text is NULL."""
+        first, held = 0, 0
+        for n, size in enumerate(pc.binary_length(texts).to_pylist()):
+            held += size
+            if held >= limit or n + 1 == len(texts):
+                yield first, self._some(texts.slice(first, n + 1 - first), end_id)
+                first, held = n + 1, 0
+
+    def _to_library(self, text: str) -> bool:
+        if not text or self.spaces and _UNCERTAIN.search(text):
+            return True
+        return any(x in text for x in self.special)
+
+    def _some(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        direct = [self._to_library(x.as_py()) for x in texts]
+        whole = [x.as_py() for x, y in zip(texts, direct) if y]
+        found = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+        by_library = (np.array([*x.ids, end_id], np.uint32) for x in found)
+        cut = texts.filter(pa.array([not x for x in direct]))
+        by_pieces = self._by_pieces(cut, end_id) if len(cut) else iter(())
+        return [next(by_library if y else by_pieces) for y in direct]
+
+    def _by_pieces(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        if not self.spaces:
+            texts = pc.replace_substring(texts, "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        del lists
+        piece = numbered.indices.to_numpy(zero_copy_only=False).copy()
+        pieces = numbered.dictionary.to_pylist()
+        del numbered
+        if self.spaces:
+            # Only the first piece of a text has no space before it.
+            opening, place = np.unique(piece[bounds[:-1]], return_inverse=True)
+            piece[bounds[:-1]] = len(pieces) + place
+            pieces = [" " + x for x in pieces] + [pieces[n] for n in opening.tolist()]
+        starts, sizes, flat = self._runs(pieces, np.bincount(piece, minlength=len(pieces)))
+        del pieces
         end = np.uint32(end_id)
-        return [
-            np.append(np.array(direct[n], np.uint32) if r is None else self.runs.ids(r), end)
-            for n, r in enumerate(rows)
-        ]
-
-
-def encoder(path: str, spaces: bool, limit: int = 450_000) -> PieceEncoder:
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            rows = piece[a:b]
+            yield np.append(flat[expand(starts[rows], sizes[rows])], end)
+
+    def _runs(self, pieces: list[str], met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and ids of every piece's run."""
+        known = self.known
+        row = np.fromiter(map(known.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        old, new = row >= 0, np.flatnonzero((row < 0) & (met > 0))
+        known.met[row[old]] += met[old]
+        fresh = [pieces[n] for n in new.tolist()]
+        flat, begin, run = self._with_tails(fresh)
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[old], sizes[old] = known.starts[row[old]], known.sizes[row[old]]
+        starts[new], sizes[new] = len(known.flat) + begin, run
+        every = np.concatenate([known.flat, flat])
+        often = np.flatnonzero(met[new] > 1)
+        if len(often):
+            ids = flat[expand(begin[often], run[often])]
+            known.add([fresh[n] for n in often.tolist()], ids, run[often], met[new][often])
+            if len(known.rows) > self.limit:
+                known.keep(3 * self.limit // 4)
+        return starts, sizes, every
+
+    def _with_tails(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that are not known, and where each one's start and how many they are.
+
+        A word with a comma or full stop behind it is the ids of the word, often known, and one more id.
+        """
+        known, todo = self.known, {}
+        source, tail = [], []
+        for piece in pieces:
+            mark = self.tails.get(piece[-1:], -1)
+            word = piece[:-1] if mark >= 0 else piece
+            if mark >= 0 and not word[self.spaces :].isalpha():
+                mark, word = -1, piece
+            row = known.rows.get(word, -1) if mark >= 0 else -1
+            source.append(row if row >= 0 else -2 - todo.setdefault(word, len(todo)))
+            tail.append(mark)
+        flat, begin, run = self._encoded(list(todo))
+        rows, tails = np.array(source, np.int64), np.array(tail, np.int64)
+        starts, sizes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        old, new = rows >= 0, rows < 0
+        starts[old], sizes[old] = known.starts[rows[old]], known.sizes[rows[old]]
+        starts[new], sizes[new] = len(known.flat) + begin[-2 - rows[new]], run[-2 - rows[new]]
+        total = sizes + (tails >= 0)
+        first = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.uint32)
+        out[expand(first, sizes)] = np.concatenate([known.flat, flat])[expand(starts, sizes)]
+        out[(first + sizes)[tails >= 0]] = tails[tails >= 0]
+        return out, first, total
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where each one's ids start and how many they are.
+
+        Pieces that neither begin nor end with white space stand side by side, as in a text; that is the
+        faster way. The others are set apart by a special token.
+        """
+        plain = [n for n, x in enumerate(pieces) if self._plain(x)]
+        plain_set = set(plain)
+        apart = [n for n in range(len(pieces)) if n not in plain_set]
+        parts = [self._side_by_side([pieces[n] for n in plain]), self._apart([pieces[n] for n in apart])]
+        sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        ordered = np.concatenate([x[1] for x in parts])
+        order = np.array(plain + apart, np.int64)
+        sizes[order], starts[order] = ordered, np.cumsum(ordered) - ordered
+        return np.concatenate([x[0] for x in parts]), starts, sizes
+
+    def _plain(self, piece: str) -> bool:
+        text = piece[1:] if self.spaces else piece
+        if not text or text[0].isspace() or text[-1].isspace():
+            return False
+        return piece[0] == " " if self.spaces else _MARK not in piece
+
+    def _side_by_side(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece starts at the id that begins with a space or, in vocabularies without spaces, behind a mark."""
+        if not self.spaces and self.mark_id is None:
+            return self._apart(pieces)
+        groups = [pieces[at : at + _JOINED] for at in range(0, len(pieces), _JOINED)]
+        said = ["".join(x) if self.spaces else "".join(f"{_MARK} {y} " for y in x) for x in groups]
+        flats, sizes = [], []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(said, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            begins = np.flatnonzero(self.opening[ids])
+            if len(begins) != len(group) or begins[0]:
+                flat, run = self._apart(group)
+            elif self.spaces:
+                flat, run = ids, np.diff(begins, append=len(ids))
+            else:
+                flat, run = ids[~self.opening[ids]], np.diff(begins, append=len(ids)) - 1
+            flats.append(flat)
+            sizes.append(run)
+        return _joined(flats, sizes)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [_CUT.join(pieces[at : at + _JOINED]) for at in range(0, len(pieces), _JOINED)]
+        flats, sizes = [], []
+        for found in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids = np.array([*found.ids, self.cut_id], np.uint32)
+            cuts = np.flatnonzero(ids == self.cut_id)
+            flats.append(ids[ids != self.cut_id])
+            sizes.append(np.diff(cuts, prepend=-1) - 1)
+        return _joined(flats, sizes)
+
+
+def _joined(flats: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *flats]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+def encoder(path: str, spaces: bool, limit: int = 200_000) -> PieceEncoder:
     return per_process(("encoder", path, spaces, limit), lambda: PieceEncoder(path, spaces, limit))

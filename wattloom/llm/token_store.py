@@ -142,6 +142,23 @@ def read_dictionary(path: str) -> bytes:
         return source.read()
 
 
+def _sample(texts: DataFrame, count: int, largest: int) -> list[str]:
+    """``count`` texts of at most ``largest`` bytes, those with the smallest hash of id and text.
+
+    Only hashes are ranked, ``count`` of 16 bytes from each task; then the texts with these are read.
+    """
+    small = texts.where(F.octet_length("text") <= largest)
+    named = small.select("text", F.xxhash64("doc_id").alias("by_id"), F.xxhash64("text").alias("by_text"))
+    keys = named.select("by_id", "by_text").orderBy("by_id", "by_text").limit(count).collect()
+    if not keys:
+        return []
+    # Rows equal in both hashes may stand at the end of the list more than once: the limit holds for texts too.
+    last = F.struct(F.lit(keys[-1].by_id).alias("by_id"), F.lit(keys[-1].by_text).alias("by_text"))
+    chosen = named.where(F.struct("by_id", "by_text") <= last)
+    rows = chosen.orderBy("by_id", "by_text").limit(len(keys)).select("text").collect()
+    return [x.text for x in rows]
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -151,23 +168,20 @@ def write_token_files(
     files: int | None = None,
     sample_docs: int = 1000,
     sample_bytes: int = 16_384,
-    remember: int = 350_000,
-    slice_rows: int = 1024,
+    remember: int = 200_000,
 ) -> DataFrame:
     """Write ``doc_id, text`` as token files in ``folder``; return the manifest.
 
-    ``files`` defaults to the session's number of shuffle partitions. An executor needs one
-    document and the index of its file (29 bytes per document) in memory, besides ``slice_rows`` documents with their ids and about
+    ``files`` defaults to the session's number of shuffle partitions. An executor needs the index of
+    its file (29 bytes per document) in memory, besides a run of texts with their ids and at most
     ``remember`` pieces of text per worker.
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    small = texts.where(F.octet_length("text") <= sample_bytes)
-    sample = small.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs).select("text")
     encode = encoder(tokenizer, spaces, remember)
     wide = encode.vocabulary > 65_536 or end_id > 65_535
-    ids = encode.encode([x.text for x in sample.collect()], end_id)
+    ids = encode.encode(_sample(texts, sample_docs, sample_bytes), end_id)
     dictionary = train_dictionary([x.astype("<u4" if wide else "<u2").tobytes() for x in ids])
     digest = hashlib.sha256(dictionary).hexdigest()
     system, root = file_system(folder)
@@ -186,10 +200,9 @@ def write_token_files(
                 system, root = file_system(folder)
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}"
                 writer = TokenFileWriter(system.open_output_stream(f"{root}/{name}"), handle.value, wide)
-            for at in range(0, batch.num_rows, slice_rows):
-                rows = batch.slice(at, slice_rows)
-                found = encoder(tokenizer, spaces, remember).encode(rows.column("text").to_pylist(), end_id)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), found):
+            ids_of = batch.column("doc_id").to_pylist()
+            for first, found in encoder(tokenizer, spaces, remember).runs(batch.column("text"), end_id):
+                for doc_id, ids in zip(ids_of[first:], found):
                     writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
