@@ -69,7 +69,8 @@ def main() -> None:
     points = materialise(features.periodogram(series), "features")
     model = fit_rounds(points, config)
     rounds = materialise(cluster.assign_rounds(points, model), "rounds")
-    overall = assemble.overall_cluster_id(assemble.attach_rounds(rounds, model))
+    overall = assemble.overall_cluster_id(assemble.attach_rounds(rounds, model), assemble.number_paths(rounds))
+    placed = materialise(overall.select(*assemble.placed_columns(overall)), "placed")
     assigned = materialise(cluster.assign_clusters(points, model[0].centroids, config.k), "assigned")
     centroids = assemble.centroid_rows(cluster.centroid_table(spark, config.k, model[0].centroids))
     measured = materialise(assemble.distance_to_centroid(assigned, centroids), "measured")
@@ -106,6 +107,9 @@ def main() -> None:
         "meter_series": lambda: drain(meter_series(readings)),
         "hierarchical_kmeans_mllib": lambda: fit_rounds(points, config),
         "hierarchical_kmeans_lloyd": lambda: fit_rounds(points, config, "lloyd"),
+        "hierarchical_kmeans_parallel_seeds": lambda: fit_rounds(
+            points, config, lambda p: cluster.kmeans_lloyd(p, config.k, seeding="parallel")
+        ),
         "assign_rounds": lambda: drain(cluster.assign_rounds(points, model)),
         "assign_clusters": lambda: drain(
             cluster.assign_clusters(points, model[0].centroids, config.k)
@@ -116,11 +120,11 @@ def main() -> None:
         "silhouette": lambda: drain(fit.silhouette(rounds, config.rounds)),
         "overall_cluster_id": lambda: drain(overall),
         "unnest_profiles": lambda: drain(assemble.unnest_profiles(overall)),
-        "polar_layout": lambda: drain(views.polar_layout(overall)),
+        "polar_layout": lambda: drain(views.polar_layout(placed)),
         "unnest_cluster_centroids": lambda: drain(
-            views.unnest_cluster_centroids(views.cluster_centroids(overall))
+            views.unnest_cluster_centroids(views.cluster_centroids(overall, placed))
         ),
-        "closest_profiles": lambda: drain(views.closest_profiles(overall)),
+        "closest_profiles": lambda: drain(views.closest_profiles(overall, placed=placed)),
         "profile_load": lambda: whole("mllib"),
     }
     seconds: dict[str, float] = {}

@@ -49,6 +49,15 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as readings of their suppliers; one meter has half of all rows."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_suppkey END AS INT) AS building_num",
+        "CAST(60 * (l_orderkey + l_linenumber) AS BIGINT) AS tslocal",
+        "CAST(l_quantity AS DOUBLE) AS usagekw",
+    )
+
+
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as feature vectors; the ids of a signal twice as long go with them."""
     return table(spark, sf_dir, "embeddings").select(

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from crosscheck import fixtures
 from crosscheck.fixtures import embedding_points, event_readings
 from wattloom.functions import vectors
-from wattloom.operators import assemble, cluster, features, fit, ids, quality, signal, views
+from wattloom.operators import assemble, cluster, features, fit, ids, quality, relational, seeding, signal, views
 from wattloom.plans.profile import meter_series, profile_load
 from wattloom.schema import ProfileConfig
-from wattloom.sources import catalog
+from wattloom.sources import catalog, gap_state
 from wattloom.sources import readings as io
 from wattloom.storage import fresh_path, materialise
 
@@ -103,6 +103,25 @@ def readings_table(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.save_table(spark.table("wattloom_check_gaps"), "wattloom_check.gaps")
 
 
+def hot_meter_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The gap check over a table by meter in which one meter is cut into several tasks."""
+    catalog.reset_namespace(spark, "wattloom_hot_check")
+    readings = materialise(fixtures.hot_readings(spark, sf), "readings")
+    table = catalog.save_distributed(readings, "wattloom_hot_check.by_meter", "building_num", buckets=8)
+    return table.by_key(quality.interval_check)
+
+
+def spread_table(spark: SparkSession, sf: str) -> DataFrame:
+    catalog.reset_namespace(spark, "wattloom_spread")
+    return catalog.save_spread(fixtures.readings(spark, sf), "wattloom_spread.readings", 20_000)
+
+
+def single_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "one-file") + ".csv"
+    io.write_single_csv(fixtures.readings(spark, sf), path, 40_000)
+    return io.read_readings(spark, path)
+
+
 def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Readings as text, with faults by meter and minute: a missing field, one too many, words for numbers."""
     path = fresh_path(spark, "faulty-csv")
@@ -135,6 +154,16 @@ def interval_check_events(spark: SparkSession, sf: str) -> DataFrame:
     return quality.interval_check(event_readings(spark, sf))
 
 
+def incremental_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a state that three loads have built: mornings, then evenings, then late readings."""
+    folder = fresh_path(spark, "gap-state")
+    readings = materialise(fixtures.readings(spark, sf), "readings")
+    late, noon = F.pmod(F.xxhash64("building_num", "tslocal"), F.lit(10)) == 0, 1301702400 + 43_200
+    for part in (~late & (F.col("tslocal") < noon), ~late & (F.col("tslocal") >= noon), late):
+        gap_state.load_gaps(readings.where(part), folder)
+    return gap_state.gap_summary(spark, folder).select("building_num", "ct_tslocal", "ct_deltatime_60sec", "diff_ct")
+
+
 def interval_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return quality.interval_histogram(quality.interval_check(fixtures.readings(spark, sf)))
 
@@ -232,6 +261,22 @@ def periodogram(spark: SparkSession, sf: str) -> DataFrame:
     return fine(_unnest_spectrum(features.periodogram(series)))
 
 
+def _relational(spark: SparkSession, sf: str, taper: float) -> DataFrame:
+    series = meter_series(fixtures.readings(spark, sf))
+    names = {"win_id_arr": "pos", "usagekw_sum_5min_norm_arr": "value"}
+    points = assemble.unnest_together(series.select("bgid", *names), names)
+    found = relational.spectrum_points(points, taper=taper)
+    return fine(found.select("bgid", F.col("pt_id").alias("pgram_pt_id"), F.col("power").alias("pgram_norm")))
+
+
+def periodogram_relational(spark: SparkSession, sf: str) -> DataFrame:
+    return _relational(spark, sf, 0.0)
+
+
+def periodogram_relational_tapered(spark: SparkSession, sf: str) -> DataFrame:
+    return _relational(spark, sf, 0.1)
+
+
 def periodogram_tapered(spark: SparkSession, sf: str) -> DataFrame:
     series = meter_series(fixtures.readings(spark, sf))
     return fine(_unnest_spectrum(features.periodogram(series, taper=0.1)))
@@ -299,6 +344,29 @@ def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix_rows(spark, _fit(embedding_points(spark, sf)), K)
 
 
+def kmeans_lloyd_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fit, with bounds in place of most distances."""
+    return _matrix_rows(spark, cluster.kmeans_lloyd(embedding_points(spark, sf), K, bounds=True), K)
+
+
+def kmeans_parallel_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix_rows(spark, seeding.kmeans_parallel_seeds(embedding_points(spark, sf), K), K)
+
+
+def kmeans_parallel_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix_rows(spark, cluster.kmeans_lloyd(embedding_points(spark, sf), K, seeding="parallel"), K)
+
+
+def kmeans_manhattan_medians(spark: SparkSession, sf: str) -> DataFrame:
+    points = embedding_points(spark, sf)
+    return _matrix_rows(spark, cluster.kmeans_lloyd(points, K, distance="manhattan", aggregate="median"), K)
+
+
+def kmeans_cosine_unit_means(spark: SparkSession, sf: str) -> DataFrame:
+    points = embedding_points(spark, sf)
+    return _matrix_rows(spark, cluster.kmeans_lloyd(points, K, distance="cosine", aggregate="unit mean"), K)
+
+
 #: Groups within a label, and again within a group, by a remainder modulo 4: one holds half of the points.
 _GROUPS, _GROUP = 3, "CASE {0} WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END"
 
@@ -536,6 +604,10 @@ QUERIES = {
     "rows_per_file": rows_per_file,
     "readings_table": readings_table,
     "rejected_lines": rejected_lines,
+    "hot_meter_gaps": hot_meter_gaps,
+    "spread_table": spread_table,
+    "single_csv": single_csv,
+    "incremental_gaps": incremental_gaps,
     "sample_readings": sample_readings,
     "interval_check": interval_check,
     "interval_check_events": interval_check_events,
@@ -557,12 +629,19 @@ QUERIES = {
     "meter_series": meter_series_direct,
     "periodogram": periodogram,
     "periodogram_tapered": periodogram_tapered,
+    "periodogram_relational": periodogram_relational,
+    "periodogram_relational_tapered": periodogram_relational_tapered,
     "periodogram_embeddings": periodogram_embeddings,
     "vector_functions": vector_functions,
     "kmeans_seeds": kmeans_seeds,
     "lloyd_step": lloyd_step,
     "lloyd_fixed_iters": lloyd_fixed_iters,
     "kmeans_lloyd": kmeans_lloyd,
+    "kmeans_lloyd_bounded": kmeans_lloyd_bounded,
+    "kmeans_parallel_seeds": kmeans_parallel_seeds,
+    "kmeans_parallel_lloyd": kmeans_parallel_lloyd,
+    "kmeans_manhattan_medians": kmeans_manhattan_medians,
+    "kmeans_cosine_unit_means": kmeans_cosine_unit_means,
     "kmeans_mllib": kmeans_mllib,
     "assign_clusters": assign_clusters,
     "assign_clusters_by_cosine": assign_clusters_by_cosine,

@@ -200,6 +200,27 @@ def test_fit_measures(spark, blobs):
     assert fit.silhouette(alone, 1).first().silhouette is None
 
 
+@pytest.mark.parametrize("distance", ["euclidean", "cosine"])
+def test_silhouette_by_definition(spark, blobs, distance):
+    points = np.vstack([blobs[::5], [[500.0] * 6]])  # the last one is alone in its cluster
+    model = [cluster.Round(3, points[[0, 35, -1]])]
+    df = frame(spark, points)
+    assigned = cluster.assign_rounds(df, model)
+    ids, _ = assignment(points, model[0].centroids)
+    unit = points / np.sqrt((points**2).sum(1, keepdims=True))
+    away = 1 - unit @ unit.T if distance == "cosine" else ((points[:, None] - points[None]) ** 2).sum(-1)
+    values = []
+    for n, own in enumerate(ids):
+        mine = (ids == own) & (np.arange(len(ids)) != n)
+        near = away[n, mine].mean() if mine.any() else 0
+        other = min(away[n, ids == c].mean() for c in set(ids.tolist()) - {own})
+        values.append((other - near) / max(other, near) if mine.any() else 0.0)
+    assert fit.silhouette(assigned, 1, distance=distance).first().silhouette == pytest.approx(np.mean(values))
+    with pytest.raises(ValueError):
+        fit.silhouette(assigned, 1, distance="manhattan")
+    assert fit.silhouette(assigned.limit(0), 1).first().silhouette is None
+
+
 def test_centroids_long_and_by_row(spark):
     matrix = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0]])
     model = cluster.centroid_table(spark, 3, matrix)

@@ -154,3 +154,44 @@ def test_no_arrays_among_keys_or_in_the_join_of_rounds(spark, overall):
     # Both sides of the join: the first one carries its own centroids, the later one none.
     later = [line for line in [lines[at], *inside] if "_r2" in line]
     assert later and not [line for line in later if "km_centroid_padded_r2" in line]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, readings):
+    from wattloom.plans.profile import profile_load
+    from wattloom.schema import ProfileConfig
+
+    return profile_load(readings, ProfileConfig(), "lloyd")
+
+
+@pytest.fixture
+def long_lines(spark):
+    """Plans with their schemas in full."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_results_of_the_job_look_for_no_paths_and_read_arrays_only_to_show_them(tables, long_lines):
+    """On the frames the job returns: paths were numbered before, and meters were placed once."""
+    for name in ("overall", "profiles", "centroids", "centroid_points", "closest_profiles"):
+        text = plan(tables[name])
+        assert "distinct" not in text and "row_number() OVER (ORDER" not in text
+        assert len([s for s in operators(tables[name], "FileScan") if "_arr:array" in s]) == 1
+    layout = plan(tables["layout"])
+    assert "array<" not in layout and len(operators(tables["layout"], "FileScan")) == 2
+    ranked = [s for s in operators(tables["closest_profiles"], "FileScan") if "l2dist_all" in s]
+    assert len(ranked) == 1 and "array<" not in ranked[0]
+
+
+def test_silhouette_is_two_passes(spark, sf, monkeypatch):
+    from wattloom.operators import fit
+
+    passes = []
+    points = materialise(queries._features(spark, sf), "features")
+    model = cluster.hierarchical_kmeans(points, queries._fit, 4, 3)
+    assigned = materialise(cluster.assign_rounds(points, model), "assigned")
+    for step in ("_cluster_sums", "_silhouette_sums"):
+        run = getattr(fit, step)
+        monkeypatch.setattr(fit, step, lambda *a, run=run, step=step: passes.append(step) or run(*a))
+    assert fit.silhouette(assigned, 3).count() == 3 and passes == ["_cluster_sums", "_silhouette_sums"]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,53 @@ def test_summary_is_independent_of_partitioning(make_readings):
     one = rows(quality.meter_summary(df.coalesce(1), usage_range=True))
     many = rows(quality.meter_summary(df.repartition(13, F.rand(1)), usage_range=True))
     assert one == many
+
+
+def test_a_state_of_several_loads_is_that_of_one(spark, make_readings, tmp_path):
+    """Repeats within a load and over loads, late readings, new meters, instants at the edges of slots."""
+    from wattloom.sources import gap_state
+
+    folder, rng = f"file://{tmp_path}/state", random.Random(11)
+    data = raster_readings(5, 400) + random_readings(6) + [(None, 60, 1.0), (7, None, 1.0), (8, 86_340, 1.0), (8, 86_400, 1.0)]
+    data += rng.choices(data, k=200)
+    rng.shuffle(data)
+    done = []
+    for n, cut in enumerate((slice(0, 1500), slice(1500, 1600), slice(1600, None))):
+        part = data[cut]
+        assert gap_state.load_gaps(make_readings(part), folder) == n + 1
+        done += part
+        assert rows(gap_state.gap_summary(spark, folder)) == rows(quality.meter_summary(make_readings(done)))
+    assert gap_state.load_gaps(make_readings([]), folder) == 4
+    assert rows(gap_state.gap_summary(spark, folder)) == rows(quality.meter_summary(make_readings(data)))
+
+
+def test_a_load_reads_and_writes_the_touched_slots_only(spark, make_readings, tmp_path):
+    from wattloom.sources import gap_state
+
+    folder, day = tmp_path / "state", 86_400
+    for n in range(4):
+        gap_state.load_gaps(make_readings(minute_series(1, 1440, start=n * day)), f"file://{folder}")
+    gap_state.load_gaps(make_readings([(1, 2 * day + 60, 0.5), (2, 2 * day, 1.0)]), f"file://{folder}")
+    written = sorted(x.name for x in (folder / "masks" / "load=5").glob("slot=*"))
+    assert written == [f"slot={2 * day}"]
+    files = gap_state.gap_masks(spark, f"file://{folder}").inputFiles()
+    assert sorted({tuple(f.split("/")[-3:-1]) for f in files}) == [
+        ("load=1", "slot=0"), ("load=2", f"slot={day}"), ("load=4", f"slot={3 * day}"), ("load=5", f"slot={2 * day}"),
+    ]
+    assert {x.building_num: x.diff_ct for x in gap_state.gap_summary(spark, f"file://{folder}").collect()} == {1: 2, 2: 1}
+
+
+def test_a_load_without_a_manifest_does_not_count(spark, make_readings, tmp_path):
+    import shutil
+
+    from wattloom.sources import gap_state
+
+    folder = f"file://{tmp_path}/state"
+    assert gap_state.gap_summary(spark, folder).count() == 0
+    gap_state.load_gaps(make_readings(minute_series(1, 10)), folder)
+    before = rows(gap_state.gap_summary(spark, folder))
+    gap_state.load_gaps(make_readings(minute_series(1, 20)), folder)
+    (tmp_path / "state" / "manifest" / "00000002" / "_SUCCESS").unlink()  # as if the second load had failed
+    assert rows(gap_state.gap_summary(spark, folder)) == before
+    assert gap_state.load_gaps(make_readings(minute_series(1, 20, start=1301702400 + 600)), folder) == 2
+    assert [(x.ct_tslocal, x.diff_ct) for x in gap_state.gap_summary(spark, folder).collect()] == [(30, 1)]

@@ -146,3 +146,77 @@ def test_lines_are_parsed_once_and_whole(spark, tmp_path):
     ):
         plan = ask._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_csv") == 1 and "Generate inline" in plan
+
+
+def hot_rows(spark):
+    return spark.range(40_000).selectExpr(
+        "CAST(IF(id % 2 = 0, 1, id % 500) AS INT) AS building_num", "60 * (id div 3) AS tslocal", "id % 7e0 AS usagekw"
+    )
+
+
+def test_a_hot_meter_is_read_by_several_tasks_and_the_others_are_not_shuffled(spark):
+    catalog.reset_namespace(spark, "wattloom_cut")
+    readings = hot_rows(spark)
+    table = catalog.save_distributed(readings, "wattloom_cut.by_meter", "building_num", buckets=8)
+    assert [(x.building_num, x.n_rows, x.splits) for x in table.salts.collect()] == [(1, 20_080, 5)]
+    assert rows(table.rows()) == rows(readings)
+    again = catalog.read_distributed(spark, "wattloom_cut.by_meter")
+    assert rows(again.rows()) == rows(readings) and rows(again.salts) == rows(table.salts)
+    files = again.hot.groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 3 and max(x["count"] for x in files) < 20_080 / 2
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        assert again.hot.rdd.getNumPartitions() >= 3
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows(again.by_key(interval_check)) == rows(interval_check(readings))
+    plan = interval_check(again.ordinary)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    catalog.reset_namespace(spark, "wattloom_cut")
+
+
+def test_a_table_without_hot_keys_or_rows(spark):
+    catalog.reset_namespace(spark, "wattloom_cut")
+    even = spark.range(800).selectExpr("CAST(id % 100 AS INT) AS building_num", "60 * id AS tslocal", "1e0 AS usagekw")
+    nulls = even.unionByName(spark.range(3).selectExpr("CAST(NULL AS INT) AS building_num", "id AS tslocal", "1e0 AS usagekw"))
+    table = catalog.save_distributed(nulls, "wattloom_cut.even", "building_num", buckets=4)
+    assert table.hot.count() == table.salts.count() == 0 and rows(table.rows()) == rows(nulls)
+    empty = catalog.save_distributed(even.limit(0), "wattloom_cut.none", "building_num", buckets=4)
+    assert empty.rows().count() == 0 and empty.by_key(interval_check).count() == 0
+    catalog.reset_namespace(spark, "wattloom_cut")
+
+
+def test_a_spread_table_is_the_same_again(spark):
+    catalog.reset_namespace(spark, "wattloom_spread_test")
+    data = hot_rows(spark)
+
+    def files(df, name):
+        table = catalog.save_spread(df, f"wattloom_spread_test.{name}", 5_000)
+        assert rows(table) == rows(data)
+        per_file = {}
+        for x in table.withColumn("f", F.input_file_name()).collect():
+            per_file.setdefault(x.f, []).append(tuple(x)[:3])
+        return sorted(sorted(x) for x in per_file.values())
+
+    one, two = files(data, "one"), files(data.repartition(13, "tslocal"), "two")
+    assert one == two and len(one) == 8 and max(map(len, one)) < 6_000
+    catalog.reset_namespace(spark, "wattloom_spread_test")
+
+
+@pytest.mark.parametrize("rows_per_part", [1000, 10_000_000])
+def test_one_csv_in_order(spark, make_readings, tmp_path, rows_per_part):
+    data = [(m, 60 * (n * 37 % 400), float(n)) for m in (3, 1, 2, 10) for n in range(1000)] + [(None, None, None), (1, None, 2.5)]
+    path = tmp_path / "folder" / "all.csv"
+    for _ in range(2):  # an older file is replaced
+        parts = io.write_single_csv(make_readings(data).repartition(7), f"file://{path}", rows_per_part)
+    assert parts == (1 if rows_per_part > 4002 else 5)
+    lines = [x.split(",") for x in path.read_text().splitlines()]
+    got = [tuple(kind(x) if x else None for kind, x in zip((int, int, float), line)) for line in lines]
+    assert got == sorted(data, key=lambda r: tuple((x is not None, x or 0) for x in r))
+    assert rows(io.read_readings(spark, str(path))) == rows(make_readings(data))
+    assert [x.name for x in path.parent.iterdir() if not x.name.startswith(".")] == ["all.csv"]
+
+
+def test_one_csv_of_nothing(spark, make_readings, tmp_path):
+    assert io.write_single_csv(make_readings([]), f"file://{tmp_path}/none.csv") == 0
+    assert (tmp_path / "none.csv").read_text() == ""

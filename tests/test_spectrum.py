@@ -7,6 +7,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from wattloom.functions.spectrum import pgram
+from wattloom.operators.relational import spectrum_points
 
 
 def by_definition(x, taper=0.0):
@@ -64,3 +65,55 @@ def test_a_bad_value_in_a_series_is_an_error(spark, bad):
     df = spark.createDataFrame([([1.0, bad, 2.0],)], "v array<double>")
     with pytest.raises(Exception, match="missing values|non-finite"):
         df.select(pgram(F.col("v"))).collect()
+
+
+def long_form(spark, series):
+    rows = [(i, t, v) for i, x in series.items() for t, v in enumerate(x)]
+    return spark.createDataFrame(rows, "bgid long, pos int, value double").repartition(5)
+
+
+@pytest.mark.parametrize("taper", [0.0, 0.1, 0.5])
+def test_relational_spectrum_is_the_periodogram(spark, taper):
+    """Lengths with many divisors, with few, and prime ones."""
+    rng = random.Random(8)
+    series = {n: [rng.gauss(0, 1) for _ in range(n)] for n in (1, 2, 3, 8, 31, 36, 287, 288)}
+    found = {}
+    for x in spectrum_points(long_form(spark, series), taper=taper).collect():
+        found.setdefault(x.bgid, {})[x.pt_id] = x.power
+    assert set(found) == set(series) - {1}
+    arrays = spark.createDataFrame(list(series.items()), "id int, x array<double>")
+    for row in arrays.select("id", pgram(F.col("x"), taper).alias("p")).collect():
+        assert [found.get(row.id, {}).get(n) for n in range(row.id // 2)] == pytest.approx(row.p, rel=1e-9, abs=1e-9)
+
+
+def test_relational_spectrum_of_a_year(spark):
+    n = 105_120
+    signal = "cos(2 * pi() * (pos * 365 % 105120) / 105120) + 0.5 * sin(2 * pi() * (pos * 52560 % 105120) / 105120) + 0.25 * cos(2 * pi() * (pos * 7 % 105120) / 105120)"
+    points = spark.range(n).selectExpr("1L AS bgid", "id AS pos").selectExpr("bgid", "pos", f"{signal} AS value")
+    found = spectrum_points(points)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    lines = {x.pt_id + 1: x.power for x in found.where("power > 1e-9").collect()}
+    assert lines == pytest.approx({365: n / 4, 7: n / 64}, rel=1e-9)
+
+
+@pytest.mark.parametrize(
+    "rows, message",
+    [
+        ([(0, 1.0), (1, None)], "missing or non-finite"),
+        ([(0, 1.0), (1, float("nan"))], "missing or non-finite"),
+        ([(0, 1.0), (2, 1.0)], "positions"),
+        ([(0, 1.0), (0, 2.0), (2, 1.0)], "positions"),
+        ([(0, 1.0), (1, 1.0), (1, 1.0), (3, 1.0)], "positions"),
+        ([(0, 1.0), (None, 1.0)], "positions"),
+    ],
+)
+def test_faulty_series_are_errors_in_the_relational_form_too(spark, rows, message):
+    points = spark.createDataFrame([(1, t, v) for t, v in rows], "bgid long, pos int, value double")
+    with pytest.raises(Exception, match=message):
+        spectrum_points(points).collect()
+
+
+def test_relational_spectrum_of_nothing(spark):
+    assert spectrum_points(spark.createDataFrame([], "bgid long, pos int, value double")).count() == 0
+    with pytest.raises(ValueError):
+        spectrum_points(spark.range(1), taper=0.6)

@@ -64,8 +64,8 @@ def merge_rounds(rounds: Sequence[DataFrame]) -> DataFrame:
     """Join the results of ``distance_to_centroid`` of all rounds by ``bgid``.
 
     Later rounds get the suffixes ``_r2``, ``_r3``, ... Only ids and distances of a later
-    round are joined by meter; its centroids are a row per cluster and padded length, and come
-    back by broadcast. For assembled runs ``attach_rounds`` gives the same table without a
+    round are joined by meter; its centroids are a row per cluster, the longest one, come
+    back by broadcast and are cut to the meter's padded length. For assembled runs ``attach_rounds`` gives the same table without a
     join on ``bgid``.
     """
     kept = ["k", "cluster_id", "l2dist"]
@@ -76,14 +76,12 @@ def merge_rounds(rounds: Sequence[DataFrame]) -> DataFrame:
     for suffix, later in zip(suffixes[1:], rounds[1:]):
         renamed = later.select("bgid", *[F.col(c).alias(f"{c}{suffix}") for c in kept])
         merged = merged.join(renamed, "bgid", "full")
-    merged = merged.withColumn("padded_length", F.size("pgram_norm_arr_padded"))
     for suffix, later in zip(suffixes[1:], rounds[1:]):
         centroid = f"km_centroid_padded{suffix}"
-        per_cluster = later.groupBy(
-            F.col("cluster_id").alias(f"cluster_id{suffix}"),
-            F.size("km_centroid_padded").alias("padded_length"),
-        ).agg(F.first("km_centroid_padded").alias(centroid))
-        merged = merged.join(F.broadcast(per_cluster), [f"cluster_id{suffix}", "padded_length"], "left")
+        longest = F.max_by("km_centroid_padded", F.size("km_centroid_padded")).alias(centroid)
+        per_cluster = later.groupBy(F.col("cluster_id").alias(f"cluster_id{suffix}")).agg(longest)  # k rows
+        merged = merged.join(F.broadcast(per_cluster), f"cluster_id{suffix}", "left")
+        merged = merged.withColumn(centroid, F.slice(centroid, 1, F.size("pgram_norm_arr_padded")))
     columns = [f"{c}{s}" for s in suffixes for c in [*kept, "km_centroid_padded"]]
     return merged.select(*profile, *columns)
 
@@ -116,21 +114,40 @@ def attach_rounds(assigned: DataFrame, model: list[Round]) -> DataFrame:
     return table.select(*[c for c in _PROFILE if c in table.columns], *per_round)
 
 
-def overall_cluster_id(merged: DataFrame) -> DataFrame:
+def number_paths(merged: DataFrame, most: int = 100_000) -> DataFrame:
+    """``cluster_id_all`` and the ids of every distinct path through the rounds, missing ones -9999.
+
+    One job finds the paths, at most rounds x k in a run of ``hierarchical_kmeans``; more than ``most`` are
+    refused. The result is a small table of its own: reading it runs nothing again.
+    """
+    later = _later_suffixes(merged)
+    ids = ["cluster_id", *[f"cluster_id{s}" for s in later]]
+    found = [tuple(x) for x in merged.select(*ids).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} paths through the rounds")
+    found.sort(key=lambda path: [(x is None, x) if x is not None else (True, 0) for x in path])
+    rows = [(n, *[NOT_CLUSTERED if x is None else x for x in path]) for n, path in enumerate(found)]
+    names = ", ".join(f"{_key(c)} int" for c in ids)
+    return merged.sparkSession.createDataFrame(rows, f"cluster_id_all long, {names}")
+
+
+def overall_cluster_id(merged: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Number the distinct paths through the rounds 0, 1, ... and fill what was not clustered.
 
     ``l2dist_all`` is the distance in the deepest round a meter took part in. Missing ids
     become -9999, missing centroids arrays of -9999. There are at most rounds x k paths in a
-    run of ``hierarchical_kmeans``; they are grouped before they are numbered and broadcast.
+    run of ``hierarchical_kmeans``; they are grouped before they are numbered and broadcast. With the
+    result of ``number_paths``, they are not looked for again.
     """
     later = _later_suffixes(merged)
     ids = ["cluster_id", *[f"cluster_id{s}" for s in later]]
     keys = [_key(c) for c in ids]
-    paths = merged.select(*ids).distinct()
-    order = Window.orderBy(*[F.col(c).asc_nulls_last() for c in ids])
-    numbered = paths.select(
-        (F.row_number().over(order) - 1).cast("long").alias("cluster_id_all"), *_filled_ids(later)
-    )
+    numbered = paths
+    if paths is None:
+        order = Window.orderBy(*[F.col(c).asc_nulls_last() for c in ids])
+        numbered = merged.select(*ids).distinct().select(
+            (F.row_number().over(order) - 1).cast("long").alias("cluster_id_all"), *_filled_ids(later)
+        )
     deepest = F.coalesce(*[F.col(f"l2dist{s}") for s in reversed(later)], F.col("l2dist"))
     profile = [c for c in _PROFILE if c in merged.columns and c not in ("pgram_pt_id_arr", "pgram_norm_arr")]
     rounds = ["k", "cluster_id", "l2dist", "km_centroid_padded"]
@@ -154,6 +171,12 @@ def overall_cluster_id(merged: DataFrame) -> DataFrame:
     )
 
 
+def placed_columns(overall: DataFrame) -> list[str]:
+    """The columns of ``overall_cluster_id`` that place a meter: ids and distances, no arrays."""
+    ids = [f"cluster_id{s}_nonull" for s in _later_suffixes(overall)]
+    return ["bgid", "cluster_id_all", "cluster_id", *ids, "l2dist", "l2dist_all"]
+
+
 def unnest_profiles(overall: DataFrame) -> DataFrame:
     """Long form: one row per meter and position with signal, spectrum and centroids."""
     later = _later_suffixes(overall)

@@ -24,11 +24,17 @@ from wattloom.functions.vectors import (
     nearest_rows,
     pad_to,
 )
+from wattloom.operators.bounded import lloyd_bounded
+from wattloom.operators.seeding import kmeans_parallel_seeds
 from wattloom.storage import materialise
 
 #: Distances of the library's k-means; ``kmeans_lloyd`` knows ``vectors.DISTANCES``.
 MLLIB_DISTANCES = ("euclidean", "cosine")
 
+#: What a centroid is made of: the mean of its points, the mean of their directions (at unit length; for
+#: cosine distances), or the median of every component (for Manhattan distances).
+AGGREGATES = ("mean", "unit mean", "median")
+
 
 def kmeans_mllib(
     points: DataFrame,
@@ -103,15 +109,21 @@ def lloyd_step(
     previous: np.ndarray | None = None,
     vector: str = "pgram_norm_arr",
     distance: str = "euclidean",
+    aggregate: str = "mean",
 ) -> tuple[np.ndarray, float]:
-    """Move every centroid to the mean of its points; also the fraction of points that changed
-    cluster since ``previous``.
+    """Move every centroid to the ``aggregate`` of its points; also the fraction of points that
+    changed cluster since ``previous``.
 
     Each partition reduces its points to k partial sums before anything is shuffled, so a
     cluster that holds nearly all points costs the same as any other. Old assignments are
-    not stored: both are recomputed from the two models. An empty cluster stays in place.
+    not stored: both are recomputed from the two models. An empty cluster stays in place, and so
+    does one whose directions cancel out.
     """
-    totals = _partial_sums(points, centroids, previous, vector, distance)
+    if aggregate not in AGGREGATES:
+        raise ValueError(f"aggregate must be one of {AGGREGATES}")
+    if aggregate == "median":
+        return _median_step(points, centroids, previous, vector, distance)
+    totals = _partial_sums(points, centroids, previous, vector, distance, aggregate == "unit mean")
     # At most k * (d + 1) + 1 rows: the size of the model.
     summed = totals.groupBy("cluster_id", "pos").agg(F.sum("total").alias("total")).toArrow()
     cluster_id, pos, total = (summed[c].to_numpy() for c in ("cluster_id", "pos", "total"))
@@ -126,9 +138,49 @@ def lloyd_step(
     held = sizes > 0
     moved = centroids.astype(np.float64).copy()
     moved[held] = sums[held] / sizes[held, None]
+    if aggregate == "unit mean":
+        length = np.sqrt((moved * moved).sum(axis=1))
+        held &= length > 0
+        moved[held] /= length[held, None]
+        moved[~held] = centroids[~held]
     return moved, changed / sizes.sum()
 
 
+def _median_step(
+    points: DataFrame, centroids: np.ndarray, previous: np.ndarray | None, vector: str, distance: str
+) -> tuple[np.ndarray, float]:
+    """``lloyd_step`` with the lower median of every component.
+
+    Medians come from mergeable quantile sketches, one per cluster and component, that each partition
+    fills before the shuffle: a cluster of any size is k * d sketches per partition. Clusters of up
+    to ``MEDIAN_ACCURACY`` points have the exact median, larger ones a value whose rank is at most 1 in
+    ``MEDIAN_ACCURACY`` off.
+    """
+    values = F.col(vector).cast("array<double>")
+    assigned = points.select(values.alias("v"), nearest_centroid(values, centroids, distance).column_id.alias("cluster_id"))
+    before = F.lit(None).cast("int") if previous is None else nearest_centroid(F.col("v"), previous, distance).column_id
+    compared = assigned.withColumn("before", before).where("cluster_id IS NOT NULL")
+    changed = (~F.col("before").eqNullSafe(F.col("cluster_id"))).cast("int").alias("changed")
+    long = compared.select("cluster_id", changed, F.posexplode("v").alias("pos", "value"))
+    medians = long.groupBy("cluster_id", "pos").agg(
+        F.percentile_approx("value", 0.5, MEDIAN_ACCURACY).alias("median"),
+        F.count("*").alias("size"),
+        F.sum("changed").alias("changed"),
+    )
+    moved, size, switched = centroids.astype(np.float64).copy(), 0, 0
+    for row in medians.collect():  # k * d rows: the size of the model
+        moved[row.cluster_id, row.pos] = row.median
+        if row.pos == 0:
+            size, switched = size + row["size"], switched + row.changed
+    if not size:
+        raise ValueError("no points to cluster")
+    return moved, switched / size
+
+
+#: Accuracy of the quantile sketches behind medians.
+MEDIAN_ACCURACY = 10_000
+
+
 def lloyd(
     points: DataFrame,
     start: np.ndarray,
@@ -136,12 +188,13 @@ def lloyd(
     min_frac_reassigned: float = 0.001,
     vector: str = "pgram_norm_arr",
     distance: str = "euclidean",
+    aggregate: str = "mean",
 ) -> np.ndarray:
     """Iterate ``lloyd_step`` until fewer than ``min_frac_reassigned`` of the points change
     cluster, at most ``max_iter`` times. ``points`` is read once per iteration."""
     previous, current = None, start
     for _ in range(max_iter):
-        moved, fraction = lloyd_step(points, current, previous, vector, distance)
+        moved, fraction = lloyd_step(points, current, previous, vector, distance, aggregate)
         previous, current = current, moved
         if fraction < min_frac_reassigned:
             break
@@ -158,19 +211,32 @@ def kmeans_lloyd(
     min_frac_reassigned: float = 0.001,
     start: np.ndarray | None = None,
     distance: str = "euclidean",
+    aggregate: str = "mean",
+    seeding: str = "plusplus",
+    bounds: bool = False,
 ) -> np.ndarray:
     """k-means++ (or given ``start`` centroids) with the stop rule on reassigned points.
 
-    Points go to the centroid that is nearest by ``distance``; a centroid is the mean of its
-    points under any of them. The id and vector of the points are kept in memory, or on the
-    executors' disks, during the fit: lost ones are computed again.
+    Points go to the centroid that is nearest by ``distance``; a centroid is the ``aggregate`` of its
+    points. The objective never rises with the mean under Euclidean, the unit mean under cosine and
+    the median under Manhattan distances; other pairs are allowed. ``seeding`` by "plusplus" takes a
+    pass per seed, by "parallel" five passes. ``bounds`` skips distances that can't change anything (Euclidean
+    distances and means only). The id and vector of the points are kept in memory, or on the
+    executors' disks, during the fit: lost ones are computed again from the source.
     """
     check_distance(distance)
+    if seeding not in ("plusplus", "parallel"):
+        raise ValueError("seeding must be 'plusplus' or 'parallel'")
+    if bounds and (distance, aggregate) != ("euclidean", "mean"):
+        raise ValueError("bounds need Euclidean distances and means")
     data = points.select(point_id, vector).persist()
     try:
         if start is None:
-            start = kmeans_seeds(data, k, vector, point_id, seed, distance)
-        return lloyd(data, start, max_iter, min_frac_reassigned, vector, distance)
+            choose = kmeans_seeds if seeding == "plusplus" else kmeans_parallel_seeds
+            start = choose(data, k, vector, point_id, seed, distance)
+        if bounds:
+            return lloyd_bounded(data, start, max_iter, min_frac_reassigned, vector).centroids
+        return lloyd(data, start, max_iter, min_frac_reassigned, vector, distance, aggregate)
     finally:
         data.unpersist()
 
@@ -314,8 +380,10 @@ def _partial_sums(
     previous: np.ndarray | None,
     vector: str,
     distance: str,
+    unit: bool = False,
 ) -> DataFrame:
-    """Per partition: sum per cluster and position, points per cluster, changed points."""
+    """Per partition: sum per cluster and position, points per cluster, changed points; ``unit`` adds
+    up directions instead of vectors."""
     model = np.ascontiguousarray(centroids, dtype=np.float64)
     old = None if previous is None else np.ascontiguousarray(previous, dtype=np.float64)
     k, width = model.shape
@@ -329,6 +397,9 @@ def _partial_sums(
                 changed += len(block)
             else:
                 changed += np.count_nonzero(nearest_rows(block, old, distance)[0] != ids)
+            if unit:
+                length = np.sqrt(np.einsum("ij,ij->i", block, block))
+                block = block / np.where(length > 0, length, 1.0)[:, None]
             for cluster in np.unique(ids):
                 mine = block[ids == cluster]
                 sums[cluster] += mine.sum(axis=0)

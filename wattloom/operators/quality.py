@@ -42,13 +42,16 @@ def meter_summary(
     Skew: no group depends on how many readings a meter has or how often one repeats; a slot
     holds at most ``1440 * interval_seconds`` distinct instants.
     """
+    return summary_of_masks(slot_masks(readings, interval_seconds, usage_range), interval_seconds)
+
+
+def slot_masks(readings: DataFrame, interval_seconds: int = 60, usage_range: bool = False) -> DataFrame:
+    """The state behind ``meter_summary``: a row per meter, slot, block and remainder.
+
+    States of two sets of readings become that of both by ``merge_masks``, whatever they have in common.
+    """
     slot, block = 1440 * interval_seconds, 60 * interval_seconds
-    usage, ranges, no_ranges, merged = "", "", "", ""
-    if usage_range:
-        usage = ", min(usagekw) AS min_usage, max(usagekw) AS max_usage"
-        ranges = ", min_usage, max_usage"
-        no_ranges = ", CAST(NULL AS DOUBLE) AS min_usage, CAST(NULL AS DOUBLE) AS max_usage"
-        merged = ", min(min_usage) AS min_usage, max(max_usage) AS max_usage"
+    usage = ", min(usagekw) AS min_usage, max(usagekw) AS max_usage" if usage_range else ""
     query = f"""
 WITH placed AS (
   SELECT *,
@@ -57,20 +60,45 @@ WITH placed AS (
          pmod(tslocal, {interval_seconds}) AS remainder,
          shiftleft(1L, cast(pmod(tslocal, {block}) div {interval_seconds} AS int)) AS bit
   FROM {{readings}}
-),
-masks AS (
-  SELECT building_num, slot, block, remainder, bit_or(bit) AS mask,
-         count(*) AS n_rows, count(tslocal) AS n,
-         min(tslocal) AS first_ts, max(tslocal) AS last_ts{usage}
-  FROM placed GROUP BY building_num, slot, block, remainder
-),
-slots AS (
+)
+SELECT building_num, slot, block, remainder, bit_or(bit) AS mask,
+       count(*) AS n_rows, count(tslocal) AS n,
+       min(tslocal) AS first_ts, max(tslocal) AS last_ts{usage}
+FROM placed GROUP BY building_num, slot, block, remainder"""
+    return readings.sparkSession.sql(query, readings=readings)
+
+
+def merge_masks(masks: DataFrame) -> DataFrame:
+    """One state from the rows of several."""
+    aggregates = {
+        "mask": F.bit_or,
+        "n_rows": F.sum,
+        "n": F.sum,
+        "first_ts": F.min,
+        "last_ts": F.max,
+        "min_usage": F.min,
+        "max_usage": F.max,
+    }
+    keys = ["building_num", "slot", "block", "remainder"]
+    return masks.groupBy(*keys).agg(*[f(c).alias(c) for c, f in aggregates.items() if c in masks.columns])
+
+
+def summary_of_masks(masks: DataFrame, interval_seconds: int = 60) -> DataFrame:
+    """``meter_summary`` from the state of ``slot_masks``."""
+    slot, block = 1440 * interval_seconds, 60 * interval_seconds
+    ranges, no_ranges, merged = "", "", ""
+    if "min_usage" in masks.columns:
+        ranges = ", min_usage, max_usage"
+        no_ranges = ", CAST(NULL AS DOUBLE) AS min_usage, CAST(NULL AS DOUBLE) AS max_usage"
+        merged = ", min(min_usage) AS min_usage, max(max_usage) AS max_usage"
+    query = f"""
+WITH slots AS (
   SELECT building_num, slot, sum(n_rows) AS n_rows, sum(n) AS n,
          min(first_ts) AS first_ts, max(last_ts) AS last_ts,
          min(remainder) AS low, max(remainder) AS high,
          sort_array(collect_list(struct(block, remainder, mask, first_ts))
                     FILTER (WHERE block IS NOT NULL)) AS parts{merged}
-  FROM masks GROUP BY building_num, slot
+  FROM {{masks}} GROUP BY building_num, slot
 ),
 -- Masks of more than one raster are spelled out again as instants.
 spelled AS (
@@ -114,7 +142,7 @@ SELECT *, ct_tslocal - ct_deltatime_60sec AS diff_ct FROM (
   SELECT building_num, sum(n) AS ct_tslocal, sum(n_regular) AS ct_deltatime_60sec,
          min(first_ts) AS ts_start, max(previous_ts) AS ts_end, sum(n_rows) AS n_rows{merged}
   FROM stitched GROUP BY building_num)"""
-    return readings.sparkSession.sql(query, readings=readings)
+    return masks.sparkSession.sql(query, masks=masks)
 
 
 def interval_check(readings: DataFrame, interval_seconds: int = 60) -> DataFrame:

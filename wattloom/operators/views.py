@@ -43,11 +43,12 @@ def polar_layout(overall: DataFrame, seed: int = 42, max_over: str = "l2dist") -
     )
 
 
-def cluster_centroids(overall: DataFrame) -> DataFrame:
+def cluster_centroids(overall: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """One row per overall cluster with its centroids, and the deepest one of them.
 
     Centroids are the same for all meters of a cluster, so they are read off its meter with
-    the lowest id; the arrays are neither grouped nor shuffled. ``bgid`` must be unique.
+    the lowest id; the arrays are neither grouped nor shuffled. ``bgid`` must be unique. ``placed`` is a written
+    table of the same meters without arrays: the lowest ids come from it.
     """
     later = _later_suffixes(overall)
     ids = [f"cluster_id{s}_nonull" for s in later]
@@ -55,7 +56,7 @@ def cluster_centroids(overall: DataFrame) -> DataFrame:
     deepest = F.col("km_centroid_padded")
     for cluster_id, centroid in zip(ids, centroids):
         deepest = F.when(F.col(cluster_id) != NOT_CLUSTERED, F.col(centroid)).otherwise(deepest)
-    member = overall.groupBy("cluster_id_all").agg(F.min("bgid").alias("bgid"))
+    member = (overall if placed is None else placed).groupBy("cluster_id_all").agg(F.min("bgid").alias("bgid"))
     one_each = overall.join(F.broadcast(member), ["cluster_id_all", "bgid"], "left_semi")
     kept = one_each.select(
         "cluster_id_all", "cluster_id", *ids, "pgram_pt_id_arr_padded", "km_centroid_padded", *centroids
@@ -75,16 +76,18 @@ def unnest_cluster_centroids(centroids: DataFrame) -> DataFrame:
     return unnest_together(centroids, columns)
 
 
-def closest_profiles(overall: DataFrame, n: int = 5) -> DataFrame:
+def closest_profiles(overall: DataFrame, n: int = 5, placed: DataFrame | None = None) -> DataFrame:
     """Long form of the ``n`` meters closest to the centroid of each cluster.
 
     Distances that agree to 12 digits are ties and go to the lower ``bgid``: meters with equal
     spectra differ in the last bits. The rank limit cuts every partition to ``n`` rows per
-    cluster before the shuffle, and only the chosen meters are unnested.
+    cluster before the shuffle, and only the chosen meters are unnested. ``placed`` is as in
+    ``cluster_centroids``: ranks come from it.
     """
     by_distance = Window.partitionBy("cluster_id_all").orderBy(F.round("l2dist_all", 12), "bgid")
     chosen = (
-        overall.select("bgid", "cluster_id_all", "l2dist_all")
+        (overall if placed is None else placed)
+        .select("bgid", "cluster_id_all", "l2dist_all")
         .withColumn("rid_closest", F.row_number().over(by_distance))
         .where(F.col("rid_closest") <= n)
         .select("bgid", "cluster_id_all")

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.operators.assemble import attach_rounds, overall_cluster_id, unnest_profiles
+from wattloom.operators.assemble import (
+    attach_rounds,
+    number_paths,
+    overall_cluster_id,
+    placed_columns,
+    unnest_profiles,
+)
 from wattloom.operators.cluster import (
     Fit,
     Round,
@@ -115,25 +121,26 @@ def profile_load(
 ) -> dict[str, DataFrame]:
     """Run the whole job and return its tables by name.
 
-    Two tables are written on the way, because clustering and every result read them
-    again: the features, and the same with cluster and distance per round. Centroids are not
-    in it: they are k broadcast rows per round and meet the meters when a result is read, so
-    ``overall`` and all behind it stay lazy. ``write_tables`` keeps the results.
+    Three tables are written on the way, because clustering and the results read them
+    again: the features, the same with cluster and distance per round, and where every meter
+    stands (ids and distances, no arrays). Paths are numbered once. Centroids are k broadcast rows
+    per round and meet the meters only where a result shows arrays. ``write_tables`` keeps the results.
     """
     series = meter_series(readings, config)
     features = materialise(periodogram(series, taper=config.taper), "features")
     model = fit_rounds(features, config, method)
     assigned = materialise(assign_rounds(features, model), "assigned")
-    overall = overall_cluster_id(attach_rounds(assigned, model))
-    centroids = cluster_centroids(overall)
+    overall = overall_cluster_id(attach_rounds(assigned, model), number_paths(assigned))
+    placed = materialise(overall.select(*placed_columns(overall)), "placed")
+    centroids = cluster_centroids(overall, placed)
     return {
         "features": features,
         "overall": overall,
         "profiles": unnest_profiles(overall),
-        "layout": polar_layout(overall, config.seed),
+        "layout": polar_layout(placed, config.seed),
         "centroids": centroids,
         "centroid_points": unnest_cluster_centroids(centroids),
-        "closest_profiles": closest_profiles(overall, config.closest),
+        "closest_profiles": closest_profiles(overall, config.closest, placed),
     }
 
 

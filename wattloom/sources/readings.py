@@ -7,6 +7,8 @@ with the rest of a line would go unnoticed; nothing can be pushed or pruned thro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,42 @@ def write_readings_csv(readings: DataFrame, path: str) -> None:
     writer.option("header", False).option("quote", "|").csv(path)
 
 
+def write_single_csv(readings: DataFrame, path: str, rows_per_part: int = 10_000_000) -> int:
+    """Write one headerless CSV file at ``path``, ordered by meter, time and usage; the number of its parts.
+
+    Parts are ranges of that order, each sorted and written by a task of its own; then the file system
+    puts them one behind the other (``concat``: on HDFS that moves no data), so no task and no driver
+    holds more than a part. A file system that can't is refused before anything is written.
+    """
+    spark = readings.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = files.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        system = system.getRawFileSystem()  # without the checksum files beside it
+    elif not system.hasPathCapability(target, "fs.capability.paths.concat"):
+        raise ValueError(f"the file system of {path} can't put files together; use write_readings_csv")
+    parts = max(1, -(-readings.count() // rows_per_part))
+    folder = f"{path}-parts-{uuid.uuid4().hex}"
+    order = ["building_num", "tslocal", "usagekw"]
+    ranged = readings.select(*READINGS.fieldNames()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    try:
+        ranged.write.option("header", False).option("quote", "|").csv(folder)
+        found = system.globStatus(files.Path(f"{folder}/part-*.csv"))
+        names = sorted(x.getPath().toString() for x in found if x.getLen())  # in the order of the parts
+        system.delete(target, False)
+        system.mkdirs(target.getParent())
+        system.create(target).close()
+        if names:
+            sources = spark.sparkContext._gateway.new_array(files.Path, len(names))
+            for n, name in enumerate(names):
+                sources[n] = files.Path(name)
+            system.concat(target, sources)
+    finally:
+        system.delete(files.Path(folder), True)
+    return len(names)
+
+
 def sample_readings(readings: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` readings by meter and time; usage breaks ties of repeated instants."""
     return readings.orderBy("building_num", "tslocal", "usagekw").limit(n)

@@ -60,10 +60,11 @@ def run_of(spark: SparkSession) -> Iterator[None]:
     finally:
         runs[:] = [paths for paths in runs if paths is not mine]
         for path in mine:
-            _delete(spark, path)
+            remove_path(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a path of ``fresh_path``, if there is anything."""
     name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
 
