@@ -178,6 +178,7 @@ def test_results_of_the_job_look_for_no_paths_and_read_arrays_only_to_show_them(
         text = plan(tables[name])
         assert "distinct" not in text and "row_number() OVER (ORDER" not in text
         assert len([s for s in operators(tables[name], "FileScan") if "_arr:array" in s]) == 1
+    assert {"cluster_id_r2_nonull", "cluster_id_r3_nonull"} <= set(tables["layout"].columns)
     layout = plan(tables["layout"])
     assert "array<" not in layout and len(operators(tables["layout"], "FileScan")) == 2
     ranked = [s for s in operators(tables["closest_profiles"], "FileScan") if "l2dist_all" in s]

@@ -6,6 +6,7 @@ model and does not grow with the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -213,8 +214,9 @@ def unnest_together(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
 
 
 def _later_suffixes(df: DataFrame) -> list[str]:
-    found = [c.split("_")[1] for c in df.columns if c.startswith("k_r")]
-    return [f"_{suffix}" for suffix in sorted(found, key=lambda s: int(s[1:]))]
+    """``_r2``, ``_r3``, ... of the rounds that ``df`` has columns of."""
+    found = {m[1] for c in df.columns if (m := re.fullmatch(r"(?:k|cluster_id)_r(\d+)(?:_nonull)?", c))}
+    return [f"_r{number}" for number in sorted(found, key=int)]
 
 
 def _key(column: str) -> str:
