@@ -7,9 +7,10 @@ where that shingle occurs; the length bound (the window must lie inside the docu
 positional bound (it must start at a fixed distance before the shingle) leave one place, and there
 the words are compared exactly.
 
-The benchmark is cut into blocks of at most ``block_words`` window words, each small enough to go
-to every task. One block is read beside the documents without any shuffle; with more, the hits of
-the blocks are put together by document.
+The benchmark is cut into blocks of about ``block_words`` window words, each small enough to go
+to every task. Blocks are handled one after the other: the index of one is built, sent out, its hits are
+written, and it is dropped before the next one. Documents carry numbers of windows; the items that
+hold a window, however many, are joined to them in Spark.
 
 Edge cases: a null or empty text has no words and is clean; a null or empty item has no window; items of
 fewer than ``window`` words are one window; repeated items each count; a null item id counts as the
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import map_batches, raw_texts, word_list
 from wattloom.storage import materialise
 
-_HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
+_HITS = "doc_id long, text_hash long, n_words long, starts array<long>, ends array<long>, windows array<long>"
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -54,9 +56,9 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 class WindowIndex:
     """Windows of one block by their rarest shingle, as distance of the shingle from the start."""
 
-    def __init__(self, windows: list[tuple[str, list[str]]], shingle: int):
+    def __init__(self, windows: list[tuple[int, str]], shingle: int):
         self.shingle = shingle
-        self.windows = [(tuple(x.encode().split()), items) for x, items in windows]
+        self.windows = [(tuple(x.encode().split()), number) for number, x in windows]
         self.words: dict[bytes, int] = {}
         for words, _ in self.windows:
             for word in words:
@@ -118,21 +120,21 @@ class WindowIndex:
         for code in codes.tolist():
             counts[self.shingles[code]] += 1
 
-    def hits(self, words: list[bytes], sizes: tuple[int, ...]) -> tuple[list[int], list[int], set[str]]:
-        """Covered runs of words, and items with an occurring window."""
-        spans, items = [], set()
+    def hits(self, words: list[bytes], sizes: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
+        """Covered runs of words, and the numbers of the windows that occur."""
+        spans, found = [], set()
         places, codes = self.places(words, sizes)
         for at, code in zip(places.tolist(), codes.tolist()):
             for number, distance in self.anchors.get(code, ()):
-                wanted, of = self.windows[number]
+                wanted, name = self.windows[number]
                 start = at - distance
                 if start < 0 or start + len(wanted) > len(words):
                     continue
                 if tuple(words[start : start + len(wanted)]) == wanted:
                     spans.append((start, start + len(wanted)))
-                    items.update(of)
+                    found.add(name)
         starts, ends = merge_spans(spans)
-        return starts, ends, items
+        return starts, ends, sorted(found)
 
 
 def _zeros():
@@ -154,11 +156,35 @@ def merge_spans(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _blocks(windows: DataFrame, window: int, block_words: int) -> list[DataFrame]:
-    total = windows.count()
-    number = max(1, -(-total * window // block_words))
-    place = F.pmod(F.xxhash64("words"), F.lit(number))
-    return [windows.where(place == b) for b in range(number)]
+@dataclass(frozen=True)
+class Benchmark:
+    """Written tables: ``window, words`` of the distinct windows, and ``window, item_id``."""
+
+    windows: DataFrame
+    items: DataFrame
+    blocks: int
+    shingle: int
+
+
+def benchmark_windows(
+    benchmark: DataFrame, window: int = 13, shingle: int = 5, block_words: int = 4_000_000
+) -> Benchmark:
+    """The windows of a benchmark, to be handled ``block_words`` words at a time."""
+    cut = materialise(item_windows(benchmark, window).distinct(), "item-windows")
+    numbered = cut.select("words").distinct().withColumn("window", F.monotonically_increasing_id())
+    windows = materialise(numbered, "windows")
+    items = materialise(cut.join(windows, "words").select("window", "item_id"), "window-items")
+    return Benchmark(windows, items, max(1, -(-windows.count() * window // block_words)), shingle)
+
+
+def block_indexes(docs: DataFrame, bench: Benchmark) -> Iterator[WindowIndex]:
+    """An index for every block of the benchmark in turn; ``docs`` give the order of its shingles."""
+    place = F.pmod(F.xxhash64("words"), F.lit(bench.blocks))
+    for block in range(bench.blocks):
+        rows = bench.windows.where(place == block).select("window", "words").orderBy("words").collect()
+        index = WindowIndex([(x.window, x.words) for x in rows], bench.shingle)
+        index.anchor(shingle_counts(docs, index))
+        yield index
 
 
 def shingle_counts(docs: DataFrame, index: WindowIndex) -> np.ndarray:
@@ -178,82 +204,70 @@ def shingle_counts(docs: DataFrame, index: WindowIndex) -> np.ndarray:
     counts = np.zeros(total, np.int64)
     for row in partial.groupBy("shingle").agg(F.sum("n").alias("n")).collect():  # a row per shingle of the block
         counts[row.shingle] = row.n
+    handle.destroy()
     return counts
 
 
-def build_indexes(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, block_words: int = 4_000_000
-) -> list[WindowIndex]:
-    """An index for every block of the benchmark; ``docs`` give the order of the shingles."""
-    cut = item_windows(benchmark, window).distinct()
-    # Only ``block_words`` words travel at a time; items of one window are gathered in their block.
-    windows = materialise(cut.groupBy("words").agg(F.collect_list("item_id").alias("items")), "windows")
-    out = []
-    for block in _blocks(windows, window, block_words):
-        rows = [(x.words, x.items) for x in block.collect()]
-        index = WindowIndex(rows, shingle)
-        index.anchor(shingle_counts(docs, index))
-        out.append(index)
-    return out
+def _hits(docs: DataFrame, index: WindowIndex, every_row: bool) -> DataFrame:
+    """Runs of hit words and windows found, by one block; written. Rows without a hit are left out, unless
+    ``every_row`` is wanted."""
+    handle, sizes = docs.sparkSession.sparkContext.broadcast(index), index.sizes()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for raw in raw_texts(batch, "text"):
+            words = word_list(raw)
+            found.append((len(words), *handle.value.hits(words, sizes)))
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
+        columns = [pa.array([x[n] for x in found], kind) for n, kind in enumerate(kinds)]
+        names = ["doc_id", "text_hash", "n_words", "starts", "ends", "windows"]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
 
-def _found(index: WindowIndex, handle) -> Callable[[list[bytes]], tuple]:
-    sizes = index.sizes()
-    return lambda words: handle.value.hits(words, sizes)
+    found = map_batches(rows, find, _HITS)
+    written = materialise(found if every_row else found.where(F.size("windows") > 0), "hits")
+    handle.destroy()
+    return written
 
 
-def contamination(docs: DataFrame, indexes: list[WindowIndex]) -> DataFrame:
+def contamination(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """``doc_id, n_words, starts, ends, items`` of every row: runs of hit words and items found."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for index in indexes:
-        look = _found(index, context.broadcast(index))
-
-        def find(batch: pa.RecordBatch, look=look) -> pa.RecordBatch:
-            found = []
-            for raw in raw_texts(batch, "text"):
-                words = word_list(raw)
-                starts, ends, items = look(words)
-                found.append((len(words), starts, ends, sorted(items)))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
-            columns = [pa.array([x[n] for x in found], kind) for n, kind in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays(
-                [*batch.columns[: batch.num_columns - 1], *columns],
-                [*batch.schema.names[:-1], "n_words", "starts", "ends", "items"],
-            )
-
-        if len(indexes) == 1:
-            return map_batches(rows, find, f"doc_id long, {_HITS}")
-        keyed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        parts.append(map_batches(keyed, find, f"doc_id long, text_hash long, {_HITS}"))
-    return _combine(parts)
+    parts = [_hits(docs, index, not number) for number, index in enumerate(block_indexes(docs, bench))]
+    found = materialise(_combine(parts).withColumn("row", F.monotonically_increasing_id()), "contamination")
+    named = found.select("row", F.explode("windows").alias("window")).join(bench.items, "window")
+    items = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast("array<string>")
+    return found.join(items, "row", "left").select("doc_id", "n_words", "starts", "ends", F.coalesce("items", none).alias("items"))
 
 
 def _combine(parts: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks by document. Equal rows have equal hits, so they are counted once per
-    block and repeated at the end."""
-    every = reduce(DataFrame.unionByName, parts)
-    grouped = every.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.count("*").alias("n"),
-        F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    """Every row of the first block with the hits of the others. Equal rows have equal hits, which are taken
+    once and joined to each of them."""
+    first, others = parts[0], parts[1:]
+    if not others:
+        return first
+    keys = ["doc_id", "text_hash"]
+    several = [x.dropDuplicates(keys) for x in others]
+    later = reduce(DataFrame.unionByName, several).groupBy(*keys).agg(
+        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("more_spans"),
+        F.flatten(F.collect_list("windows")).alias("more_windows"),
     )
+    later = later.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more_spans", "more_windows")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    joined = first.join(later, same, "left").drop("id", "hash")
+
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        merged = [
-            merge_spans([(x["starts"], x["ends"]) for x in spans])
-            for spans in batch.column("spans").to_pylist()
+        rows = batch.to_pylist()
+        spans = [
+            merge_spans([*zip(x["starts"], x["ends"]), *((y["starts"], y["ends"]) for y in x["more_spans"] or ())])
+            for x in rows
         ]
-        runs = [pa.array([x[n] for x in merged], pa.list_(pa.int64())) for n in (0, 1)]
-        names = ["doc_id", "n", "n_words", "items"]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(x) for x in names), *runs], [*names, "starts", "ends"]
-        )
+        windows = [[*x["windows"], *(x["more_windows"] or ())] for x in rows]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in ([y[0] for y in spans], [y[1] for y in spans], windows)]
+        names = ["doc_id", "text_hash", "n_words", "starts", "ends", "windows"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *lists], names)
 
-    kinds = "doc_id long, n long, n_words long, items array<string>, starts array<long>, ends array<long>"
-    merged = map_batches(grouped, merge, kinds)
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("long")))
-    return merged.withColumn("copy", copies).select("doc_id", "n_words", "starts", "ends", "items")
+    return map_batches(joined, merge, _HITS)
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -271,24 +285,41 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """Verdict on every document."""
-    return verdicts(contamination(docs, build_indexes(docs, benchmark, window)))
+    return verdicts(contamination(docs, benchmark_windows(benchmark, window)))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """Rows of ``docs``, all columns, that are not contaminated. No join and no shuffle."""
-    kept = docs
-    indexes = build_indexes(docs, benchmark, window)
-    handles = [docs.sparkSession.sparkContext.broadcast(x) for x in indexes]
-    looks = [_found(x, handle) for x, handle in zip(indexes, handles)]
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 4_000_000) -> DataFrame:
+    """Rows of ``docs``, all columns, that are not contaminated.
+
+    A benchmark of one block goes along with the documents: no join and no shuffle. With more, the
+    contaminated ones are found block by block and taken out by a join.
+    """
+    bench = benchmark_windows(benchmark, window, block_words=block_words)
+    if bench.blocks > 1:
+        return _without_dirty(docs, bench)
+    index = next(block_indexes(docs, bench))
+    handle, sizes = docs.sparkSession.sparkContext.broadcast(index), index.sizes()
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         clean = []
         for raw in raw_texts(batch, "text"):
             words = word_list(raw)
-            spans = [x for look in looks for x in zip(*look(words)[:2])]
-            starts, ends = merge_spans(spans)
-            hit = sum(ends) - sum(starts)
-            clean.append(not (hit > 0 and 20 * hit >= len(words)))
+            starts, ends, _ = handle.value.hits(words, sizes)
+            clean.append(not _dirty(sum(ends) - sum(starts), len(words)))
         return batch.filter(pa.array(clean))
 
-    return map_batches(kept, keep, kept.schema)
+    return map_batches(docs, keep, docs.schema)
+
+
+def _dirty(hit: int, words: int) -> bool:
+    return hit > 0 and 20 * hit >= words
+
+
+def _without_dirty(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    parts = [_hits(docs, index, not number) for number, index in enumerate(block_indexes(docs, bench))]
+    hit = F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (n, x) -> n + x)")
+    dirty = _combine(parts).where((hit > 0) & (20 * hit >= F.col("n_words")))
+    keys = dirty.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    return rows.join(materialise(keys, "contaminated"), same, "left_anti").select("row.*")
