@@ -12,17 +12,10 @@ def digest(rows):
 
 
 def expected(rows, threshold=0.8):
-    """Every line against every template, without filters."""
-    sets = {k: set(brute.words(v)) for k, v in licenses.TEMPLATES.items()}
+    """Every window of a template's length against the template, without filters."""
     out = []
     for i, text in rows:
-        found = {}
-        for line in (text or "").split("\n"):
-            have = set(brute.words(line))
-            for label, wanted in sets.items():
-                share = len(wanted & have) / len(wanted)
-                if share >= threshold:
-                    found[label] = max(share, found.get(label, 0))
+        found = windows_by_force(text or "", threshold)
         n, places, first, last, base = brute.phrases(text)
         labels = ",".join(sorted({*filter(None, base.split(",")), *found}))
         out.append(str((i, n, places, first, last, base, labels, float(max(found.values(), default=0)))))
@@ -84,17 +77,34 @@ def test_notices_wrapped_over_lines(make_docs, before):
 
 
 def windows_by_force(text, threshold):
-    """Highest containment of every template in a line or in a window over line ends."""
+    """Highest containment of every template in a window with as many words."""
     words, best = brute.words(text), {}
     for label, template in licenses.TEMPLATES.items():
         wanted, size = set(brute.words(template)), len(brute.words(template))
-        blocks = [brute.words(x) for x in text.split("\n")] + [words[n : n + size] for n in range(len(words))]
-        share = max(len(wanted.intersection(x)) / len(wanted) for x in blocks)
+        starts = [n for n in range(len(words)) if words[n] in wanted]
+        share = max((len(wanted.intersection(words[n : n + size])) / len(wanted) for n in starts), default=0)
         if share >= threshold:
             best[label] = share
     return best
 
 
+def test_words_strewn_over_a_long_line_are_no_notice(make_docs):
+    filler = [f"f{n}" for n in range(400)]
+    for at, word in zip(range(20, 400, 38), "all rights reserved licensed under cc by 4 0".split()):
+        filler[at] = word
+    found = licenses.license_digest(licenses.license_matches(make_docs([(1, " ".join(filler))]))).first()
+    assert (found.labels, found.score, found.n_base) == ("", 0.0, 0)
+
+
+def test_whole_notices_are_told_from_their_first_sentences(make_docs):
+    full = {k: licenses.TEMPLATES[k] for k in ("mit-license", "bsd-2-clause", "apache-header", "gpl-header", "isc-license")}
+    docs = make_docs([(n, "some code\n" + text.replace(". ", ".\n\n") + "\nmore code") for n, text in enumerate(full.values())])
+    found = {x.doc_id: set(x.labels.split(",")) for x in licenses.license_digest(licenses.license_matches(docs)).collect()}
+    assert all(label in found[n] for n, label in enumerate(full))
+    start = make_docs([(1, licenses.TEMPLATES["mit-notice"])])
+    assert licenses.license_digest(licenses.license_matches(start)).first().labels == "mit-notice"
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_windows_by_force(make_docs, threshold):
     rng = random.Random(7)

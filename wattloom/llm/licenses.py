@@ -1,18 +1,17 @@
-"""License notices in texts: base phrases, and blocks that contain a template.
+"""License notices in texts: base phrases, and windows that contain a template.
 
-The templates are sets of words, the blocks of a text are its lines, and for notices wrapped over
-lines also the windows with as many words as the template that span a line end, wherever they start.
-A block meets a template when it holds at least ``threshold`` of its words. That is a set-similarity
-join with filters that lose nothing: words are ordered by their frequency over all documents; a
+The templates are sets of words; the blocks of a text are its windows with as many words as the
+template, wherever they start and whatever lines they span, so that words strewn over a long
+line are no notice. A window meets a template when it holds at least ``threshold`` of its words. That is a
+set-similarity join with filters that lose nothing: words are ordered by their frequency over all documents; a
 template of ``m`` words that needs ``c`` common ones has a prefix of its ``m - c + 1`` rarest words,
-of which a block must hold one; the block must have ``c`` words (length filter); from the first common
-prefix word on, both sides must still have enough words (positional filter). What is left is counted
-exactly. Windows are looked at around the occurrences of prefix words only, each word once a template.
+of which a window must hold one, its rarest; from that word on in the order, the words in reach of it must still
+hold ``c`` of the template's (positional filter); a window must hold ``c`` of them at all (length filter). What is
+left is counted exactly. Only windows around the occurrences of prefix words are looked at.
 
 Edge cases: a null or empty text has no words, no places and score 0; repeated rows each get a row;
 ties between templates give all their labels; a phrase may overlap another; of overlapping windows
-the best counts, and none that a line it touches equals; an empty table gives an empty result; other
-columns are ignored.
+the best counts, the first one on ties; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +44,39 @@ TEMPLATES = {
     " software and associated documentation files",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License",
     "reserved-notice": "All rights reserved",
+    # Whole notices.
+    "apache-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in"
+    " compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is"
+    " distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See"
+    " the License for the specific language governing permissions and limitations under the License.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    " provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright"
+    " notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the"
+    " above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
+    " other materials provided with the distribution.",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
+    " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)"
+    " any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General"
+    " Public License for more details. You should have received a copy of the GNU General Public License along with"
+    " this program. If not, see https://www.gnu.org/licenses/.",
+    "isc-license": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+    " hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING"
+    " ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "mit-license": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
+    " associated documentation files (the Software), to deal in the Software without restriction, including without"
+    " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the"
+    " Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+    " of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+    " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL"
+    " was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
-_COLUMNS = "doc_id long, n_words long, places array<struct<label: string, word: long>>, found array<struct<label: string, block: int, containment: double>>"
+_COLUMNS = "doc_id long, n_words long, places array<struct<label: string, word: long>>, found array<struct<label: string, word: long, containment: double>>"
 
 
 def needed(size: int, threshold: float) -> int:
@@ -74,57 +103,47 @@ class TemplateIndex:
             self.prefix.setdefault(word, []).append((len(self.sets), place))
         self.sets.append((label, words, common))
 
-    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """Labels and containment of the templates that the block meets."""
-        words = set(block)
-        ordered = sorted((x for x in words if x in self.order), key=self.order.__getitem__)
-        seen, out = set(), []
-        for at, word in enumerate(ordered):
-            for number, place in self.prefix.get(word, ()):
-                if number in seen:
-                    continue
-                seen.add(number)  # the first common word decides on the positions
-                label, wanted, common = self.sets[number]
-                if len(words) < common or min(len(wanted) - place, len(ordered) - at) < common:
+    def near(self, words: list[bytes], starts: list[int]) -> dict[int, list[list[int]]]:
+        """Stretches of the text, by template, that hold all windows whose rarest word stands at one of ``starts``."""
+        found: dict[int, list[list[int]]] = {}
+        for at in starts:
+            for number, place in self.prefix.get(words[at], ()):
+                _, wanted, common = self.sets[number]
+                reach = self.lengths[number] - 1
+                first, end = max(0, at - reach), min(at + reach + 1, len(words))
+                if len(set(wanted[place:]).intersection(words[first:end])) < common:
                     continue
-                count = sum(x in words for x in wanted)
-                if count >= common:
-                    out.append((label, count / len(wanted)))
-        return out
+                runs = found.setdefault(number, [])
+                if runs and first <= runs[-1][1]:
+                    runs[-1][1] = end
+                else:
+                    runs.append([first, end])
+        return found
 
-    def wrapped(self, words: list[bytes], lines: list[int], starts: list[int]) -> list[tuple[str, int, int, float]]:
-        """Label, first and last line, and containment of windows over a line end that meet a template.
+    def matches(self, words: list[bytes], starts: list[int]) -> list[tuple[str, int, float]]:
+        """Label, first place and containment of windows that meet a template: the best of those that overlap.
 
-        ``lines`` has the line of each word, ``starts`` the places of the prefix words.
+        ``starts`` are the places of all prefix words.
         """
-        near: dict[int, list[list[int]]] = {}  # stretches that hold all windows with a prefix word
-        for at in starts:
-            for number, _ in self.prefix.get(words[at], ()):
-                reach = self.lengths[number] - 1
-                runs = near.setdefault(number, [])
-                if runs and at - reach <= runs[-1][1]:
-                    runs[-1][1] = at + reach + 1
-                else:
-                    runs.append([max(0, at - reach), at + reach + 1])
         out = []
-        for number, runs in near.items():
+        for number, runs in self.near(words, starts).items():
             label, wanted, common = self.sets[number]
             known = frozenset(wanted)
             for start, end in runs:
-                places = [n for n in range(start, min(end, len(words))) if words[n] in known]
-                if len(places) < common or lines[places[0]] == lines[places[-1]]:
+                places = [n for n in range(start, end) if words[n] in known]
+                if len(places) < common:
                     continue
-                best = None  # the best of overlapping windows: count, first and last place
+                best = None  # count, first and last place
                 for count, first, last in _windows(words, places, self.lengths[number]):
-                    if count < common or lines[first] == lines[last]:
+                    if count < common:
                         continue
                     if best and first > best[2]:
-                        out.append((label, lines[best[1]], lines[best[2]], best[0] / len(wanted)))
+                        out.append((label, best[1], best[0] / len(wanted)))
                         best = None
                     if best is None or count > best[0]:
                         best = count, first, last
                 if best:
-                    out.append((label, lines[best[1]], lines[best[2]], best[0] / len(wanted)))
+                    out.append((label, best[1], best[0] / len(wanted)))
         return out
 
 
@@ -180,28 +199,14 @@ def phrase_places(words: list[bytes], starts: list[int], phrases: dict) -> list[
     ]
 
 
-def met_blocks(raw: bytes, words: list[bytes], rare: list[int], index: TemplateIndex) -> list[tuple[str, int, float]]:
-    """Label, first line and containment of lines and windows over line ends that meet a template."""
-    if not rare:
-        return []
-    lines = [word_list(x) for x in raw.split(b"\n")]
-    out = [(label, n, share) for n, line in enumerate(lines) for label, share in index.matches(line)]
-    alone = {(label, n): share for label, n, share in out}
-    line_of = [n for n, line in enumerate(lines) for _ in line]
-    for label, first, last, share in index.wrapped(words, line_of, rare):
-        if all(alone.get((label, n), 0.0) < share for n in range(first, last + 1)):
-            out.append((label, first, share))
-    return out
-
-
 def license_matches(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
     templates: dict[str, str] = TEMPLATES,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """``doc_id, n_words, places, found``: phrases with the number of their first word, and the blocks
-    that meet a template with its containment; a block is named by its first line."""
+    """``doc_id, n_words, places, found``: phrases with the number of their first word, and the windows
+    that meet a template with its containment; a window is named by its first word of the template."""
     index = build_index(docs, templates, threshold)
     by_first: dict[bytes, list] = {}
     for phrase, label in phrases.items():
@@ -218,11 +223,10 @@ def license_matches(
             hits = phrase_places(words, starts, by_first)
             places.append([{"label": label, "word": at} for label, at in hits])
             rare = [n for n in starts if words[n] in index.prefix]
-            found.append(
-                [{"label": label, "block": n, "containment": share} for label, n, share in met_blocks(raw, words, rare, index)]
-            )
+            met = index.matches(words, rare)
+            found.append([{"label": label, "word": n, "containment": share} for label, n, share in met])
         place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-        match = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int32()), ("containment", pa.float64())]))
+        match = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(places, place), pa.array(found, match)],
             ["doc_id", "n_words", "places", "found"],
@@ -233,7 +237,7 @@ def license_matches(
 
 
 def license_digest(matches: DataFrame) -> DataFrame:
-    """Counts, first and last place, labels, and the highest containment (0 if no block meets one)."""
+    """Counts, first and last place, labels, and the highest containment (0 if no window meets one)."""
     base = F.array_sort(F.array_distinct("places.label"))
     every = F.array_sort(F.array_distinct(F.concat("places.label", "found.label")))
     return matches.select(

@@ -102,7 +102,7 @@ _PHRASES = " UNION ALL ".join(
     f"SELECT {p.split()} AS phrase, '{label}' AS label" for p, label in PHRASES.items()
 )
 _TEMPLATES = " UNION ALL ".join(
-    f"SELECT list_distinct({_words(repr(text))}) AS wanted, '{label}' AS label"
+    f"SELECT list_distinct({_words(repr(text))}) AS wanted, len({_words(repr(text))}) AS size, '{label}' AS label"
     for label, text in TEMPLATES.items()
 )
 
@@ -118,12 +118,13 @@ base AS (
   SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY row),
-lines AS (
-  SELECT row, {_words("line")} AS words
-  FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs)),
+starts AS (
+  SELECT row, words, label, wanted, size, unnest(range(len(words))) AS pos FROM docs CROSS JOIN templates),
 met AS (
-  SELECT row, label, len(list_intersect(wanted, words)) / len(wanted) AS share
-  FROM lines CROSS JOIN templates WHERE len(list_intersect(wanted, words)) / len(wanted) >= 0.8e0),
+  SELECT row, label, max(share) AS share
+  FROM (SELECT row, label, len(list_intersect(wanted, words[pos + 1 : pos + size])) / len(wanted) AS share
+        FROM starts WHERE list_contains(wanted, words[pos + 1]))
+  WHERE share >= 0.8e0 GROUP BY row, label),
 every AS (
   SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT row, label FROM places UNION ALL SELECT row, label FROM met) GROUP BY row),
