@@ -5,6 +5,7 @@ from tests.llm import brute
 from tests.llm.test_tokens import check_plan
 from wattloom.llm import toxicity
 from wattloom.llm.common import table
+from wattloom.storage import materialise
 
 
 def test_stages_follow_each_other(spark, sf):
@@ -46,3 +47,15 @@ def test_each_stage_takes_odd_and_no_rows(spark, sf, make_docs, odd_rows, name,
     if name != "packing":
         assert got.columns == make_docs([]).columns
     assert stage(spark, make_docs([]), sf).count() == 0
+
+
+def test_stages_keep_the_columns_of_odd_documents_with_clashing_names(spark, sf, make_docs, clashing, odd_rows):
+    docs = clashing(make_docs([*odd_rows, (300, "password: abcdefgh12 in a text of its own")]))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    assert {5, 7, 8, 9, 300} <= set(texts) and "[SECRET]" in texts[300]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {x.doc_id for x in pieces} == set(texts)

@@ -81,3 +81,18 @@ def test_redaction(make_docs, folder):
     assert got[24][0].startswith("[SECRET] ")
     for text, size in got.values():
         assert text is None or not brute.secrets(text)[1] and size == len(text)
+
+
+def test_redaction_with_clashing_names_and_many_secrets(spark, make_docs, clashing, folder):
+    many = "".join(f"token: abcdefgh{n:05d} and password=zzzzzzzz{n:05d};" for n in range(20_000))
+    rows = [(1, many), (2, None), (3, ""), (4, "clean \U0001f600 text"), (5, "\U0001f600 secret: password=abcdefgh1 x"), (5, "clean")]
+    docs = clashing(make_docs(rows)).selectExpr("*", "'y' AS found", "'y' AS _found", "'y' AS _blob", "'y' AS row")
+    kept = secrets.redact(docs, folder)
+    assert kept.schema == docs.schema
+    got = {(x.doc_id, x.text): x for x in kept.collect()}
+    assert len(got) == 6 and {(2, None), (3, ""), (4, "clean \U0001f600 text"), (5, "clean")} <= set(got)
+    texts = sorted((i, t) for i, t in got if t and "[SECRET]" in t)
+    assert texts[0] == (1, "[SECRET] and [SECRET];" * 20_000)
+    assert [i for i, _ in texts] == [1, 5] and texts[1][1].startswith("\U0001f600 ") and texts[1][1].endswith(" x")
+    assert all(x.n_chars == len(t) for (_, t), x in got.items() if t is not None)
+    assert all(x.found == x._found == x._blob == x.row == "y" for x in got.values())

@@ -99,3 +99,12 @@ def test_one_row_of_each_group_stays(make_docs, odd_rows):
     assert (1, None) in got and (None, "a row without an id, and with words") in got
     assert not {2, 3, 6, 20, 22} & {i for i, _ in got}
     assert got.count((7, "a repeated row")) == 1 and (7, "another text with the same id") in got
+
+
+def test_columns_of_the_input_keep_their_values(make_docs, clashing, odd_rows):
+    names = ["_text_key", "_id", "_key", "row", "key", "id", "own_id", "keeper", "label", "node"]
+    docs = clashing(make_docs(odd_rows))
+    docs = docs.selectExpr("*", *[f"'y' AS {n}" for n in names if n not in docs.columns])
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert all(x[n] == "y" for x in kept.collect() for n in names if n != "label")

@@ -68,8 +68,39 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
 
 
-def local_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def join_hot(
+    rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, heaviest: int = 1000
+) -> DataFrame:
+    """``rows`` left join ``table`` on ``key``, where one key may hold a third of the rows.
+
+    ``table`` is written and has one row per key. The ``heaviest`` keys by number of rows (``key, n``
+    in ``counts``, if known) are broadcast with their row of ``table``, if any; their rows, and those
+    without a key, stay spread by task. Any other key holds at most 1 in ``heaviest`` + 1 of the rows.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    names = [c for c in table.columns if c != key]
+    known = counts.where(F.col(key).isNotNull() & (F.col("n") > 1))
+    top = known.orderBy(F.desc("n"), key).limit(heaviest).select(key)
+    value = F.struct(*names).alias("_value")
+    hot = top.join(table, key, "left").select(F.col(key).alias("_key"), F.lit(True).alias("_hot"), value)
+    tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").drop("_key")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    place = 1 + 64 * F.spark_partition_id() + F.pmod(F.monotonically_increasing_id(), F.lit(64))
+    salted = tagged.withColumn("_salt", F.when(spread, place).otherwise(F.lit(0)).cast("long"))
+    # A literal 0 would be taken out of the join's keys.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("long").alias("_zero")
+    plain = table.select(F.col(key).alias("_key"), F.struct(*names).alias("_other"), zero)
+    matched = salted.join(plain, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_zero")), "left")
+    found = F.when(F.col("_hot"), F.col("_value")).otherwise(F.col("_other"))
+    return matched.select(*rows.columns, *[found[c].alias(c) for c in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def text_key():

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import file_system, map_batches
+from wattloom.llm.common import file_system, free_name, join_hot, map_batches
+from wattloom.storage import materialise
 
 _LEDGER = "blob binary, rule string, spans array<struct<start: int, end: int>>"
 _PATHS = "doc_id long, blob binary, scan string"
@@ -166,30 +167,46 @@ def secrets_by_path(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULE
     name = scan(docs, folder, rules)
     spark = docs.sparkSession
     paths = read_paths(spark, folder).where(F.col("scan") == name).drop("scan")
-    return paths.join(findings(spark, folder, rules), "blob", "left")
+    return join_hot(paths, materialise(findings(spark, folder, rules), "findings"), "blob")
 
 
 def redact(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """Rows of ``docs``, all columns, with every span replaced by ``mark``; overlapping spans are one.
     ``n_chars``, where present, is the length of the new text."""
     scan(docs, folder, rules)
-    known = findings(docs.sparkSession, folder, rules).select(F.col("blob").alias("_blob"), "found")
-    text = docs["text"]
-    keyed = docs.join(known, F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)) == known["_blob"], "left")
-
-    def step(done, span):
-        begins = span["start"] >= done["at"]
-        between = F.substring(text, done["at"] + 1, span["start"] - done["at"])
-        return F.struct(
-            F.when(begins, F.concat(done["out"], between, F.lit(mark))).otherwise(done["out"]).alias("out"),
-            F.greatest(done["at"], span["end"]).alias("at"),
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    ended = F.aggregate(known["found"], start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    cleaned = F.when(known["found"].isNull(), text).otherwise(ended)
-    new = {"text": cleaned, "n_chars": F.when(known["found"].isNull(), docs["n_chars"]).otherwise(F.length(ended)) if "n_chars" in docs.columns else None}
-    return keyed.select(*[(docs[c] if new.get(c) is None else new[c].cast(docs.schema[c].dataType)).alias(c) for c in docs.columns])
+    known = materialise(findings(docs.sparkSession, folder, rules), "findings")
+    address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")
+    joined = join_hot(docs.select(F.struct("*").alias("row"), address), known, "blob")
+    spans = free_name(docs, "found")
+    bounds = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rows, names = joined.select("row.*", bounds.alias(spans)), docs.columns
+
+    def blank(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.column(spans).to_pylist()
+        touched = [n for n, x in enumerate(found) if x]
+        out = {name: batch.column(name) for name in names}
+        if touched:
+            texts, sizes = out["text"].to_pylist(), out["n_chars"].to_pylist() if "n_chars" in out else None
+            for n in touched:
+                texts[n] = _without_spans(texts[n], [(x["start"], x["end"]) for x in found[n]], mark)
+                if sizes:
+                    sizes[n] = len(texts[n])
+            out["text"] = pa.array(texts, out["text"].type)
+            if sizes:
+                out["n_chars"] = pa.array(sizes, out["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return map_batches(rows, blank, docs.schema)
+
+
+def _without_spans(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with a mark for every run of overlapping spans, which are in order."""
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
 
 def secret_digest(by_path: DataFrame) -> DataFrame:

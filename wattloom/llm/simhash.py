@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import map_batches, raw_texts, text_key
+from wattloom.llm.common import join_hot, map_batches, raw_texts, text_key
 from wattloom.llm.encoder import expand
 from wattloom.storage import materialise
 
@@ -255,7 +255,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) ->
     )
     group = labelled.groupBy("label").agg(F.min("first").alias("keeper"))
     members = materialise(labelled.drop("first").join(group, "label").select("fp", "keeper"), "members")
-    return prints.join(members, "fp").select(
+    return join_hot(prints, members, "fp").select(
         "doc_id", "text_key", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper"
     )
 
@@ -267,8 +267,7 @@ def hex_fingerprint(fp):
 def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row of each group, all columns: the row with the smallest id, then text key."""
     keepers = near_duplicate_groups(docs, shingle, radius).select("keeper.*").distinct()
-    named = keepers.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", text_key())
-    same = keyed["doc_id"].eqNullSafe(named["_id"]) & (keyed["_text_key"] == named["_key"])
-    kept = keyed.join(named, same)
-    return kept.dropDuplicates(["_id", "_key"]).select(*[keyed[c] for c in docs.columns])
+    named = keepers.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), text_key().alias("own_key"))
+    kept = keyed.join(named, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

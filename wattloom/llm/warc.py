@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import file_system
+from wattloom.llm.common import file_system, join_hot
+from wattloom.storage import materialise
 
 _MANIFEST = "path string, records long, bytes long"
 _MANIFEST_ARROW = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -54,21 +55,22 @@ def record_types(pages: DataFrame, least: int = 100) -> DataFrame:
     """``page_id, url, payload, payload_digest, first_id``; ``first_id`` is null for short payloads.
 
     Only digests that occur twice come back to the pages; they are grouped with partial aggregates,
-    so a payload with a third of all pages is one row per task before the shuffle.
+    so a payload with a third of all pages is one row per task before the shuffle. Neither its pages nor
+    those with short or empty payloads meet in one task afterwards.
     """
     payloads = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"),
     ).withColumn("payload_digest", F.sha2("payload", 256))
-    groups = (
-        payloads.where(F.octet_length("payload") >= least)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
+    groups = payloads.groupBy("payload_digest").agg(
+        F.min("page_id").alias("first_id"),
+        F.count("*").alias("n"),
+        F.max(F.octet_length("payload")).alias("size"),
     )
-    return payloads.join(groups, "payload_digest", "left")
+    repeated = materialise(groups.where("n > 1"), "payload-groups")
+    long = repeated.where(F.col("size") >= least).select("payload_digest", "first_id")
+    return join_hot(payloads, long, "payload_digest", repeated.select("payload_digest", "n"))
 
 
 def _header(pairs: list[tuple[str, object]]) -> bytes:
