@@ -6,8 +6,8 @@ numbers the distinct pieces; these are encoded once by the library, and the ids
 ids of its pieces in order. Texts in which the cut is not certain (white space on both sides of a
 space), and those that hold the string of a special token, go to the library whole.
 
-Pieces that come up often are remembered over batches, at most ``limit`` of them. When there are more, those
-met least are forgotten and the counts of the others halved, so frequent pieces stay.
+Words are remembered over batches, at most ``limit`` of them. When there are more, those
+met least are forgotten and the counts of the others halved, so frequent words stay.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ _CUT = "<|endoftext|>"
 #: A control character: to both libraries a word of its own.
 _MARK = "\x01"
 _JOINED = 32
+#: A word and a comma or full stop. Lower-cased, U+0130 is two characters, and the second is no letter.
+_TAILED = r"^ ?[^\PL\x{130}]+[.,]$"
 #: Text that a worker cuts into pieces at a time. Longer runs repeat less work, shorter ones need less memory.
 RUN_BYTES = 5 << 20
 #: How byte-level vocabularies write a space.
@@ -73,7 +75,7 @@ class PieceEncoder:
     """``spaces``: the piece after a space keeps it (byte-level vocabularies); otherwise white space
     is dropped. At most ``limit`` pieces are remembered."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 200_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,6 +86,8 @@ class PieceEncoder:
         self.known = _Known()
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
+        normalizer = self.tokenizer.normalizer
+        self.lower = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.tails = {x: y[0] for x in ".," if len(y := self.tokenizer.encode(x, add_special_tokens=False).ids) == 1}
         self.opening = np.zeros(self.vocabulary, bool)
         if spaces:
@@ -126,13 +130,14 @@ class PieceEncoder:
         numbered = lists.flatten().dictionary_encode()
         del lists
         piece = numbered.indices.to_numpy(zero_copy_only=False).copy()
-        pieces = numbered.dictionary.to_pylist()
+        pieces = numbered.dictionary
         del numbered
         if self.spaces:
             # Only the first piece of a text has no space before it.
             opening, place = np.unique(piece[bounds[:-1]], return_inverse=True)
             piece[bounds[:-1]] = len(pieces) + place
-            pieces = [" " + x for x in pieces] + [pieces[n] for n in opening.tolist()]
+            spaced = pc.binary_join_element_wise(pa.scalar(""), pieces, pa.scalar(" "))
+            pieces = pa.concat_arrays([spaced, pieces.take(pa.array(opening))])
         starts, sizes, flat = self._runs(pieces, np.bincount(piece, minlength=len(pieces)))
         del pieces
         end = np.uint32(end_id)
@@ -140,54 +145,47 @@ class PieceEncoder:
             rows = piece[a:b]
             yield np.append(flat[expand(starts[rows], sizes[rows])], end)
 
-    def _runs(self, pieces: list[str], met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, size and ids of every piece's run."""
+    def _runs(self, pieces: pa.Array, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and ids of every piece's run.
+
+        A word with a comma or full stop behind it is the ids of the word and one more; A-Z are lower-cased
+        where the library does so too. So only words are looked up, encoded and remembered.
+        """
+        if self.lower:
+            pieces = pc.ascii_lower(pieces)
+        tailed = pc.match_substring_regex(pieces, _TAILED)
+        marks = pc.if_else(tailed, pc.utf8_slice_codeunits(pieces, -1), pa.scalar("")).dictionary_encode()
+        ids = np.array([self.tails.get(x, -1) for x in marks.dictionary.to_pylist()], np.int64)
+        tail = ids[marks.indices.to_numpy(zero_copy_only=False)] if len(ids) else np.zeros(0, np.int64)
+        cut = pa.array(tail >= 0)
+        words = pc.if_else(cut, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        place = words.indices.to_numpy(zero_copy_only=False)
+        first, size, flat = self._words(words.dictionary.to_pylist(), np.bincount(place, met).astype(np.int64))
+        first, size = first[place], size[place]
+        total = size + (tail >= 0)
+        starts = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.uint32)
+        out[expand(starts, size)] = flat[expand(first, size)]
+        out[(starts + size)[tail >= 0]] = tail[tail >= 0]
+        return starts, total, out
+
+    def _words(self, words: list[str], met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of the ids of every word; those that no text has are left empty."""
         known = self.known
-        row = np.fromiter(map(known.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        row = np.fromiter(map(known.rows.get, words, repeat(-1)), np.int64, len(words))
         old, new = row >= 0, np.flatnonzero((row < 0) & (met > 0))
         known.met[row[old]] += met[old]
-        fresh = [pieces[n] for n in new.tolist()]
-        flat, begin, run = self._with_tails(fresh)
-        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        fresh = [words[n] for n in new.tolist()]
+        flat, begin, run = self._encoded(fresh)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         starts[old], sizes[old] = known.starts[row[old]], known.sizes[row[old]]
         starts[new], sizes[new] = len(known.flat) + begin, run
         every = np.concatenate([known.flat, flat])
-        often = np.flatnonzero(met[new] > 1)
-        if len(often):
-            ids = flat[expand(begin[often], run[often])]
-            known.add([fresh[n] for n in often.tolist()], ids, run[often], met[new][often])
-            if len(known.rows) > self.limit:
-                known.keep(3 * self.limit // 4)
+        known.add(fresh, flat[expand(begin, run)], run, met[new])
+        if len(known.rows) > self.limit:
+            known.keep(3 * self.limit // 4)
         return starts, sizes, every
 
-    def _with_tails(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of pieces that are not known, and where each one's start and how many they are.
-
-        A word with a comma or full stop behind it is the ids of the word, often known, and one more id.
-        """
-        known, todo = self.known, {}
-        source, tail = [], []
-        for piece in pieces:
-            mark = self.tails.get(piece[-1:], -1)
-            word = piece[:-1] if mark >= 0 else piece
-            if mark >= 0 and not word[self.spaces :].isalpha():
-                mark, word = -1, piece
-            row = known.rows.get(word, -1) if mark >= 0 else -1
-            source.append(row if row >= 0 else -2 - todo.setdefault(word, len(todo)))
-            tail.append(mark)
-        flat, begin, run = self._encoded(list(todo))
-        rows, tails = np.array(source, np.int64), np.array(tail, np.int64)
-        starts, sizes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        old, new = rows >= 0, rows < 0
-        starts[old], sizes[old] = known.starts[rows[old]], known.sizes[rows[old]]
-        starts[new], sizes[new] = len(known.flat) + begin[-2 - rows[new]], run[-2 - rows[new]]
-        total = sizes + (tails >= 0)
-        first = np.cumsum(total) - total
-        out = np.zeros(int(total.sum()), np.uint32)
-        out[expand(first, sizes)] = np.concatenate([known.flat, flat])[expand(starts, sizes)]
-        out[(first + sizes)[tails >= 0]] = tails[tails >= 0]
-        return out, first, total
-
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces, and where each one's ids start and how many they are.
 
@@ -245,5 +243,5 @@ def _joined(flats: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarra
     return np.concatenate([np.zeros(0, np.uint32), *flats]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
 
-def encoder(path: str, spaces: bool, limit: int = 200_000) -> PieceEncoder:
+def encoder(path: str, spaces: bool, limit: int = 300_000) -> PieceEncoder:
     return per_process(("encoder", path, spaces, limit), lambda: PieceEncoder(path, spaces, limit))

@@ -16,6 +16,7 @@ equal lengths go by id, start and checksum; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import forget_kept, map_batches
+from wattloom.llm.common import forget_kept
 from wattloom.llm.encoder import encoder
 from wattloom.storage import fresh_path
 
@@ -81,7 +82,8 @@ def best_fit(lengths: list[int], window: int, tree: OpenWindows, opened: int) ->
 def tokenize(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> DataFrame:
     """``row_id, doc_id, doc_tokens, ids`` of every row, written as a table in the shared folder.
 
-    ``row_id`` is a number of its own for each row of the written table.
+    ``row_id`` is a number of its own for each row of the written table; ids are little-endian whole
+    numbers of 2 bytes where the vocabulary allows it, else of 4.
     """
     texts = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -89,41 +91,65 @@ def tokenize(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> Data
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = encoder(tokenizer, spaces).encode(batch.column("text").to_pylist(), end_id)
-        sizes = pa.array(np.fromiter(map(len, found), np.int64, len(found)))
-        ids = pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
-        names = ["row_id", "doc_id", "doc_tokens", "ids"]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, ids], names)
+    def encode(batches):
+        for batch in batches:
+            encode_runs = encoder(tokenizer, spaces)
+            kind = "<u4" if encode_runs.vocabulary > 65_536 or end_id > 65_535 else "<u2"
+            for first, found in encode_runs.runs(batch.column("text"), end_id):
+                rows = batch.slice(first, len(found))
+                sizes = pa.array(np.fromiter(map(len, found), np.int64, len(found)))
+                ids = pa.array([x.astype(kind).tobytes() for x in found], pa.binary())
+                names = ["row_id", "doc_id", "doc_tokens", "ids"]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:2], sizes, ids], names)
 
     path = fresh_path(docs.sparkSession, "tokens")
-    map_batches(texts, encode, _TOKENS).write.option("compression", "zstd").parquet(path)
+    texts.mapInArrow(encode, _TOKENS).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(_TOKENS).parquet(path)
 
 
+def _ids(stored: bytes, count: int) -> np.ndarray:
+    """The ids of a stored run of ``count``."""
+    return np.frombuffer(stored, "<u2" if len(stored) == 2 * count else "<u4")
+
+
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row_id long"
+
+
 def _dealt(tokens: DataFrame, window: int, group_windows: int, with_ids: bool = False) -> DataFrame:
     """Pieces, with their ids if wanted, a partition per group, in the order in which they are placed."""
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / (window * group_windows)))
-    cut = f"substring(ids, CAST(4 * at + 1 AS INT), {4 * window})"
-    held = f"crc32({cut}) AS ids_crc32" + f", {cut} AS ids" * with_ids
-    pieces = tokens.select(
-        "doc_id",
-        "doc_tokens",
-        "row_id",
-        F.explode(
-            F.expr(
-                f"transform(sequence(0L, doc_tokens - 1, {window}L), at -> struct(at AS start,"
-                f" least(doc_tokens - at, {window}L) AS length,"
-                f" {held}))"
-            )
-        ).alias("piece"),
-    ).select("doc_id", "piece.*", "doc_tokens", "row_id")
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield from _cut(batch.slice(at, 1024))
+
+    def _cut(batch: pa.RecordBatch):
+        sizes, stored = batch.column("doc_tokens").to_numpy(), batch.column("ids").to_pylist()
+        row, start, length, crc, parts = [], [], [], [], []
+        for n, (size, ids) in enumerate(zip(sizes.tolist(), stored)):
+            wide = _ids(ids, size)
+            for at in range(0, size, window):
+                part = wide[at : at + window]
+                row.append(n)
+                start.append(at)
+                length.append(len(part))
+                crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                parts.append(part.tobytes())
+        named = batch.select(["doc_id", "doc_tokens", "row_id"]).take(pa.array(row, pa.int64()))
+        columns = [named.column(0), *(pa.array(x, pa.int64()) for x in (start, length, crc)), named.column(1), named.column(2)]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_id"]
+        if with_ids:
+            columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    pieces = tokens.select("doc_id", "doc_tokens", "row_id", "ids").mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
     dealt = pieces.repartition(groups, F.xxhash64("row_id", "start"))
     return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32", "row_id")
 
 
-def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 2048) -> DataFrame:
+def pack(tokens: DataFrame, window: int = 4096, group_windows: int = 512) -> DataFrame:
     """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, row_id, sequence_id, offset``.
 
     ``sequence_id`` is the number of the group in the upper bits and of the window in it below.
@@ -153,13 +179,21 @@ def pack_documents(
     return tokens, pack(tokens, window)
 
 
+def _widened(batches):
+    for batch in batches:
+        stored = zip(batch.column("ids").to_pylist(), batch.column("doc_tokens").to_pylist())
+        ids = pa.array([_ids(x, n).astype("<u4").tobytes() for x, n in stored], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), ids], ["row_id", "ids"])
+
+
 def packed_sequences(tokens: DataFrame, plan: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
     """``sequence_id, ids, n_tokens``: ids of each window (little-endian uint32).
 
     Padded to ``window`` ids, but a sequence whose length is a power of two stays as it is. A window's
     rows are bounded by its length, so a group fits a task whatever the corpus.
     """
-    cut = tokens.alias("t").join(plan.alias("p"), "row_id")
+    wide = tokens.select("row_id", "doc_tokens", "ids").mapInArrow(_widened, "row_id long, ids binary")
+    cut = wide.alias("t").join(plan.alias("p"), "row_id")
     part = F.expr("substring(t.ids, CAST(4 * p.start + 1 AS INT), CAST(4 * p.length AS INT))")
     parts = cut.select("p.sequence_id", F.struct("p.offset", part.alias("ids"), "p.length").alias("part"))
     grouped = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
@@ -176,7 +210,7 @@ _SEQUENCES = f"sequence_id long, ids binary, n_tokens long, pieces array<struct<
 
 
 def write_sequences(
-    tokens: DataFrame, path: str, window: int = 4096, group_windows: int = 2048, pad_id: int = 0
+    tokens: DataFrame, path: str, window: int = 4096, group_windows: int = 512, pad_id: int = 0
 ) -> DataFrame:
     """``sequence_id, ids, n_tokens, pieces``, written to ``path``: the sequences of ``packed_sequences``
     with the pieces in them, ``offset`` and ``length`` as they lie there.
@@ -210,7 +244,8 @@ def _sequences(pieces: pa.RecordBatch, windows: np.ndarray, offsets: np.ndarray,
     for at in range(0, len(bounds) - 1, 64):
         ends = bounds[at : at + 65]
         rows = pieces.take(pa.array(order[ends[0] : ends[-1]]))
-        ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
+        stored = zip(rows.column("ids").to_pylist(), rows.column("length").to_pylist())
+        ids = [_ids(x, n).astype("<u4") for x, n in stored]
         ends = ends - ends[0]
         sequences, totals, begins = [], [], []
         for start, end in zip(ends[:-1], ends[1:]):

@@ -168,13 +168,13 @@ def write_token_files(
     files: int | None = None,
     sample_docs: int = 1000,
     sample_bytes: int = 16_384,
-    remember: int = 200_000,
+    remember: int = 300_000,
 ) -> DataFrame:
     """Write ``doc_id, text`` as token files in ``folder``; return the manifest.
 
     ``files`` defaults to the session's number of shuffle partitions. An executor needs the index of
     its file (29 bytes per document) in memory, besides a run of texts with their ids and at most
-    ``remember`` pieces of text per worker.
+    ``remember`` words per worker.
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
