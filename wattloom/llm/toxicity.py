@@ -76,13 +76,30 @@ class SeverityModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """``text, toxic`` of at most ``sample_docs`` labelled documents, as a written table."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = _smallest_hashes(known, sample_docs)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ids may repeat here
     first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # also before the shuffle
     single = joined.groupBy("doc_id").agg(first.text.alias("text"), F.max("toxic").alias("toxic"))
     return materialise(single.select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
 
 
+def _smallest_hashes(known: DataFrame, count: int) -> DataFrame:
+    """The ``count`` rows with the smallest hash of their id. Counts per upper 16 bits of the hash find the
+    range that holds the last one, so only that range is ranked, whatever the number of rows and tasks."""
+    hashed = known.withColumn("hash", F.xxhash64("doc_id")).withColumn("range", F.shiftright("hash", 48))
+    sizes = sorted(map(tuple, hashed.groupBy("range").agg(F.count("*")).collect()))  # at most 65,536 rows
+    left, last = count, None
+    for number, size in sizes:
+        last = number
+        if size >= left:
+            break
+        left -= size
+    if last is None:
+        return known
+    ranked = hashed.where(F.col("range") == last).orderBy("hash", "doc_id").limit(max(left, 0))
+    return hashed.where(F.col("range") < last).unionByName(ranked).select(*known.columns)
+
+
 def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
     """Number of documents with each feature (of ``wanted``, if given)."""
 
@@ -100,17 +117,18 @@ def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
 
 
 def choose_features(
-    sample: DataFrame, least: int, share: float, log_odds: float, limit: int
+    sample: DataFrame, least: int, share: float, log_odds: float, limit: int, considered: int = 50_000
 ) -> dict[bytes, int]:
     """At most ``limit`` features with the strongest evidence, of those that at least ``least`` toxic
-    documents, and this ``share`` of them, have."""
+    documents, and this ``share`` of them, have. Of these, the ``considered`` most frequent ones are compared
+    with the clean documents."""
     toxic, clean = sample.where("toxic"), sample.where("NOT toxic")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
     often = _document_counts(toxic, None).where(F.col("n") >= max(least, share * n_toxic)).orderBy(F.desc("n"), "feature")
-    in_toxic = {bytes(x.feature): x.n for x in often.limit(50_000).collect()}
-    rows = _document_counts(clean, frozenset(in_toxic)).collect()  # at most 50,000
+    in_toxic = {bytes(x.feature): x.n for x in often.limit(considered).collect()}
+    rows = _document_counts(clean, frozenset(in_toxic)).collect()  # at most ``considered``
     in_clean = {bytes(x.feature): x.n for x in rows}
     odds = {
         f: np.log((n + 0.5) / (n_toxic + 1)) - np.log((in_clean.get(f, 0) + 0.5) / (n_clean + 1))
@@ -170,10 +188,18 @@ def fit_severity(
     share: float = 0.02,
     log_odds: float = 3.5,
     limit: int = 4096,
+    considered: int = 50_000,
 ) -> SeverityModel:
-    """Choose features and fit the model on a bounded sample of labelled documents."""
+    """Choose features and fit the model on a bounded sample of labelled documents.
+
+    The bounds of the fit, none of which touches what is scored: ``sample_docs`` documents are read;
+    features of fewer than ``least`` toxic documents or less than ``share`` of them are left out, and so are those
+    with log odds under ``log_odds``; of the rest the ``considered`` most frequent are looked at and the
+    ``limit`` with the strongest evidence kept. What is lost by the last two is weak evidence from rare words: a
+    toxic document that holds none of the kept features gets the severity of a text without any.
+    """
     sample = labelled_sample(docs, labels, sample_docs)
-    features = choose_features(sample, least, share, log_odds, limit)
+    features = choose_features(sample, least, share, log_odds, limit, considered)
     if not features:
         return SeverityModel({}, np.zeros(0), np.full(grades, np.inf))
     model = SeverityModel(features, np.zeros(len(features) + 1), np.zeros(grades))
