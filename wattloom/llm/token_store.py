@@ -169,11 +169,12 @@ def write_token_files(
     sample_docs: int = 1000,
     sample_bytes: int = 16_384,
     remember: int = 300_000,
+    run_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Write ``doc_id, text`` as token files in ``folder``; return the manifest.
 
     ``files`` defaults to the session's number of shuffle partitions. An executor needs the index of
-    its file (29 bytes per document) in memory, besides a run of texts with their ids and at most
+    its file (29 bytes per document) in memory, besides ``run_bytes`` of text with its ids and at most
     ``remember`` words per worker.
     """
     spark = docs.sparkSession
@@ -201,7 +202,7 @@ def write_token_files(
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}"
                 writer = TokenFileWriter(system.open_output_stream(f"{root}/{name}"), handle.value, wide)
             ids_of = batch.column("doc_id").to_pylist()
-            for first, found in encoder(tokenizer, spaces, remember).runs(batch.column("text"), end_id):
+            for first, found in encoder(tokenizer, spaces, remember).runs(batch.column("text"), end_id, run_bytes):
                 for doc_id, ids in zip(ids_of[first:], found):
                     writer.add(doc_id, ids)
         if writer is not None:
