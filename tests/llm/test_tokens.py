@@ -224,3 +224,75 @@ def test_another_dictionary_is_refused(spark, make_docs, folder):
     path = spark.read.parquet(f"{folder}/manifest").first().path
     with pytest.raises(ValueError, match="another dictionary"):
         token_store.TokenFile(path, b"something else")
+
+
+def test_white_space_that_makes_a_cut_uncertain_is_always_looked_for():
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from wattloom.llm import encoder
+
+    spaces = [chr(n) for n in range(0x110000) if chr(n).isspace()]
+    texts = [f"a{x} {y}b" for x in spaces for y in spaces]
+    assert all(re.search(r"\s \s", x) for x in texts)
+    assert all(pc.match_substring_regex(pa.array(texts), encoder._MAYBE_UNCERTAIN).to_pylist())
+
+
+def test_reading_a_frame_copies_that_frame_alone(make_docs, folder):
+    """A block of the file is cut once per frame: the rest of it behind a frame is never copied."""
+    rows = [(n, f"document number {n} " * 3) for n in range(3000)]
+    stored(make_docs(rows), folder, files=1)
+
+    class Block(bytes):
+        cut = 0
+
+        def __getitem__(self, place):
+            found = Block(super().__getitem__(place))
+            Block.cut += len(found)
+            return found
+
+    (row,) = make_docs([]).sparkSession.read.parquet(f"{folder}/manifest").collect()
+    file = token_store.TokenFile(row.path, token_store.read_dictionary(row.dictionary))
+    source = file.source
+    file.source = type("Source", (), {"read_at": lambda _, size, at: Block(source.read_at(size, at))})()
+    frames = sum(len(x) for _, found in file.runs(1 << 20) for x in found)
+    assert Block.cut == frames == int(file.index["size"].sum())
+
+
+def test_the_library_gets_few_texts_at_a_time(monkeypatch):
+    """Its answers take many times the memory of the ids; all of a run's at once took an executor's memory."""
+    for name, (spaces, end) in FILES.items():
+        encoder = PieceEncoder(vocabulary(name), spaces)
+        given = []
+
+        class Watched:
+            def encode_batch_fast(self, texts, add_special_tokens, library=encoder.tokenizer):
+                given.append(len(texts))
+                return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+        encoder.tokenizer = Watched()
+        texts = [f"two  spaces   here {n} <|endoftext|>" for n in range(300)] + [" ".join(f"w{n}x{m}" for m in range(90)) for n in range(300)]
+        assert [x.tolist() for x in encoder.encode(texts, end)] == plain(name, texts)
+        assert len(given) > 10 and max(given) <= 64
+
+
+def test_a_task_encodes_in_one_thread(spark):
+    import os
+
+    from wattloom.llm.encoder import encoder
+
+    path = vocabulary("word_bpe_49k.json")
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+
+    def look(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            encoder(path, False, 1234).encode([f"some text {n}" for n in range(200)], 2)
+            yield pa.RecordBatch.from_pydict({"said": [os.environ.get("TOKENIZERS_PARALLELISM", "")]})
+
+    assert [x.said for x in spark.range(1).mapInArrow(look, "said string").collect()] == [before or "false"]
+    encoder(path, False, 1234)
+    assert os.environ.get("TOKENIZERS_PARALLELISM") == before

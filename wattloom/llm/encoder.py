@@ -12,6 +12,7 @@ met least are forgotten and the counts of the others halved, so frequent words s
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -19,15 +20,20 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 from wattloom.llm.common import per_process
 
 _UNCERTAIN = re.compile(r"\s \s")
+#: Holds for every text in which ``_UNCERTAIN`` is found, and is found faster by Arrow: any character from U+0080 on is taken.
+_MAYBE_UNCERTAIN = r"[\t-\r\x1c-\x20\x{80}-\x{10ffff}] [\t-\r\x1c-\x20\x{80}-\x{10ffff}]"
 #: A special token of both vocabularies: the library cuts a text there before anything else.
 _CUT = "<|endoftext|>"
 #: A control character: to both libraries a word of its own.
 _MARK = "\x01"
 _JOINED = 32
+#: Texts given to the library at a time: its answers take many times the memory of the ids in them.
+_AT_ONCE = 64
 #: A word and a comma or full stop. Lower-cased, U+0130 is two characters, and the second is no letter.
 _TAILED = r"^ ?[^\PL\x{130}]+[.,]$"
 #: Text that a worker cuts into pieces at a time. Longer runs repeat less work, shorter ones need less memory.
@@ -78,6 +84,8 @@ class PieceEncoder:
     def __init__(self, path: str, spaces: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
+        if TaskContext.get() is not None:  # a task has one core; the library would start a thread for each of the machine
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.cut_id = self.tokenizer.token_to_id(_CUT)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -108,16 +116,21 @@ class PieceEncoder:
                 yield first, self._some(texts.slice(first, n + 1 - first), end_id)
                 first, held = n + 1, 0
 
-    def _to_library(self, text: str) -> bool:
-        if not text or self.spaces and _UNCERTAIN.search(text):
+    def _ids_of(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), _AT_ONCE):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False):
+                yield found.ids
+
+    def _to_library(self, text: str, maybe: bool) -> bool:
+        if not text or maybe and _UNCERTAIN.search(text):
             return True
         return any(x in text for x in self.special)
 
     def _some(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
-        direct = [self._to_library(x.as_py()) for x in texts]
+        maybe = pc.match_substring_regex(texts, _MAYBE_UNCERTAIN).to_pylist() if self.spaces else repeat(False)
+        direct = [self._to_library(x.as_py(), y) for x, y in zip(texts, maybe)]
         whole = [x.as_py() for x, y in zip(texts, direct) if y]
-        found = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
-        by_library = (np.array([*x.ids, end_id], np.uint32) for x in found)
+        by_library = (np.array([*ids, end_id], np.uint32) for ids in self._ids_of(whole))
         cut = texts.filter(pa.array([not x for x in direct]))
         by_pieces = self._by_pieces(cut, end_id) if len(cut) else iter(())
         return [next(by_library if y else by_pieces) for y in direct]
@@ -140,10 +153,15 @@ class PieceEncoder:
             pieces = pa.concat_arrays([spaced, pieces.take(pa.array(opening))])
         starts, sizes, flat = self._runs(pieces, np.bincount(piece, minlength=len(pieces)))
         del pieces
-        end = np.uint32(end_id)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            rows = piece[a:b]
-            yield np.append(flat[expand(starts[rows], sizes[rows])], end)
+        end = np.array([end_id], np.uint32)
+        for at in range(0, len(texts), _AT_ONCE):
+            places = bounds[at : at + _AT_ONCE + 1]
+            rows = piece[places[0] : places[-1]]
+            run = sizes[rows]
+            ids = flat[expand(starts[rows], run)]
+            ends = np.concatenate([[0], np.cumsum(run)])[places - places[0]].tolist()
+            for a, b in zip(ends, ends[1:]):
+                yield np.concatenate([ids[a:b], end])
 
     def _runs(self, pieces: pa.Array, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and ids of every piece's run.
@@ -192,9 +210,9 @@ class PieceEncoder:
         Pieces that neither begin nor end with white space stand side by side, as in a text; that is the
         faster way. The others are set apart by a special token.
         """
-        plain = [n for n, x in enumerate(pieces) if self._plain(x)]
-        plain_set = set(plain)
-        apart = [n for n in range(len(pieces)) if n not in plain_set]
+        is_plain = list(map(self._plain, pieces))
+        plain = [n for n, x in enumerate(is_plain) if x]
+        apart = [n for n, x in enumerate(is_plain) if not x]
         parts = [self._side_by_side([pieces[n] for n in plain]), self._apart([pieces[n] for n in apart])]
         sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         ordered = np.concatenate([x[1] for x in parts])
@@ -203,10 +221,9 @@ class PieceEncoder:
         return np.concatenate([x[0] for x in parts]), starts, sizes
 
     def _plain(self, piece: str) -> bool:
-        text = piece[1:] if self.spaces else piece
-        if not text or text[0].isspace() or text[-1].isspace():
-            return False
-        return piece[0] == " " if self.spaces else _MARK not in piece
+        if not self.spaces:
+            return piece != "" and piece.strip() == piece and _MARK not in piece
+        return len(piece) > 1 and piece[0] == " " and piece.strip() == piece[1:]
 
     def _side_by_side(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A piece starts at the id that begins with a space or, in vocabularies without spaces, behind a mark."""
@@ -215,8 +232,8 @@ class PieceEncoder:
         groups = [pieces[at : at + _JOINED] for at in range(0, len(pieces), _JOINED)]
         said = ["".join(x) if self.spaces else "".join(f"{_MARK} {y} " for y in x) for x in groups]
         flats, sizes = [], []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(said, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
+        for group, found in zip(groups, self._ids_of(said)):
+            ids = np.array(found, np.uint32)
             begins = np.flatnonzero(self.opening[ids])
             if len(begins) != len(group) or begins[0]:
                 flat, run = self._apart(group)
@@ -231,8 +248,8 @@ class PieceEncoder:
     def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         groups = [_CUT.join(pieces[at : at + _JOINED]) for at in range(0, len(pieces), _JOINED)]
         flats, sizes = [], []
-        for found in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
-            ids = np.array([*found.ids, self.cut_id], np.uint32)
+        for found in self._ids_of(groups):
+            ids = np.array([*found, self.cut_id], np.uint32)
             cuts = np.flatnonzero(ids == self.cut_id)
             flats.append(ids[ids != self.cut_id])
             sizes.append(np.diff(cuts, prepend=-1) - 1)

@@ -132,7 +132,9 @@ class TokenFile:
             stop = int(self.index[last - 1]["offset"]) + int(self.index[last - 1]["size"])
             block = self.source.read_at(stop - start, start)
             entries = self.index[first:last]
-            yield entries, [block[int(x["offset"]) - start :][: int(x["size"])] for x in entries]
+            begins = (entries["offset"].astype("i8") - start).tolist()
+            # A frame is copied alone: cutting off what lies before it would copy the rest of the block each time.
+            yield entries, [block[at : at + size] for at, size in zip(begins, entries["size"].tolist())]
             first = last
 
 
