@@ -296,3 +296,13 @@ def test_a_task_encodes_in_one_thread(spark):
     assert [x.said for x in spark.range(1).mapInArrow(look, "said string").collect()] == [before or "false"]
     encoder(path, False, 1234)
     assert os.environ.get("TOKENIZERS_PARALLELISM") == before
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_letters_alone_get_from_the_model_what_the_library_gives(name):
+    spaces, end = FILES[name]
+    encoder = PieceEncoder(vocabulary(name), spaces)
+    assert encoder.model is not None
+    letters = [chr(n) for n in range(256) if chr(n).isalpha()]
+    texts = ["x " + " ".join(a + b for b in letters) for a in letters] + ["x Ab ABC It's dön't ÀÉß ſt naïvé a1 été. Ünï, \xa0q \xady"]
+    assert [x.tolist() for x in encoder.encode(texts, end)] == plain(name, texts)

@@ -12,6 +12,7 @@ met least are forgotten and the counts of the others halved, so frequent words s
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,6 +39,15 @@ _AT_ONCE = 64
 _TAILED = r"^ ?[^\PL\x{130}]+[.,]$"
 #: Text that a worker cuts into pieces at a time. Longer runs repeat less work, shorter ones need less memory.
 RUN_BYTES = 5 << 20
+#: Words of these letters alone are one word to both libraries, which leave them as they are: each letter is one
+#: character in every normal form. In the second, A-Z and the like are lower-cased before.
+_LETTERS = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SMALL_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+#: Words that stand in one text when only the model is asked.
+_SIDE_BY_SIDE = 512
+#: What the byte-level vocabularies write for the bytes of these letters and for the space.
+_BYTES = {n: n + 162 if 127 <= n <= 160 else n for n in range(256)} | {32: 288, 173: 323}
+_WORDS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"
 
@@ -45,7 +55,9 @@ _SPACE = "\u0120"
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places ``start, start + 1, ...`` of all runs, one run after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    places = np.repeat(starts - (ends - sizes), sizes)
+    places += np.arange(len(places))
+    return places
 
 
 class _Known:
@@ -97,12 +109,38 @@ class PieceEncoder:
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.tails = {x: y[0] for x in ".," if len(y := self.tokenizer.encode(x, add_special_tokens=False).ids) == 1}
+        self.model, self.ends = self._model_alone()
         self.opening = np.zeros(self.vocabulary, bool)
         if spaces:
             self.opening[[n for x, n in self.tokenizer.get_vocab().items() if x.startswith(_SPACE)]] = True
         elif self.mark_id is not None:
             self.opening[self.mark_id] = True
 
+    def _model_alone(self):
+        """The model without what stands before it, and which ids end a word; None where that may not do for ``_LETTERS``."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        before = [None if x is None else json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+        if self.spaces:
+            known = [None, bytes_ | {"use_regex": True}]
+        else:
+            said = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+            split = {"type": "Split", "pattern": {"Regex": _WORDS_FIRST}, "behavior": "Removed", "invert": True}
+            known = [
+                {"type": "Sequence", "normalizers": [{"type": "NFC"}, said, {"type": "Lowercase"}]},
+                {"type": "Sequence", "pretokenizers": [split, bytes_ | {"use_regex": False}]},
+            ]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if before != known or (suffix is None) != self.spaces:
+            return None, None
+        alone = Tokenizer(self.tokenizer.model)
+        alone.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ends = np.zeros(self.vocabulary, bool)
+        if suffix:
+            ends[[n for x, n in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        return alone, ends
+
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of every text, with ``end_id`` behind them."""
         return [ids for _, found in self.runs(pa.array(texts, pa.string()), end_id) for ids in found]
@@ -116,9 +154,10 @@ class PieceEncoder:
                 yield first, self._some(texts.slice(first, n + 1 - first), end_id)
                 first, held = n + 1, 0
 
-    def _ids_of(self, texts: list[str]) -> Iterator[list[int]]:
+    def _ids_of(self, texts: list[str], tokenizer=None) -> Iterator[list[int]]:
+        tokenizer = tokenizer or self.tokenizer
         for at in range(0, len(texts), _AT_ONCE):
-            for found in self.tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False):
+            for found in tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False):
                 yield found.ids
 
     def _to_library(self, text: str, maybe: bool) -> bool:
@@ -183,8 +222,11 @@ class PieceEncoder:
         total = size + (tail >= 0)
         starts = np.cumsum(total) - total
         out = np.zeros(int(total.sum()), np.uint32)
-        out[expand(starts, size)] = flat[expand(first, size)]
-        out[(starts + size)[tail >= 0]] = tail[tail >= 0]
+        behind = (starts + size)[tail >= 0]
+        of_words = np.ones(len(out), bool)
+        of_words[behind] = False
+        out[of_words] = flat[expand(first, size)]
+        out[behind] = tail[tail >= 0]
         return starts, total, out
 
     def _words(self, words: list[str], met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,16 +249,18 @@ class PieceEncoder:
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces, and where each one's ids start and how many they are.
 
-        Pieces that neither begin nor end with white space stand side by side, as in a text; that is the
-        faster way. The others are set apart by a special token.
+        Words of ``_LETTERS`` alone go to the model at once. Other pieces that neither begin nor end with white
+        space stand side by side, as in a text. The rest are set apart by a special token.
         """
-        is_plain = list(map(self._plain, pieces))
-        plain = [n for n, x in enumerate(is_plain) if x]
-        apart = [n for n, x in enumerate(is_plain) if not x]
-        parts = [self._side_by_side([pieces[n] for n in plain]), self._apart([pieces[n] for n in apart])]
+        letters, plain, apart = [], [], []
+        fits = (_LETTERS if self.spaces else _SMALL_LETTERS).fullmatch if self.model else lambda _: None
+        for n, x in enumerate(pieces):
+            (letters if fits(x) else plain if self._plain(x) else apart).append(n)
+        ways = ((self._by_model, letters), (self._side_by_side, plain), (self._apart, apart))
+        parts = [way([pieces[n] for n in chosen]) for way, chosen in ways]
         sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         ordered = np.concatenate([x[1] for x in parts])
-        order = np.array(plain + apart, np.int64)
+        order = np.array(letters + plain + apart, np.int64)
         sizes[order], starts[order] = ordered, np.cumsum(ordered) - ordered
         return np.concatenate([x[0] for x in parts]), starts, sizes
 
@@ -225,6 +269,23 @@ class PieceEncoder:
             return piece != "" and piece.strip() == piece and _MARK not in piece
         return len(piece) > 1 and piece[0] == " " and piece.strip() == piece[1:]
 
+    def _by_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ``_LETTERS``, written as the model has them."""
+        flats, sizes = [], []
+        groups = [words[at : at + _SIDE_BY_SIDE] for at in range(0, len(words), _SIDE_BY_SIDE)]
+        said = ("\n".join(x).encode().decode("latin-1").translate(_BYTES) for x in groups)
+        for group, found in zip(groups, self._ids_of(list(said), self.model)):
+            ids = np.array(found, np.uint32)
+            if self.spaces:
+                run = np.diff(np.flatnonzero(self.opening[ids]), append=len(ids))
+            else:
+                run = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(run) != len(group):
+                raise ValueError("words and ids differ")
+            flats.append(ids)
+            sizes.append(run)
+        return _joined(flats, sizes)
+
     def _side_by_side(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A piece starts at the id that begins with a space or, in vocabularies without spaces, behind a mark."""
         if not self.spaces and self.mark_id is None:
